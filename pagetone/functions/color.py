@@ -46,7 +46,8 @@ def luma_cmyk8(c: Column, m: Column, y: Column, k: Column) -> Column:
 
 
 def clamp01(v: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+    """Limit to 0..1; NULL stays NULL."""
+    return F.when(v < 0.0, F.lit(0.0)).when(v > 1.0, F.lit(1.0)).otherwise(v)
 
 
 def dot_gain(v: Column, gain: int) -> Column:
