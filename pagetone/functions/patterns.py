@@ -7,10 +7,12 @@ are disjoint: the match is the same, the time stays linear and the regex stack s
 
 from __future__ import annotations
 
-# White space and number forms as the audit and the rewriter read them.
-WS = r"[\s\u00A0]"
-AUDIT_NUMBER = r"-?[\d.]++"
-REWRITE_NUMBER = r"-?(?:\d++(?:\.\d++)?+|\.\d++)"
+# White space and number forms as the audit and the rewriter read them. Classes list their
+# characters one by one, which the regex engine turns into a table lookup.
+WS = r"[ \t\n\x0B\f\r\xA0]"
+_DIGIT = "[0123456789]"
+AUDIT_NUMBER = r"-?[0123456789.]++"
+REWRITE_NUMBER = rf"-?(?:{_DIGIT}++(?:\.{_DIGIT}++)?+|\.{_DIGIT}++)"
 # Colour operators by number of operands.
 RGB_OPS = ("rg", "RG")
 CMYK_OPS = ("k", "K")
@@ -35,27 +37,25 @@ def run(number: str, low: int, high: int) -> str:
     return rf"(?:{number}{WS}++){{{low},{high}}}+"
 
 
-def rgb_call(at_end: str) -> str:
-    return run(AUDIT_NUMBER, 3, 3) + _alt(RGB_OPS) + follow(at_end)
+def color_call(at_end: str, numeric: tuple[str, ...] = RGB_OPS + CMYK_OPS + GENERIC_OPS,
+               named: tuple[str, ...] = SPACE_OPS + PATTERN_OPS) -> str:
+    """Any colour call: up to five numbers, or one name, and the operator.
 
-
-def cmyk_call(at_end: str) -> str:
-    return run(AUDIT_NUMBER, 4, 4) + _alt(CMYK_OPS) + follow(at_end)
-
-
-def generic_call(at_end: str) -> str:
-    """Up to five numbers: a run of five or more is never one of exactly three or four."""
-    return run(AUDIT_NUMBER, 1, 5) + _alt(GENERIC_OPS) + follow(at_end)
+    Five are enough: an RGB call reads the last three, a CMYK call the last four, and a generic call counts
+    only with exactly three or four, so a longer run never matters.
+    """
+    choices = []
+    if numeric:
+        choices.append(run(AUDIT_NUMBER, 1, 5) + _alt(numeric))
+    if named:
+        choices.append(rf"/\w++{WS}++" + _alt(named))
+    return "(?:" + "|".join(choices) + ")" + follow(at_end)
 
 
 def space_call(at_end: str, ops: tuple[str, ...] = SPACE_OPS) -> str:
     return rf"/(\w++){WS}++{_alt(ops)}" + follow(at_end)
 
 
-def pattern_call(at_end: str) -> str:
-    return rf"/(\w++){WS}++{_alt(PATTERN_OPS)}" + follow(at_end)
-
-
 INLINE_IMAGE_TOKEN = rf"(?:^|{WS})BI{WS}"
 SHADING_TOKEN = rf"{WS}sh{WS}"
 
@@ -65,7 +65,7 @@ HEX_LITERAL = rf"<(?:[0-9A-Fa-f]|{WS})*+>"
 
 
 def _balanced(depth: int) -> str:
-    inner = r"[^()\\]++|\\[\s\S]"
+    inner = r"[^()\\]++|\\(?s:.)"
     body = f"(?:{inner})*+"
     for _ in range(depth - 1):
         body = rf"(?:{inner}|\({body}\))*+"
@@ -74,12 +74,13 @@ def _balanced(depth: int) -> str:
 
 # Regions the rewriter never touches: balanced literals (an unclosed one runs to the end), hexadecimal
 # strings up to the next '>', inline images from BI to EI.
-INLINE_IMAGE = (r"(?<![^\n\r])BI[\n\r](?:(?!\nID\n)[\s\S])*+\nID\n"
-                r"(?:(?!\nEI(?:[\u0000- Qq]|\z))[\s\S])*+(?:\nEI)?+")
-PROTECTED = (_balanced(LITERAL_DEPTH) + r"|\([\s\S]*+" + r"|<(?!<)[^>]*+>" + "|" + INLINE_IMAGE)
+INLINE_IMAGE = (r"(?<![^\n\r])BI[\n\r](?s:(?!\nID\n).)*+\nID\n"
+                r"(?s:(?!\nEI(?:[\u0000- Qq]|\z)).)*+(?:\nEI)?+")
+PROTECTED = (_balanced(LITERAL_DEPTH) + r"|\((?s:.)*+" + r"|<(?!<)[^>]*+>" + "|" + INLINE_IMAGE)
 BOUNDARY_BEFORE_SPACE = rf"(?=/\w++{WS}++{_alt(SPACE_OPS)}(?:{WS}|[(<]|\z))"
 
 # Colour calls the rewriter replaces, tried with four, three and one operand from each start.
+LAST_SPACE = r"(?s)^.*"
 REWRITE_CALL = ("(?:"
                 + run(REWRITE_NUMBER, 4, 4) + _alt(CMYK_OPS + GENERIC_OPS) + "|"
                 + run(REWRITE_NUMBER, 3, 3) + _alt(RGB_OPS + GENERIC_OPS) + "|"

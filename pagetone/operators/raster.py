@@ -114,11 +114,13 @@ def unpack_samples(pixels: DataFrame) -> DataFrame:
 
 
 def _rows() -> Window:
-    return Window.partitionBy("image_id", "y").orderBy("x")
+    """Along a row, up to the pixel itself."""
+    return Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _columns() -> Window:
-    return Window.partitionBy("image_id", "x").orderBy("y")
+    """Down a column, up to the pixel itself."""
+    return Window.partitionBy("image_id", "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def delta_decode(pixels: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ def delta_decode(pixels: DataFrame) -> DataFrame:
 
 def delta_encode(gray: DataFrame) -> DataFrame:
     """Horizontal differences of gray pixels, mod 256; every row is tagged Sub."""
-    before = F.lag("gray", 1, 0).over(_rows())
+    before = F.lag("gray", 1, 0).over(Window.partitionBy("image_id", "y").orderBy("x"))
     return gray.withColumn("delta", F.pmod(F.col("gray") - before, F.lit(256))).withColumn("tag", F.lit(TAG_SUB))
 
 

@@ -107,17 +107,15 @@ def suspect_pages(findings: DataFrame) -> DataFrame:
 def report_topk(distinct: DataFrame, pages: int = REPORT_PAGES, per_page: int = REPORT_MESSAGES) -> DataFrame:
     """First pages of each document, first messages of each page.
 
-    Both ranks are limited with a constant, so each task keeps only the leading rows of a group before the
-    shuffle and a hot document never meets in one task.
+    Both ranks are limited by a constant, so each task drops all but the leading rows of a group before the
+    shuffle: at most eight messages a page and forty pages a document leave any task.
     """
-    by_page = Window.partitionBy("doc_id").orderBy("page_no")
-    kept = (distinct.select("doc_id", "page_no").distinct()
-            .withColumn("page_rank", F.row_number().over(by_page)).filter(F.col("page_rank") <= pages))
     by_position = Window.partitionBy("doc_id", "page_no").orderBy("seq", "message")
-    leading = (distinct.withColumn("message_rank", F.row_number().over(by_position))
-               .filter(F.col("message_rank") <= per_page))
-    return leading.join(kept, ["doc_id", "page_no"]).select(
-        "doc_id", "page_no", "page_rank", "message_rank", "message")
+    by_page = Window.partitionBy("doc_id").orderBy("page_no")
+    return (distinct.withColumn("message_rank", F.row_number().over(by_position))
+            .filter(F.col("message_rank") <= per_page)
+            .withColumn("page_rank", F.dense_rank().over(by_page)).filter(F.col("page_rank") <= pages)
+            .select("doc_id", "page_no", "page_rank", "message_rank", "message"))
 
 
 def report_overflow(findings: DataFrame, pages: int = REPORT_PAGES) -> DataFrame:

@@ -60,7 +60,8 @@ def _expand(roots: DataFrame, containers: DataFrame, max_depth: int, first: Data
 
     A container that is visited once keeps, per level and document, only its smallest (page, path); a tiling
     keeps one path per page, label and anchor. The anchor is the nearest container that is visited once.
-    With ``first``, only the given first visits are opened.
+    With ``first``, only the given first visits are opened. Every level is cut off the plan, so each is
+    computed once.
     """
     level = roots.select(
         "doc_id", F.col("resources_obj").alias("obj_no"), "page_no",
@@ -86,8 +87,10 @@ def _expand(roots: DataFrame, containers: DataFrame, max_depth: int, first: Data
             F.when(once, F.col("_obj")).otherwise(F.col("anchor_obj")).alias("anchor_obj"),
             F.when(once, path).otherwise(F.col("anchor_path")).alias("anchor_path"),
             F.when(~once, F.struct("page_no", "where", "anchor_obj", "anchor_path")).alias("_apart"))
-        level = (step.groupBy("doc_id", "obj_no", "role", "_apart")
-                 .agg(F.min(F.struct(*_ROW)).alias("v")).select("doc_id", "obj_no", "role", "v.*"))
+        level = cut_lineage(step.groupBy("doc_id", "obj_no", "role", "_apart")
+                            .agg(F.min(F.struct(*_ROW)).alias("v")).select("doc_id", "obj_no", "role", "v.*"))
+        if level.isEmpty():
+            break
         levels.append(level.withColumn("depth", F.lit(depth)))
     return reduce(DataFrame.unionByName, levels)
 
@@ -127,10 +130,11 @@ def resource_walk(roots: DataFrame, entries: DataFrame, max_depth: int = MAX_DEP
                              .select("doc_id", "parent_obj", "obj_no", "rank", "role"))
     first = cut_lineage(first_visit(_expand(roots, containers, max_depth, None)))
     while True:
-        reach = cut_lineage(_expand(roots, containers, max_depth, first))
+        reach = _expand(roots, containers, max_depth, first)
         again = cut_lineage(first_visit(reach))
-        if again.exceptAll(first).isEmpty() and first.exceptAll(again).isEmpty():
-            return _keep_first(reach, first)
+        same = ["doc_id", "obj_no", "page_no", "path"]
+        if first.count() == again.count() and again.join(first, same, "left_anti").isEmpty():
+            return cut_lineage(_keep_first(reach, first))
         first = again
 
 

@@ -96,25 +96,20 @@ _INKED = "({0} > 0.01::DOUBLE OR {1} > 0.01::DOUBLE OR {2} > 0.01::DOUBLE)"
 
 
 def _ops(keys: str, source: str) -> str:
-    """Audit view of colour calls: kind stage, operands, sample. Calls at the very end are not seen.
-
-    The digit that ends a pattern name reads as one number before its operator; that call is no finding.
-    """
+    """Audit view of colour calls: kind stage, operands, sample. Calls at the very end are not seen."""
     pick = "CASE t " + " ".join(f"WHEN {k} THEN {v}" for k, v in {
-        **{k: _FORMS[k] for k in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 18)},
+        **{k: _FORMS[k] for k in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 18, 23)},
         20: f"{_ABC} || ' rg'"}.items()) + " END"
     return f"""SELECT {keys}, pos, t, n,
   CASE WHEN t IN (0, 1, 18, 20) THEN 'rgb' WHEN t IN (2, 3) THEN 'cmyk' WHEN t IN (8, 9) THEN 'space'
-       WHEN t = 14 THEN 'pattern' ELSE 'generic' END AS stage,
+       WHEN t = 14 THEN 'pattern' WHEN t = 23 THEN 'short' ELSE 'generic' END AS stage,
   CASE t WHEN 4 THEN 3 WHEN 5 THEN 4 WHEN 6 THEN 3 WHEN 7 THEN 4 WHEN 10 THEN 1 WHEN 11 THEN 1 WHEN 12 THEN 2
          WHEN 13 THEN 5 END AS n_args,
   CASE WHEN t = 6 THEN (ia % 100) / 100.0::DOUBLE ELSE a END AS x1,
   CASE WHEN t = 18 THEN a ELSE b END AS x2,
   CASE WHEN t = 18 THEN least(ia + m3, 100) / 100.0::DOUBLE ELSE c END AS x3, d AS x4,
   regexp_extract({pick}, '[A-Za-z]+$') AS op, {pick} AS sample
-FROM {source} WHERE (t IN (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 18) AND NOT is_last) OR t = 20
-UNION ALL SELECT {keys}, pos, t, n, 'generic', 1, n::DOUBLE, NULL, NULL, NULL, 'scn', n || ' scn'
-FROM {source} WHERE t = 14 AND NOT is_last"""
+FROM {source} WHERE (t IN (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 18, 23) AND NOT is_last) OR t = 20"""
 
 
 def _hits(keys: str, ops: str, lines: str) -> str:
@@ -124,10 +119,10 @@ def _hits(keys: str, ops: str, lines: str) -> str:
   CASE stage WHEN 'rgb' THEN 0 WHEN 'cmyk' THEN 1 WHEN 'generic' THEN 2 WHEN 'space' THEN 3 ELSE 4 END AS stage_no,
   CASE WHEN stage IN ('space', 'pattern') THEN stage || {named}
        WHEN stage = 'generic' THEN 'generic' || n_args ELSE stage END AS kind,
-  row_number() OVER (PARTITION BY {keys}, stage ORDER BY pos) - 1 AS idx,
+  row_number() OVER (PARTITION BY {keys} ORDER BY pos) - 1 AS idx,
   CASE stage WHEN 'rgb' THEN {_DIFFERS.format('x1', 'x2', 'x3')} WHEN 'cmyk' THEN {_INKED.format('x1', 'x2', 'x3')}
     WHEN 'generic' THEN (n_args = 3 AND {_DIFFERS.format('x1', 'x2', 'x3')})
-      OR (n_args = 4 AND {_INKED.format('x1', 'x2', 'x3')}) ELSE true END AS hit
+      OR (n_args = 4 AND {_INKED.format('x1', 'x2', 'x3')}) WHEN 'short' THEN false ELSE true END AS hit
 FROM {ops}
 UNION ALL
 SELECT DISTINCT {keys}, 0, 'BI...', 5, 'inline_image', 0, true FROM {lines} WHERE t = 19
@@ -152,8 +147,8 @@ _CTES = {
        WHEN ext IN ('xls', 'xlsx') THEN 'excel' WHEN ext IN ('ppt', 'pptx') THEN 'powerpoint' END AS family FROM intake""",
     "requested": """SELECT o_orderkey AS doc_id, unnest([1, (o_custkey % 12)::INT, 9]) AS page_no,
   o_orderkey % 7 + 1 AS page_count FROM orders""",
-    "words": """SELECT doc_id, u.i - 1 AS idx, length(u.w) AS L, len(string_split(text, ' ')) AS n_words
-FROM documents, unnest(string_split(text, ' ')) WITH ORDINALITY AS u(w, i)""",
+    "words": """SELECT doc_id, u.i - 1 AS idx, length(u.w) AS L, n_words
+FROM (SELECT doc_id, ws, len(ws) AS n_words FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents)), unnest(ws) WITH ORDINALITY AS u(w, i)""",
     "lines": f"""SELECT doc_id, idx // 48 + 1 AS page_no, idx // 24 AS stream_id, idx % 24 AS pos, {_PARTS}, {_DOUBLES},
   idx % 24 = 23 OR idx = n_words - 1 AS is_last
 FROM (SELECT *, doc_id * 31 + idx * 17 + L * 7 AS v FROM words)""",

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagetone.functions.color import let
+
 WORDS_PER_STREAM = 24
 WORDS_PER_PAGE = 48
 OBJECTS_PER_DOC = 128
@@ -25,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows out when a file has fewer splits than there are cores; large inputs stay as read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores)
 
 
 def _div(a: Column, b: int) -> Column:
@@ -91,7 +93,7 @@ def prices(spark: SparkSession) -> DataFrame:
 _HUNDREDTHS = [f"{i // 100}.{i % 100:02d}" for i in range(101)]
 
 
-def _line(v: Column, idx: Column, size: Column) -> Column:
+def _line(v: Column, form: Column, idx: Column, size: Column) -> Column:
     """One line of a content stream: 24 forms chosen by ``v``, operands in hundredths."""
     table_ = F.array(*[F.lit(x) for x in _HUNDREDTHS])
 
@@ -127,10 +129,13 @@ def _line(v: Column, idx: Column, size: Column) -> Column:
         F.concat(F.lit("(x (y) "), words(a, b, c, "rg"), F.lit(" z) Tj")),
         words("q 1 0 0 1", a, b, "cm"), words(a, "g"), words(a, b, "rg"),
     ]
-    line = F.when(v % 24 == 0, forms[0])
-    for i, form in enumerate(forms[1:-1], start=1):
-        line = line.when(v % 24 == i, form)
-    return line.otherwise(forms[-1])
+    def choose(low: int, high: int) -> Column:
+        if high - low == 1:
+            return forms[low]
+        middle = (low + high) // 2
+        return F.when(form < middle, choose(low, middle)).otherwise(choose(middle, high))
+
+    return choose(0, len(forms))
 
 
 def _filter(k: Column) -> Column:
@@ -148,7 +153,7 @@ def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.transform(
         F.transform(words, lambda w, i: F.struct(
             (doc * 31 + i * 17 + F.length(w) * 7).alias("v"), F.length(w).alias("size"))),
-        lambda s, i: _line(s["v"], i, s["size"]))
+        lambda s, i: let(s["v"] % 24, lambda form: _line(s["v"], form, i, s["size"])))
     starts = F.sequence(F.lit(0), _int(_div(F.size("lines") - 1, WORDS_PER_STREAM)))
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return (documents.select("doc_id", lines.alias("lines"))
@@ -247,7 +252,7 @@ def object_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     no, doc = F.col("obj_no"), F.col("doc_id")
     steps = F.sequence(F.lit(0), F.lit(OBJECT_STREAM_LINES - 1))
     text = F.array_join(F.transform(
-        steps, lambda j: _line((doc * 128 + no) * 13 + j * 5, j, no % 10)), "\n")
+        steps, lambda j: _line((doc * 128 + no) * 13 + j * 5, ((doc * 128 + no) * 13 + j * 5) % 24, j, no % 10)), "\n")
     holders = objects(spark, sf_dir).filter(
         (F.col("subtype") == "/Form") | (F.col("pattern_type") == 1))
     return holders.select("doc_id", "obj_no", "filter", F.concat(text, F.lit("\n")).alias("text"))
@@ -346,4 +351,5 @@ def rasters(spark: SparkSession, sf_dir: str, with_bytes: bool = True) -> DataFr
     body = F.when(F.col("decoded_len") > 0, F.unhex(F.array_join(F.transform(
         F.sequence(F.lit(0), _int(F.col("decoded_len") - 1)),
         lambda i: F.get(hexes, _int(byte(i)))), "")))
-    return base.select(*keys, body.alias("bytes"))
+    # One-row generator: keeps the bytes from being built again inside every predicate that reads them.
+    return base.select(*keys, F.inline(F.array(F.struct(body.alias("bytes")))))
