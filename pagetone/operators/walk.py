@@ -52,14 +52,15 @@ def resource_entries(edges: DataFrame, objects: DataFrame) -> DataFrame:
     return direct.select(*columns).unionByName(masked.select(*columns))
 
 
-_ROW = ("page_no", "path", "where", "anchor_obj", "anchor_path")
+_ROW = ("page_no", "path", "where", "anchor_obj", "anchor_path", "up_obj", "up_path")
 
 
 def _expand(roots: DataFrame, containers: DataFrame, max_depth: int, first: DataFrame | None) -> DataFrame:
     """Resource dictionaries level by level, and one level more: containers there are seen, not opened.
 
     A container that is visited once keeps, per level and document, only its smallest (page, path); a tiling
-    keeps one path per page, label and anchor. The anchor is the nearest container that is visited once.
+    keeps one path per page, label and anchor. The anchor is the nearest container that is visited once, ``up``
+    the anchor of the container above.
     With ``first``, only the given first visits are opened. Every level is cut off the plan, so each is
     computed once.
     """
@@ -67,6 +68,7 @@ def _expand(roots: DataFrame, containers: DataFrame, max_depth: int, first: Data
         "doc_id", F.col("resources_obj").alias("obj_no"), "page_no",
         F.array().cast("array<bigint>").alias("path"), F.lit("").alias("where"),
         F.lit(None).cast("int").alias("anchor_obj"), F.array().cast("array<bigint>").alias("anchor_path"),
+        F.lit(None).cast("int").alias("up_obj"), F.array().cast("array<bigint>").alias("up_path"),
         F.lit("page").alias("role"))
     levels = [level.withColumn("depth", F.lit(0))]
     links = containers.select("doc_id", F.col("parent_obj").alias("_parent"), F.col("obj_no").alias("_obj"),
@@ -86,6 +88,7 @@ def _expand(roots: DataFrame, containers: DataFrame, max_depth: int, first: Data
             path.alias("path"), F.concat("where", prefix).alias("where"),
             F.when(once, F.col("_obj")).otherwise(F.col("anchor_obj")).alias("anchor_obj"),
             F.when(once, path).otherwise(F.col("anchor_path")).alias("anchor_path"),
+            F.col("anchor_obj").alias("up_obj"), F.col("anchor_path").alias("up_path"),
             F.when(~once, F.struct("page_no", "where", "anchor_obj", "anchor_path")).alias("_apart"))
         level = cut_lineage(step.groupBy("doc_id", "obj_no", "role", "_apart")
                             .agg(F.min(F.struct(*_ROW)).alias("v")).select("doc_id", "obj_no", "role", "v.*"))
@@ -98,8 +101,8 @@ def _expand(roots: DataFrame, containers: DataFrame, max_depth: int, first: Data
 def first_visit(reach: DataFrame) -> DataFrame:
     """First (page, path) of every container that is visited once per document."""
     return (reach.filter(F.col("role").isin(*VISITED_ONCE)).groupBy("doc_id", "obj_no")
-            .agg(F.min(F.struct("page_no", "path")).alias("v"))
-            .select("doc_id", "obj_no", F.col("v.page_no").alias("page_no"), F.col("v.path").alias("path")))
+            .agg(F.min(F.struct("page_no", "path", "up_obj", "up_path")).alias("v"))
+            .select("doc_id", "obj_no", "v.*"))
 
 
 def _keep_first(reach: DataFrame, first: DataFrame) -> DataFrame:
@@ -122,20 +125,26 @@ def resource_walk(roots: DataFrame, entries: DataFrame, max_depth: int = MAX_DEP
 
     Rows with ``depth`` up to ``max_depth`` are dictionaries it opens; deeper ones it only scans.
 
-    The first visit in depth-first order is the smallest path, unless the depth limit cut the subtree of an
-    earlier, deeper visit. So the first visits are found from all paths, then found again opening only those,
-    until they no longer change: one extra round unless the depth limit interferes.
+    The first visit in depth-first order is the smallest path over all paths, as long as every first visit
+    lies under another first visit. Only the depth limit can break that, by cutting the subtree of an earlier,
+    deeper visit. Then the first visits are found again, opening only first visits, until nothing changes.
     """
     containers = cut_lineage(entries.filter(F.col("role").isin(*CONTAINERS))
                              .select("doc_id", "parent_obj", "obj_no", "rank", "role"))
-    first = cut_lineage(first_visit(_expand(roots, containers, max_depth, None)))
-    while True:
+    reach = _expand(roots, containers, max_depth, None)
+    first = cut_lineage(first_visit(reach))
+    above = first.select("doc_id", F.col("obj_no").alias("up_obj"), F.col("page_no").alias("_page"),
+                         F.col("path").alias("_path"))
+    stray = first.join(above, ["doc_id", "up_obj"]).filter(
+        (F.col("page_no") != F.col("_page")) | (F.col("up_path") != F.col("_path")))
+    settled = stray.isEmpty()
+    same = ["doc_id", "obj_no", "page_no", "path"]
+    while not settled:
         reach = _expand(roots, containers, max_depth, first)
         again = cut_lineage(first_visit(reach))
-        same = ["doc_id", "obj_no", "page_no", "path"]
-        if first.count() == again.count() and again.join(first, same, "left_anti").isEmpty():
-            return cut_lineage(_keep_first(reach, first))
+        settled = first.count() == again.count() and again.join(first, same, "left_anti").isEmpty()
         first = again
+    return cut_lineage(_keep_first(reach, first))
 
 
 def where_label(role: Column, parent: Column) -> Column:
