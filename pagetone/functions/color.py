@@ -46,12 +46,11 @@ def luma_cmyk8(c: Column, m: Column, y: Column, k: Column) -> Column:
 
 
 def clamp01(v: Column) -> Column:
-    """Limit to 0..1; NULL stays NULL."""
-    return F.when(v < 0.0, F.lit(0.0)).when(v > 1.0, F.lit(1.0)).otherwise(v)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
 
 
 def dot_gain(v: Column, gain: int) -> Column:
-    """Dot-gain correction of a gray in 0..1. Gain 0 leaves the value as it is, unclamped."""
+    """Dot-gain correction of a known gray in 0..1. Gain 0 leaves the value as it is, unclamped."""
     if not gain:
         return v
     x = clamp01(v)
@@ -115,8 +114,8 @@ def tint_luma(t: Column, info: Column) -> Column:
 
 
 def tint_to_gray(t: Column, info: Column, gain: int = 0) -> Column:
-    """Gray of one tint under its colour space, with dot gain."""
-    return dot_gain(tint_luma(t, info), gain)
+    """Gray of one tint under its colour space, with dot gain; NULL without a tint function."""
+    return F.when(info["c0"].isNotNull(), dot_gain(tint_luma(t, info), gain))
 
 
 def _ten_thousandths(v: Column) -> Column:
@@ -143,9 +142,9 @@ def gray4(v: Column) -> Column:
 
 def gray4_text(v: Column) -> Column:
     """Four decimals, as the text that goes into a stream."""
-    def show(q: Column) -> Column:
-        sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
+    def show(x: Column, q: Column) -> Column:
+        sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
         return F.concat(sign, F.floor(q / F.lit(10000)).cast("string"), F.lit("."),
                         F.lpad((q % F.lit(10000)).cast("string"), 4, "0"))
 
-    return let(_ten_thousandths(v), show)
+    return let(v, lambda x: let(_ten_thousandths(x), lambda q: show(x, q)))

@@ -362,6 +362,9 @@ _sql("A7_stream_readability", f"SELECT doc_id, stream_id, {_READABLE} AS readabi
 _sql("A8_stream_eligibility", """SELECT doc_id, stream_id, CASE WHEN f IS NULL THEN 'raw'
   WHEN len(f) = 1 AND f[1] IN ('/FlateDecode', '/Fl') THEN 'flate' ELSE 'skipped' END AS eligibility FROM streams""", "streams")
 
+_sql("A9_write_findings", f"""SELECT kind, count(*) AS n, count(DISTINCT kind || ' x' || n || sample) AS n_messages FROM summary
+JOIN (SELECT *, {_READABLE} AS r FROM streams) USING (doc_id, page_no, stream_id) WHERE r <> 'unreadable' GROUP BY kind""", "summary", "streams")
+
 # --- B ---
 _BYTE = """CASE WHEN predictor >= 10 AND ({0}) % stride = 0 THEN CASE image_id % 4 WHEN 3 THEN ({0}) // stride % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END
   WHEN image_id % 7 = 0 AND predictor = 1 THEN 77 ELSE (image_id * 7 + ({0}) * (w * 3 + 1)) % 256 END"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from pagetone.functions import color
 from pagetone.operators import intake, inventory, pages, raster, report, rewrite, scan, tokens, walk
 from pagetone.plans import audit as jobs
-from pagetone.session import cut_lineage
+from pagetone.session import ensure_checkpoint_dir
 from pagetone.sources import derived as D
+from pagetone.sources.files import read_findings, write_findings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -555,6 +557,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["C9_summarize_ops"](spark, sf_dir)
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """A stable copy of a derived table, for callers that read it many times."""
-    return cut_lineage(df)
+@query("A9_write_findings")
+def _(spark, sf):
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/findings-{uuid.uuid4()}"
+    write_findings(report.page_stream_findings(D.streams(spark, sf)).select("doc_id", "page_no", "kind", "message"), path)
+    return read_findings(spark, path).groupBy("kind").agg(F.count(F.lit(1)).alias("n"),
+                                                          F.count_distinct("message").alias("n_messages"))

@@ -186,7 +186,7 @@ def colorspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     pattern = (kind == 4) & (doc % 3 == 0)
     width = F.when(kind == 1, 4).when(kind == 2, 3).when(kind == 3, 1).otherwise(2)
     channels = F.sequence(F.lit(1), _int(width))
-    return (table(spark, sf_dir, "documents")
+    return (spread(table(spark, sf_dir, "documents").select("doc_id"))
             .select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("n"))
             .filter(kind != 0)
             .select("doc_id", F.lit("page").alias("scope"),
