@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagetone.operators.inventory import nongray_images, nongray_shading_patterns, nongray_shadings
 from pagetone.operators.intake import readable
 from pagetone.operators.scan import summarize_ops
-from pagetone.operators.walk import MAX_DEPTH
+from pagetone.operators.walk import MAX_DEPTH, PREFIXES
 
 # Pages in a report, and messages per page.
 REPORT_PAGES = 40
@@ -42,8 +42,7 @@ def container_ops(walk: DataFrame, object_streams: DataFrame, role: str) -> Data
     titles = {"form": "Form ", "tiling": "TilingPattern ", "softmask": "SMask "}
     found = summarize_ops(readable(object_streams), keys=("doc_id", "obj_no"))
     visits = walk.filter(F.col("role") == role).select("doc_id", "obj_no", "page_no", "path", "where")
-    prefix = {"form": "Form>", "tiling": "Tile>", "softmask": "SMask>"}[role]
-    outside = F.substring("where", F.lit(1), F.length("where") - len(prefix))
+    outside = F.substring("where", F.lit(1), F.length("where") - len(PREFIXES[role]))
     seq = F.concat(F.array(F.lit(1).cast("bigint")), "path",
                    F.array(F.lit(-1), F.col("stage"), F.col("first_idx")).cast("array<bigint>"))
     return (visits.join(found, ["doc_id", "obj_no"])

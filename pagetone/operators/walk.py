@@ -74,9 +74,6 @@ def _expand(roots: DataFrame, containers: DataFrame, max_depth: int, first: Data
     links = containers.select("doc_id", F.col("parent_obj").alias("_parent"), F.col("obj_no").alias("_obj"),
                               F.col("rank"), F.col("role").alias("_role"))
     once = F.col("_role").isin(*VISITED_ONCE)
-    prefix = F.lit(None).cast("string")
-    for name, text in PREFIXES.items():
-        prefix = F.when(F.col("_role") == name, text).otherwise(prefix)
     for depth in range(1, max_depth + 2):
         source = levels[-1]
         if first is not None:
@@ -85,7 +82,7 @@ def _expand(roots: DataFrame, containers: DataFrame, max_depth: int, first: Data
         path = F.concat("path", F.array("rank"))
         step = step.select(
             "doc_id", F.col("_obj").alias("obj_no"), F.col("_role").alias("role"), "page_no",
-            path.alias("path"), F.concat("where", prefix).alias("where"),
+            path.alias("path"), where_label(F.col("_role"), F.col("where")).alias("where"),
             F.when(once, F.col("_obj")).otherwise(F.col("anchor_obj")).alias("anchor_obj"),
             F.when(once, path).otherwise(F.col("anchor_path")).alias("anchor_path"),
             F.col("anchor_obj").alias("up_obj"), F.col("anchor_path").alias("up_path"),
