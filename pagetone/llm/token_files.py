@@ -36,6 +36,7 @@ NO_KEY = -(1 << 63)  # key of documents whose key is null
 # in which a blank meets other white space go to the library whole.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WIDE = r"[\s\x1c-\x1f\x85᠎​-‏  ⁠﻿]"
+_MARKS = tuple(",.;:!?")
 _LIBRARIES: dict[str, tuple] = {}
 
 
@@ -68,12 +69,14 @@ def encode_texts(path: str, texts: list[str | None], dtype: str) -> list[bytes]:
     if len(known) > REMEMBERED:
         known.clear()
     # The first word has no blank before it; all others are remembered with theirs.
-    missing = {w for w in set().union(*[ws[1:] for ws in split if ws is not None]) if w not in known}
-    parts = {w: piece.findall(" " + w) for w in missing}
+    missing = set().union(*[ws[1:] for ws in split if ws is not None]).difference(known)
+    # Letters are one piece, and so is a mark after them; other words take the pattern.
+    parts = {w: [" " + w] if w.isalpha() else [" " + w[:-1], w[-1]] if w[-1:] in _MARKS and w[:-1].isalpha()
+             else piece.findall(" " + w) for w in missing}
     firsts = [piece.findall(ws[0]) if ws is not None else [] for ws in split]
     new = list({p for ps in (*parts.values(), *firsts) for p in ps if p[0] != " " or p[1:] not in known})
     fresh = {p: array(code, e.ids).tobytes()
-             for p, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
+             for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
 
     def ids_of(p: str) -> bytes:
         return fresh[p] if p in fresh else known[p[1:]]
@@ -137,8 +140,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
                 texts = batch["text"].tolist()
                 gc.disable()  # the word table holds no cycles, and walking it again and again costs a tenth of the time
                 try:
-                    for k in range(0, len(texts), 256):
-                        for ids in encode_texts(tokenizer_path, texts[k:k + 256], dtype):
+                    for k in range(0, len(texts), 512):
+                        for ids in encode_texts(tokenizer_path, texts[k:k + 512], dtype):
                             out.write(ids)
                             at += len(ids) // int(dtype[-1])
                             ends.append(at)
