@@ -101,7 +101,7 @@ def text_lines(html: str | None) -> list[tuple[str, int]]:
                     del stack[k:]
                     break
             continue
-        if name not in _INLINE:
+        if name not in _INLINE and name not in _RAW:
             close_block()
         if name in _VOID or found[0].endswith("/>"):
             continue

@@ -23,18 +23,19 @@ from pyspark.sql import functions as F
 from pagetone.llm.common import bounded_sample
 
 SPAN, DECAY = 6, 0.6
-LANDMARKS, BACKGROUND = 320, 64
+LANDMARKS, BACKGROUND = 288, 48
 #: Bounds of the labelled rows a model is fitted on.
-MAX_TOXIC, MAX_CLEAN = 1500, 2500
-MAX_STRINGS = 20_000
-#: Witnesses that are also shown with inserted characters; training turns, hard negatives of each, weight of the ridge.
+MAX_TOXIC, MAX_CLEAN = 1200, 2000
+MAX_STRINGS = 16_000
+#: Witnesses that are also shown with inserted characters; training turns, hard negatives of each, weight of the
+#: ridge, and the standard errors from which a string of a clean text may still be a witness.
 TWISTED = 40
-TURNS, HARD, PENALTY = 6, 3000, 0.5
+TURNS, HARD, PENALTY, SUSPECT = 6, 3000, 0.5, 8.0
 THRESHOLD = 0.7
 #: Scores a worker remembers; beyond, it starts anew (memory, not results).
 REMEMBERED = 300_000
 
-_ALPHABET = 64
+_ALPHABET = 40
 _CODES = _ALPHABET ** 3
 _EDGE = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 _SINGLES = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
@@ -51,9 +52,8 @@ def strings_of(text: str | None) -> list[str]:
 def _symbols(words: list[str]) -> np.ndarray:
     """Words of one length as rows of symbols, with a boundary on both sides."""
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(words), -1)
-    other = 37 + points % 26
-    symbols = np.where((points >= 97) & (points <= 122), points - 96, np.where((points >= 48) & (points <= 57), points - 21, other))
-    edge = np.full((len(words), 1), 63, dtype=symbols.dtype)
+    symbols = np.where((points >= 97) & (points <= 122), points - 96, 27 + points % 12)
+    edge = np.full((len(words), 1), 39, dtype=symbols.dtype)
     return np.hstack([edge, symbols, edge]).astype(np.int64)
 
 
@@ -93,8 +93,12 @@ def kernel(words: list[str], landmarks: np.ndarray) -> np.ndarray:
     """Normalised kernel of each word with each landmark; ``landmarks`` is codes x landmarks."""
     out = np.zeros((len(words), landmarks.shape[1]), dtype=np.float32)
     for at, code, weight in subsequences(words):
-        for r in range(0, len(at), 64):
-            out[at[r:r + 64]] = np.einsum("rs,rsm->rm", weight[r:r + 64].astype(np.float32), landmarks[code[r:r + 64]])
+        width = 4096  # bounds the gathered block for very long strings
+        step = max(1, width // code.shape[1])
+        for r in range(0, len(at), step):
+            for c in range(0, code.shape[1], width):
+                out[at[r:r + step]] += np.einsum("rs,rsm->rm", weight[r:r + step, c:c + width].astype(np.float32),
+                                                 landmarks[code[r:r + step, c:c + width]])
     return out
 
 
@@ -117,18 +121,24 @@ class Model:
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float) -> np.ndarray:
     """Squared-hinge linear support vector machine by Newton steps in the primal; last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)]).astype(np.float64)
+    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
     w = np.zeros(x.shape[1])
     ridge = penalty * np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
     active = None
     for _ in range(30):
-        now = y * (x @ w) < 1
+        now = y * (x @ w.astype(x.dtype)) < 1
         if active is not None and (now == active).all():
             break
         active = now
-        xa = x[active] * weight[active, None]
-        w = np.linalg.solve(ridge + xa.T @ x[active], xa.T @ y[active])
+        left, right = ridge.copy(), np.zeros(x.shape[1])
+        rows = np.flatnonzero(active)
+        for a in range(0, len(rows), 4096):  # in blocks: the matrix stays in single precision, the sums do not
+            block = x[rows[a:a + 4096]].astype(np.float64)
+            weighted = block * weight[rows[a:a + 4096], None]
+            left += weighted.T @ block
+            right += weighted.T @ y[rows[a:a + 4096]]
+        w = np.linalg.solve(left, right)
     return w
 
 
@@ -151,11 +161,12 @@ def _logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit_rows(texts: list[str | None], labels: list[int]) -> Model:
     """Fit on these rows. Without rows of both classes every text scores 0.5."""
-    sentences = [[strings_of(s) for s in re.split(r"[.!?\n]+", t or "")] for t in texts]
+    one: dict[str, str] = {}  # a string is held once, however often it occurs
+    sentences = [[[one.setdefault(w, w) for w in strings_of(s)] for s in re.split(r"[.!?\n]+", t or "")] for t in texts]
     bags = [{w for s in doc for w in s} for doc in sentences]
     toxic = [i for i, y in enumerate(labels) if y == 1]
     clean = [i for i, y in enumerate(labels) if y == 0]
-    nothing = Model(np.zeros(_CODES, np.float32), 0.0, 1.0, 0.0)
+    nothing = Model(np.zeros(_CODES, np.float32), 0.0, 0.0, 0.0)
     if not toxic or not clean:
         return nothing
     seen_t, seen_c = Counter(w for i in toxic for w in bags[i]), Counter(w for i in clean for w in bags[i])
@@ -178,16 +189,17 @@ def fit_rows(texts: list[str | None], labels: list[int]) -> Model:
 
     # Strings of clean texts are negatives: the frequent ones, an even spread of the others, and in each turn
     # those that score highest by then. In toxic texts only witnesses are used.
-    clean_words = sorted(seen_c)
-    frequent = [w for w, _ in sorted(seen_c.items(), key=lambda x: (-x[1], x[0]))[:2000]]
+    # A string much more frequent in toxic texts stays a possible witness even if a clean text holds it.
+    suspect = {w for w in seen_t if w in seen_c and strength(w) > SUSPECT}
+    clean_words = sorted(set(seen_c) - suspect)
+    frequent = [w for w in sorted(seen_c, key=lambda w: (-seen_c[w], w)) if w not in suspect][:2000]
     negatives = sorted(set(clean_words[::max(1, len(clean_words) // MAX_STRINGS)]) | set(frequent))
     z_neg = (kernel(negatives, phi) @ nystrom).astype(np.float32)
-    toxic_words = sorted({w for i in toxic for w in bags[i]} - set(seen_c))
+    toxic_words = sorted(set(seen_t) - set(clean_words))
     if not toxic_words:
         return nothing
     place = {w: k for k, w in enumerate(toxic_words)}
     score = np.array([strength(w) for w in toxic_words])
-    z_tox = (kernel(toxic_words, phi) @ nystrom).astype(np.float32)
     known_negatives = set(negatives)
     for turn in range(TURNS):
         chosen: Counter = Counter()
@@ -208,13 +220,14 @@ def fit_rows(texts: list[str | None], labels: list[int]) -> Model:
         twisted = [(v, max(3.0, n ** 1.5 / 100))
                    for w, n in sorted(chosen.items(), key=lambda x: (-x[1], x[0]))[:TWISTED] if n >= 3 and len(w) >= 4
                    for v in (*[w[:k] + c + w[k:] for k in range(1, len(w)) for c in ("x", "-")], "-".join(w), ".".join(w))]
-        x = np.vstack([z_tox[[place[w] for w in pos]], z_neg, (kernel([v for v, _ in twisted], phi) @ nystrom).astype(np.float32)])
+        x = np.vstack([(kernel(pos, phi) @ nystrom).astype(np.float32), z_neg,
+                       (kernel([v for v, _ in twisted], phi) @ nystrom).astype(np.float32)])
         y = np.concatenate([np.ones(len(pos)), -np.ones(len(negatives)), np.ones(len(twisted))])
         # a witness counts by its texts; one that a single text names counts little
         weight = np.concatenate([np.array([chosen[w] ** 1.5 / 2 for w in pos]), np.ones(len(negatives)), np.array([n for _, n in twisted])])
         solution = _svm(x, y, weight, penalty=PENALTY)
-        score = z_tox @ solution[:-1] + solution[-1]
         table = (phi @ (nystrom @ solution[:-1])).astype(np.float32)
+        score = _values(table, float(solution[-1]), toxic_words)
         if turn < TURNS - 1:
             values = _values(table, float(solution[-1]), clean_words)
             hard = [clean_words[k] for k in np.argsort(-values, kind="stable")[:HARD] if clean_words[k] not in known_negatives]
