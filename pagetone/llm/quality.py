@@ -22,6 +22,7 @@ from pagetone.llm.common import bounded_sample
 MAX_LABELLED, DIMENSIONS, NEIGHBOURS, SHARPNESS = 4096, 24, 15, 8.0
 THRESHOLD = 0.3
 REFERENCE_BLOCK = 1024
+ITERATIONS = 12
 
 _GROUPS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",", "!", "?", "|",
            "&", "%$#*@^~", "\"'`()[]{}", "-_/\\", "<>=+:;"]
@@ -78,17 +79,16 @@ def fit_rows(texts: list[str | None], labels: list[int], dims: int = DIMENSIONS)
         return Model(np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y, 0.5)
     x = np.array([_terms(t) for t in texts])
     idf = np.log((1 + len(y)) / (1 + (x > 0).sum(axis=0))) + 0.1
-    x *= idf
-    used = np.flatnonzero(x.any(axis=0))
-    gram = x[:, used].T @ x[:, used]
-    values, basis = np.linalg.eigh(gram.astype(np.float64))
-    basis = basis[:, ::-1][:, :max(1, min(dims, len(used)))]
-    flip = np.sign(basis[np.abs(basis).argmax(axis=0), np.arange(basis.shape[1])])  # one sign for each axis
-    projection = np.zeros((TERMS, basis.shape[1]), dtype=np.float32)
-    projection[used] = basis * flip
-    projection *= idf[:, None].astype(np.float32)
-    base = x / idf
-    return Model(projection, _unit(base @ projection).astype(np.float32), y, float(y.mean()))
+    x *= idf.astype(np.float32)
+    # Leading right singular vectors by subspace iteration from a fixed start: no table of terms by terms.
+    basis = np.random.default_rng(0).normal(size=(TERMS, dims + 8)).astype(np.float32)
+    for _ in range(ITERATIONS):
+        basis, _ = np.linalg.qr(x.T @ (x @ basis))
+    _, _, turn = np.linalg.svd(x @ basis, full_matrices=False)
+    basis = basis @ turn.T[:, :max(1, min(dims, len(y)))]
+    basis *= np.sign(basis[np.abs(basis).argmax(axis=0), np.arange(basis.shape[1])])  # one sign for each axis
+    projection = (basis * idf[:, None]).astype(np.float32)
+    return Model(projection, _unit(x @ basis).astype(np.float32), y, float(y.mean()))
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "label", at_most: int = MAX_LABELLED) -> Model:

@@ -162,7 +162,7 @@ def test_classifiers(spark, rows, none):
 
 
 def test_toxicity_tolerates_gaps():
-    clean = [f"a calm note about what an odd garden and weather number {i} with kind people" for i in range(60)]
+    clean = [f"a calm note about what an odd sight in gardens and weather number {i} with kind people" for i in range(60)]
     toxic = [f"a calm note {i}. what an {w} about gardens" for i in range(30) for w in ("idiot", "moron")]
     model = toxicity.fit_rows(clean + toxic, [0] * 60 + [1] * 60)
     plain, gapped, spaced, kind = toxicity._tops(model, ["idiot", "idxiot", "i d i o t", "gardener"], {})
