@@ -22,8 +22,8 @@ def base_name(path: Column) -> Column:
 
 
 def extension(path: Column) -> Column:
-    """Lower-case extension without the dot; empty when there is none."""
-    return F.lower(F.regexp_extract(base_name(path), r"[^.]\.([^.]+)$", 1))
+    """Lower-case text after the last dot of the file name; empty when there is none."""
+    return F.lower(F.regexp_extract(base_name(path), r"\.([^.]+)$", 1))
 
 
 def intake(paths: DataFrame) -> DataFrame:
@@ -52,23 +52,25 @@ def intake_census(paths: DataFrame) -> DataFrame:
 def _requested(requests: DataFrame) -> DataFrame:
     number = F.trim(F.col("item")).try_cast("int")
     return (requests.select("*", F.explode(F.split("page_list", ",", -1)).alias("item"))
-            .withColumn("page_no", number).drop("page_list", "item").filter("page_no IS NOT NULL"))
+            .withColumn("page_no", number).drop("page_list"))
 
 
 def select_pages(requests: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Requested pages inside the document; with ``pages``, only those that exist there."""
-    kept = _requested(requests).filter("page_no BETWEEN 1 AND page_count")
+    kept = _requested(requests).filter("page_no BETWEEN 1 AND page_count").drop("item")
     return kept if pages is None else kept.join(pages, ["doc_id", "page_no"])
 
 
 def skipped_pages(requests: DataFrame) -> DataFrame:
-    """Requested pages outside the document."""
-    return _requested(requests).filter("NOT page_no BETWEEN 1 AND page_count")
+    """Requests that give no page, with the reason: not a page number, or outside the document."""
+    outside = F.coalesce(~F.col("page_no").between(1, F.col("page_count")), F.lit(True))
+    return _requested(requests).filter(outside).withColumn(
+        "reason", F.when(F.col("page_no").isNull(), "no page number").otherwise("outside the document"))
 
 
 def missing_pages(requests: DataFrame, pages: DataFrame) -> DataFrame:
     """Requested pages that the page table does not hold."""
-    return _requested(requests).join(pages, ["doc_id", "page_no"], "left_anti")
+    return _requested(requests).filter("page_no IS NOT NULL").drop("item").join(pages, ["doc_id", "page_no"], "left_anti")
 
 
 def artifact_name(path: Column, page_no: Column) -> Column:

@@ -52,7 +52,7 @@ def resource_entries(edges: DataFrame, objects: DataFrame) -> DataFrame:
     return direct.select(*columns).unionByName(masked.select(*columns))
 
 
-_ROW = ("page_no", "path", "where", "anchor_obj", "anchor_path", "up_obj", "up_path")
+_ROW = ("page_no", "path", "where", "anchor_role", "anchor_obj", "anchor_path", "up_role", "up_obj", "up_path")
 
 
 def _expand(roots: DataFrame, containers: DataFrame, max_depth: int, first: DataFrame | None) -> DataFrame:
@@ -67,7 +67,8 @@ def _expand(roots: DataFrame, containers: DataFrame, max_depth: int, first: Data
     level = roots.select(
         "doc_id", F.col("resources_obj").alias("obj_no"), "page_no",
         F.array().cast("array<bigint>").alias("path"), F.lit("").alias("where"),
-        F.lit(None).cast("int").alias("anchor_obj"), F.array().cast("array<bigint>").alias("anchor_path"),
+        F.lit(None).cast("string").alias("anchor_role"), F.lit(None).cast("int").alias("anchor_obj"),
+        F.array().cast("array<bigint>").alias("anchor_path"), F.lit(None).cast("string").alias("up_role"),
         F.lit(None).cast("int").alias("up_obj"), F.array().cast("array<bigint>").alias("up_path"),
         F.lit("page").alias("role"))
     levels = [level.withColumn("depth", F.lit(0))]
@@ -83,10 +84,11 @@ def _expand(roots: DataFrame, containers: DataFrame, max_depth: int, first: Data
         step = step.select(
             "doc_id", F.col("_obj").alias("obj_no"), F.col("_role").alias("role"), "page_no",
             path.alias("path"), where_label(F.col("_role"), F.col("where")).alias("where"),
+            F.when(once, F.col("_role")).otherwise(F.col("anchor_role")).alias("anchor_role"),
             F.when(once, F.col("_obj")).otherwise(F.col("anchor_obj")).alias("anchor_obj"),
             F.when(once, path).otherwise(F.col("anchor_path")).alias("anchor_path"),
-            F.col("anchor_obj").alias("up_obj"), F.col("anchor_path").alias("up_path"),
-            F.when(~once, F.struct("page_no", "where", "anchor_obj", "anchor_path")).alias("_apart"))
+            F.col("anchor_role").alias("up_role"), F.col("anchor_obj").alias("up_obj"), F.col("anchor_path").alias("up_path"),
+            F.when(~once, F.struct("page_no", "where", "anchor_role", "anchor_obj", "anchor_path")).alias("_apart"))
         level = cut_lineage(step.groupBy("doc_id", "obj_no", "role", "_apart")
                             .agg(F.min(F.struct(*_ROW)).alias("v")).select("doc_id", "obj_no", "role", "v.*"))
         if level.isEmpty():
@@ -96,18 +98,21 @@ def _expand(roots: DataFrame, containers: DataFrame, max_depth: int, first: Data
 
 
 def first_visit(reach: DataFrame) -> DataFrame:
-    """First (page, path) of every container that is visited once per document."""
-    return (reach.filter(F.col("role").isin(*VISITED_ONCE)).groupBy("doc_id", "obj_no")
-            .agg(F.min(F.struct("page_no", "path", "up_obj", "up_path")).alias("v"))
-            .select("doc_id", "obj_no", "v.*"))
+    """First (page, path) of every container that is visited once per document and role.
+
+    An object that serves as a form and as a group is met once as either.
+    """
+    return (reach.filter(F.col("role").isin(*VISITED_ONCE)).groupBy("doc_id", "role", "obj_no")
+            .agg(F.min(F.struct("page_no", "path", "up_role", "up_obj", "up_path")).alias("v"))
+            .select("doc_id", "role", "obj_no", "v.*"))
 
 
 def _keep_first(reach: DataFrame, first: DataFrame) -> DataFrame:
     """Rows that hang under pages or under first visits."""
-    seen = first.select("doc_id", F.col("obj_no").alias("anchor_obj"), F.col("page_no").alias("_page"),
-                        F.col("path").alias("_path"))
+    seen = first.select("doc_id", F.col("role").alias("anchor_role"), F.col("obj_no").alias("anchor_obj"),
+                        F.col("page_no").alias("_page"), F.col("path").alias("_path"))
     at_first = (F.col("page_no") == F.col("_page")) & (F.col("anchor_path") == F.col("_path"))
-    return (reach.join(seen, ["doc_id", "anchor_obj"], "left")
+    return (reach.join(seen, ["doc_id", "anchor_role", "anchor_obj"], "left")
             .filter(F.col("anchor_obj").isNull() | at_first).select(*reach.columns))
 
 
@@ -118,7 +123,7 @@ def resource_reach(roots: DataFrame, entries: DataFrame, max_depth: int = MAX_DE
 
 
 def resource_walk(roots: DataFrame, entries: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Containers in the order a depth-first reader meets them, forms and groups once per document.
+    """Containers in the order a depth-first reader meets them, forms and groups once per document each.
 
     Rows with ``depth`` up to ``max_depth`` are dictionaries it opens; deeper ones it only scans.
 
@@ -130,12 +135,12 @@ def resource_walk(roots: DataFrame, entries: DataFrame, max_depth: int = MAX_DEP
                              .select("doc_id", "parent_obj", "obj_no", "rank", "role"))
     reach = _expand(roots, containers, max_depth, None)
     first = cut_lineage(first_visit(reach))
-    above = first.select("doc_id", F.col("obj_no").alias("up_obj"), F.col("page_no").alias("_page"),
-                         F.col("path").alias("_path"))
-    stray = first.join(above, ["doc_id", "up_obj"]).filter(
+    above = first.select("doc_id", F.col("role").alias("up_role"), F.col("obj_no").alias("up_obj"),
+                         F.col("page_no").alias("_page"), F.col("path").alias("_path"))
+    stray = first.join(above, ["doc_id", "up_role", "up_obj"]).filter(
         (F.col("page_no") != F.col("_page")) | (F.col("up_path") != F.col("_path")))
     settled = stray.isEmpty()
-    same = ["doc_id", "obj_no", "page_no", "path"]
+    same = ["doc_id", "role", "obj_no", "page_no", "path"]
     while not settled:
         reach = _expand(roots, containers, max_depth, first)
         again = cut_lineage(first_visit(reach))

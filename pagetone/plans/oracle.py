@@ -140,13 +140,14 @@ _OBJECT_COLUMNS = ("doc_id, obj_no, kind, subtype, w, h, cs_obj, f, is_mask, has
 _STREAM = "doc_id, page_no, stream_id"
 
 _CTES = {
-    "intake": """SELECT c_custkey AS doc_id, '/in/' || c_name || '.' || (['pdf', 'hwp', 'hwpx', 'doc', 'docx', 'xls',
+    "intake": """SELECT c_custkey AS doc_id, '/in/' || c_name || CASE c_custkey % 13 WHEN 5 THEN '..' WHEN 6 THEN '.old.' ELSE '.' END || (['pdf', 'hwp', 'hwpx', 'doc', 'docx', 'xls',
   'xlsx', 'ppt', 'pptx', 'txt', 'PDF'])[c_custkey % 11 + 1] AS path, c_custkey * 37 AS length FROM customer""",
     "routed": """SELECT doc_id, path, length, lower(regexp_extract(path, '\\.([a-zA-Z]+)$', 1)) AS ext,
   CASE WHEN ext = 'pdf' THEN 'pdf' WHEN ext IN ('hwp', 'hwpx') THEN 'hwp' WHEN ext IN ('doc', 'docx') THEN 'word'
        WHEN ext IN ('xls', 'xlsx') THEN 'excel' WHEN ext IN ('ppt', 'pptx') THEN 'powerpoint' END AS family FROM intake""",
-    "requested": """SELECT o_orderkey AS doc_id, unnest([1, (o_custkey % 12)::INT, 9]) AS page_no,
-  o_orderkey % 7 + 1 AS page_count FROM orders""",
+    "requested": """SELECT *, try_cast(trim(item) AS INT) AS page_no FROM (SELECT o_orderkey AS doc_id, o_orderkey % 7 + 1 AS page_count,
+  unnest(string_split('1,' || (o_custkey % 12) || ',9' || CASE o_orderkey % 5 WHEN 0 THEN ',x' WHEN 1 THEN ',99999999999' ELSE '' END, ',')) AS item
+  FROM orders)""",
     "words": """SELECT doc_id, u.i - 1 AS idx, length(u.w) AS L, n_words
 FROM (SELECT doc_id, ws, len(ws) AS n_words FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents)), unnest(ws) WITH ORDINALITY AS u(w, i)""",
     "lines": f"""SELECT doc_id, idx // 48 + 1 AS page_no, idx // 24 AS stream_id, idx % 24 AS pos, {_PARTS}, {_DOUBLES},
@@ -227,7 +228,8 @@ WHERE coalesce(d.family, '') NOT IN ('/Indexed', '/Separation')""",
     WHEN p_type = 'MEDIUM' THEN 'Shading' WHEN p_type IN ('PROMO', 'SMALL') THEN 'Pattern' ELSE 'ExtGState' END AS category
 FROM (SELECT *, unnest([CASE WHEN obj_no > 0 THEN obj_no // 4 END, CASE WHEN obj_no > 0 AND obj_no % 3 <> 0 THEN obj_no // 3 END,
     CASE WHEN obj_no % 5 = 1 THEN obj_no // 2 + 2000 END, CASE WHEN obj_no < 24 THEN obj_no % 4 + 3001 END,
-    CASE WHEN obj_no < 24 AND obj_no % 3 = 0 THEN (obj_no + 1) % 4 + 3001 END]) AS p FROM parts) WHERE p IS NOT NULL""",
+    CASE WHEN obj_no < 24 AND obj_no % 3 = 0 THEN (obj_no + 1) % 4 + 3001 END]) AS p FROM parts) WHERE p IS NOT NULL
+UNION ALL SELECT doc_id, obj_no // 4, obj_no // 2 + 2000, 'XObject' FROM parts WHERE obj_no % 12 = 8""",
     "entries": """SELECT e.doc_id, e.parent_obj, o.obj_no, '/R' || e.child_obj AS name,
   CASE e.category WHEN 'XObject' THEN 0 WHEN 'Shading' THEN 1 ELSE 2 END * 4294967296 + e.child_obj AS rank,
   CASE WHEN o.subtype = '/Image' THEN 'image' WHEN o.subtype = '/Form' THEN 'form' WHEN e.category = 'Shading' THEN 'shading'
@@ -241,20 +243,20 @@ FROM edges e JOIN objects o ON o.doc_id = e.doc_id AND o.obj_no = e.child_obj
 JOIN objects m ON m.doc_id = e.doc_id AND m.obj_no = o.target_obj
 JOIN objects g ON g.doc_id = e.doc_id AND g.obj_no = m.target_obj WHERE e.category = 'ExtGState'""",
     "paths": """SELECT doc_id, (obj_no + 1)::BIGINT AS page_no, obj_no + 3001 AS obj_no, 'page' AS role, 0 AS depth, []::BIGINT[] AS path,
-  '' AS "where", NULL::INT AS anchor_obj, []::BIGINT[] AS anchor_path FROM parts WHERE obj_no < 4
+  '' AS "where", NULL::VARCHAR AS anchor_role, NULL::INT AS anchor_obj, []::BIGINT[] AS anchor_path FROM parts WHERE obj_no < 4
 UNION ALL
 SELECT p.doc_id, p.page_no, e.obj_no, e.role, p.depth + 1, list_append(p.path, e.rank),
   p."where" || CASE e.role WHEN 'form' THEN 'Form>' WHEN 'tiling' THEN 'Tile>' ELSE 'SMask>' END,
-  CASE WHEN e.role = 'tiling' THEN p.anchor_obj ELSE e.obj_no END,
+  CASE WHEN e.role = 'tiling' THEN p.anchor_role ELSE e.role END, CASE WHEN e.role = 'tiling' THEN p.anchor_obj ELSE e.obj_no END,
   CASE WHEN e.role = 'tiling' THEN p.anchor_path ELSE list_append(p.path, e.rank) END
 FROM paths p JOIN entries e ON e.doc_id = p.doc_id AND e.parent_obj = p.obj_no
 WHERE e.role IN ('form', 'tiling', 'softmask') AND p.depth <= 5""",
-    "first": """SELECT doc_id, obj_no, min({'page': page_no, 'path': path}) AS v FROM paths
-WHERE role IN ('form', 'softmask') GROUP BY doc_id, obj_no""",
+    "first": """SELECT doc_id, obj_no, role, min({'page': page_no, 'path': path}) AS v FROM paths
+WHERE role IN ('form', 'softmask') GROUP BY doc_id, obj_no, role""",
     "visits": """SELECT p.doc_id, p.page_no, p.obj_no, p.role, p.depth, p."where", min(p.path) AS path FROM paths p
-LEFT JOIN first f ON f.doc_id = p.doc_id AND f.obj_no = p.anchor_obj
+LEFT JOIN first f ON f.doc_id = p.doc_id AND f.obj_no = p.anchor_obj AND f.role = p.anchor_role
 WHERE p.anchor_obj IS NULL OR (p.page_no = f.v.page AND p.anchor_path = f.v.path)
-GROUP BY p.doc_id, p.page_no, p.obj_no, p.role, p.depth, p."where", p.anchor_obj, p.anchor_path""",
+GROUP BY p.doc_id, p.page_no, p.obj_no, p.role, p.depth, p."where", p.anchor_role, p.anchor_obj, p.anchor_path""",
     "labelled": """SELECT e.*, CASE WHEN e.cs_obj IS NULL THEN '(none)' ELSE coalesce(l.label, '(?)') END AS label
 FROM entries e LEFT JOIN labels l ON l.doc_id = e.doc_id AND l.cs_obj = e.cs_obj""",
     "painted": """SELECT e.doc_id, e.parent_obj, e.name, e.rank, o.shading_type,
@@ -355,7 +357,8 @@ _sql("A2_route_format", """SELECT doc_id, ext, family,
   CASE WHEN family IS NULL THEN 'unsupported format: .' || ext END AS error FROM routed""", "routed")
 _sql("A3_intake_census", "SELECT family, count(*) AS n, sum(length)::BIGINT AS bytes FROM routed GROUP BY family", "routed")
 _sql("A4_select_pages", "SELECT doc_id, page_no FROM requested WHERE page_no BETWEEN 1 AND page_count", "requested")
-_sql("A5_skipped_pages", "SELECT doc_id, page_no FROM requested WHERE NOT page_no BETWEEN 1 AND page_count", "requested")
+_sql("A5_skipped_pages", """SELECT doc_id, item, page_no, CASE WHEN page_no IS NULL THEN 'no page number' ELSE 'outside the document' END AS reason
+FROM requested WHERE page_no IS NULL OR NOT page_no BETWEEN 1 AND page_count""", "requested")
 _sql("A6_artifact_name", """SELECT doc_id, regexp_replace(regexp_replace(split_part(path, '/', 3), '\\.[^.]*$', ''), '[^a-zA-Z0-9_]', '_', 'g')
   || '_p' || (doc_id % 7 + 1) || '.png' AS artifact FROM intake""", "intake")
 _sql("A7_stream_readability", f"SELECT doc_id, stream_id, {_READABLE} AS readability FROM streams", "streams")
@@ -432,7 +435,7 @@ for _name, _role in (("D8_tiling_pattern_ops", "tiling"), ("D9_form_ops", "form"
     _sql(_name, f"SELECT doc_id, page_no, seq, \"where\", kind, message FROM in_containers WHERE role = '{_role}'", "in_containers")
 _sql("D11_resource_reach", """SELECT doc_id, obj_no, min(depth) AS min_depth, max(depth) AS max_depth, count(DISTINCT depth) AS n_depths
 FROM paths WHERE depth <= 5 GROUP BY doc_id, obj_no""", "paths")
-_sql("D12_first_visit", "SELECT doc_id, obj_no, v.page AS page_no, array_to_string(v.path, '.') AS path FROM first", "first")
+_sql("D12_first_visit", "SELECT doc_id, role, obj_no, v.page AS page_no, array_to_string(v.path, '.') AS path FROM first", "first")
 _sql("D13_inherited_resources", """SELECT 0::BIGINT AS doc_id, node_id, res AS resources_obj, is_inherited FROM climb
 WHERE res IS NOT NULL OR parent_id IS NULL""", "climb")
 _sql("D14_images_to_convert", """SELECT o.doc_id, o.obj_no, o.cs_obj FROM objects o LEFT JOIN cs_defs c ON c.doc_id = o.doc_id AND c.cs_obj = o.cs_obj
@@ -564,7 +567,7 @@ _sql("I1_page_class", "SELECT * FROM classes", "classes")
 _DOC = "SELECT doc_id, count(*) FILTER (NOT is_gray) AS n_color, count(*) FILTER (is_gray) AS n_gray FROM classes GROUP BY doc_id"
 _sql("I2_doc_color_summary", _DOC, "classes")
 _sql("I3_print_quote", f"SELECT *, (n_color * 300.00 + n_gray * 50.00)::DECIMAL(18,2) AS cost FROM ({_DOC})", "classes")
-_sql("I4_fold_page_edits", """WITH base AS (SELECT o_orderkey // 10 AS doc_id, p AS page_no FROM orders, range(1, 7) r(p) WHERE o_orderkey % 10 = 0),
+_sql("I4_fold_page_edits", """WITH base AS (SELECT o_orderkey AS doc_id, p AS page_no FROM orders, range(1, 7) r(p)),
 edits AS (SELECT user_id AS doc_id, event_id AS seq, event_id % 5 + 1 AS page_no, CASE WHEN event_type IN ('click', 'view') THEN 'rotate'
     WHEN event_type = 'error' THEN 'delete' WHEN event_type = 'signup' AND event_id % 2 = 0 THEN 'undo' WHEN event_type = 'signup' THEN 'move'
     ELSE 'insert' END AS action, CASE event_type WHEN 'click' THEN 90 WHEN 'view' THEN -90 ELSE 0 END AS degrees,

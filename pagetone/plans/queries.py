@@ -54,7 +54,7 @@ def _(spark, sf):
 
 @query("A5_skipped_pages")
 def _(spark, sf):
-    return intake.skipped_pages(D.page_requests(spark, sf)).select("doc_id", "page_no")
+    return intake.skipped_pages(D.page_requests(spark, sf)).select("doc_id", "item", "page_no", "reason")
 
 
 @query("A6_artifact_name")
@@ -247,7 +247,7 @@ def _(spark, sf):
 
 @query("D12_first_visit")
 def _(spark, sf):
-    return walk.first_visit(_walk(spark, sf)).select("doc_id", "obj_no", "page_no", _joined("path").alias("path"))
+    return walk.first_visit(_walk(spark, sf)).select("doc_id", "role", "obj_no", "page_no", _joined("path").alias("path"))
 
 
 @query("D13_inherited_resources")

@@ -46,7 +46,8 @@ def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        "pptx", "txt", "PDF")])
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("doc_id"),
-        F.concat(F.lit("/in/"), "c_name", F.lit("."),
+        F.concat(F.lit("/in/"), "c_name",
+                 F.when(F.col("c_custkey") % 13 == 5, "..").when(F.col("c_custkey") % 13 == 6, ".old.").otherwise("."),
                  F.get(ext, _int(F.col("c_custkey") % 11))).alias("path"),
         (F.col("c_custkey") * 37).alias("length"))
 
@@ -54,7 +55,8 @@ def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("doc_id"),
-        F.concat(F.lit("1,"), (F.col("o_custkey") % 12).cast("string"), F.lit(",9")).alias("page_list"),
+        F.concat(F.lit("1,"), (F.col("o_custkey") % 12).cast("string"), F.lit(",9"),
+                 F.when(F.col("o_orderkey") % 5 == 0, ",x").when(F.col("o_orderkey") % 5 == 1, ",99999999999").otherwise("")).alias("page_list"),
         _int(F.col("o_orderkey") % 7 + 1).alias("page_count"))
 
 
@@ -77,9 +79,9 @@ def page_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def editable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six pages for every tenth order; the document numbers overlap those of ``page_edits``."""
-    return (table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0")
-            .select(_div(F.col("o_orderkey"), 10).alias("doc_id"),
+    """Six pages for every order; the document numbers overlap those of ``page_edits``."""
+    return (table(spark, sf_dir, "orders")
+            .select(F.col("o_orderkey").alias("doc_id"),
                     F.explode(F.sequence(F.lit(1), F.lit(6))).alias("page_no")))
 
 
@@ -275,7 +277,10 @@ def cs_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resource entries: a shared DAG inside each document, under page roots and soft-mask groups."""
+    """Resource entries: a shared DAG inside each document, under page roots and soft-mask groups.
+
+    Some groups are also forms of a dictionary.
+    """
     no = F.col("obj_no")
     category = (F.when(F.col("p_type").isin("ECONOMY", "LARGE"), "XObject")
                  .when(F.col("p_type") == "MEDIUM", "Shading")
@@ -286,10 +291,13 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(no < 24, no % PAGES_PER_DOC + ROOT_BASE + 1),
         F.when((no < 24) & (no % 3 == 0), (no + 1) % PAGES_PER_DOC + ROOT_BASE + 1)),
         lambda p: p.isNotNull()))
-    return _parts(spark, sf_dir).select(
-        "doc_id", F.explode(parents).alias("parent_obj"), no.alias("child_obj"),
-        category.alias("category"), F.concat(F.lit("/R"), no.cast("string")).alias("name"),
-        no.alias("ordinal"))
+    own = F.transform(parents, lambda p: F.struct(p.alias("parent_obj"), no.alias("child_obj"), category.alias("category")))
+    group = F.struct(_int(F.floor(no / 4)).alias("parent_obj"), _int(F.floor(no / 2) + GROUP_BASE).alias("child_obj"),
+                     F.lit("XObject").alias("category"))
+    both = F.when(no % 12 == 8, F.concat(own, F.array(group))).otherwise(own)
+    return _parts(spark, sf_dir).select("doc_id", F.explode(both).alias("e")).select(
+        "doc_id", "e.*", F.concat(F.lit("/R"), F.col("e.child_obj").cast("string")).alias("name"),
+        F.col("e.child_obj").alias("ordinal"))
 
 
 def page_roots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,11 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[8]").appName("pagetone-tests")
-               .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "8g")
+               .config("spark.sql.shuffle.partitions", "4")
+               .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").config("spark.driver.memory", "8g")
                .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -34,7 +34,8 @@ def test_page_selection(spark):
     pages = spark.createDataFrame([(1, 1)], "doc_id bigint, page_no int")
     assert {r.page_no for r in intake.select_pages(requests).collect()} == {1, 3}
     assert {r.page_no for r in intake.select_pages(requests, pages).collect()} == {1}
-    assert {r.page_no for r in intake.skipped_pages(requests).collect()} == {9}
+    assert {(r.item, r.page_no, r.reason) for r in intake.skipped_pages(requests).collect()} == {
+        ("x", None, "no page number"), ("9", 9, "outside the document")}
     assert {r.page_no for r in intake.missing_pages(requests, pages).collect()} == {3, 9}
 
 
@@ -47,3 +48,13 @@ def test_streaming_replies(spark, tmp_path):
     start_replies(requests, out, str(tmp_path / "checkpoint")).awaitTermination(120)
     got = {r.id: (r.gray_text, r.error) for r in spark.read.parquet(out).collect()}
     assert got == {1: (" 0.7500 g", None), 2: ("0.2990 g", None), 3: ("/P cs 0.5 scn", "pattern_tint")}
+
+
+def test_findings_by_document(spark, tmp_path):
+    found = spark.range(500).selectExpr("id % 50 AS doc_id", "id % 7 AS page_no", "concat('m', id) AS message").repartition(20)
+    files.write_findings(found, str(tmp_path / "f"), buckets=8, files_per_bucket=2)
+    assert len(list((tmp_path / "f").rglob("*.parquet"))) <= 16
+    assert files.read_findings(spark, str(tmp_path / "f")).count() == 500
+    one = files.read_findings(spark, str(tmp_path / "f"), [3, 11], buckets=8)
+    assert {r.doc_id for r in one.collect()} == {3, 11} and one.count() == 20
+    assert "PartitionFilters: [isnotnull" in one._jdf.queryExecution().toString() or "PartitionFilters: [doc_bucket" in one._jdf.queryExecution().toString() or "PartitionFilters: [(" in one._jdf.queryExecution().toString()

@@ -22,9 +22,9 @@ def _read(roots, edges, max_depth):
             return
         for rank, child, role in sorted(by_parent.get(node, [])):
             if role != "tiling":
-                if child in seen:
+                if (role, child) in seen:
                     continue
-                seen.add(child)
+                seen.add((role, child))
             visits.append((page, child, role, tuple(path + [rank])))
             open_(child, page, path + [rank], depth + 1)
 
@@ -65,6 +65,15 @@ def test_depth_limit_cuts_the_first_visit(spark):
     assert {r.obj_no for r in got} == {v[1] for v in _read([(1, 100)], edges, 1)} == {5, 1}
 
 
+def test_one_object_as_form_and_as_group(spark):
+    edges = [(100, 5, 1, "form"), (100, 5, 2, "softmask"), (5, 6, 1, "form"), (101, 5, 1, "softmask"), (101, 5, 2, "form")]
+    roots = [(1, 100), (2, 101)]
+    frame = spark.createDataFrame([(1, p, r) for p, r in roots], "doc_id bigint, page_no bigint, resources_obj int")
+    got = walk.resource_walk(frame, _entries(spark, edges)).filter("role <> 'page'").collect()
+    assert {(r.page_no, r.obj_no, r.role, tuple(r.path)) for r in got} == set(_read(roots, edges, 5)) == {
+        (1, 5, "form", (1,)), (1, 6, "form", (1, 1)), (1, 5, "softmask", (2,))}
+
+
 def test_label_chains_and_cycles(spark):
     rows = [(1, i, "/Separation", None, None, i + 1, 4) for i in range(40)] + [
         (1, 40, "/DeviceRGB", None, None, None, None), (1, 50, "/Indexed", None, 51, None, 4),
