@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pagetone.operators import intake
-from pagetone.sources.files import document_files, stream_files
+from pagetone.sources.files import document_files, read_findings, stream_files, write_findings
 from pagetone.streaming.requests import REQUEST_SCHEMA, start_replies
 
 
@@ -52,9 +52,9 @@ def test_streaming_replies(spark, tmp_path):
 
 def test_findings_by_document(spark, tmp_path):
     found = spark.range(500).selectExpr("id % 50 AS doc_id", "id % 7 AS page_no", "concat('m', id) AS message").repartition(20)
-    files.write_findings(found, str(tmp_path / "f"), buckets=8, files_per_bucket=2)
+    write_findings(found, str(tmp_path / "f"), buckets=8, files_per_bucket=2)
     assert len(list((tmp_path / "f").rglob("*.parquet"))) <= 16
-    assert files.read_findings(spark, str(tmp_path / "f")).count() == 500
-    one = files.read_findings(spark, str(tmp_path / "f"), [3, 11], buckets=8)
+    assert read_findings(spark, str(tmp_path / "f")).count() == 500
+    one = read_findings(spark, str(tmp_path / "f"), [3, 11], buckets=8)
     assert {r.doc_id for r in one.collect()} == {3, 11} and one.count() == 20
     assert "PartitionFilters: [isnotnull" in one._jdf.queryExecution().toString() or "PartitionFilters: [doc_bucket" in one._jdf.queryExecution().toString() or "PartitionFilters: [(" in one._jdf.queryExecution().toString()
