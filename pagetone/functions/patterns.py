@@ -21,6 +21,7 @@ SPACE_OPS = ("cs", "CS")
 PATTERN_OPS = ("scn", "SCN")
 
 MARK = "\ue000"
+#: Nesting that one regular expression can follow. Deeper literals are cut out by ``functions.regions``.
 LITERAL_DEPTH = 32
 
 
@@ -72,11 +73,11 @@ def _balanced(depth: int) -> str:
     return rf"\({body}\)"
 
 
-# Regions the rewriter never touches: balanced literals (an unclosed one runs to the end), hexadecimal
-# strings up to the next '>', inline images from BI to EI.
-INLINE_IMAGE = (r"(?<![^\n\r])BI[\n\r](?s:(?!\nID\n).)*+\nID\n"
-                r"(?s:(?!\nEI(?:[\u0000- Qq]|\z)).)*+(?:\nEI)?+")
-PROTECTED = (_balanced(LITERAL_DEPTH) + r"|\((?s:.)*+" + r"|<(?!<)[^>]*+>" + "|" + INLINE_IMAGE)
+# Literals the rewriter never touches: balanced ones (an unclosed one runs to the end) and hexadecimal strings
+# up to the next '>'. Inline images are the third kind of region; their length stands in their header.
+BALANCED = _balanced(LITERAL_DEPTH)
+PROTECTED_LITERAL = BALANCED + r"|\((?s:.)*+" + r"|<(?!<)[^>]*+>"
+IMAGE_START = r"(?<![^\n\r])BI[\n\r]"
 BOUNDARY_BEFORE_SPACE = rf"(?=/\w++{WS}++{_alt(SPACE_OPS)}(?:{WS}|[(<]|\z))"
 
 # Colour calls the rewriter replaces, tried with four, three and one operand from each start.
@@ -86,9 +87,8 @@ REWRITE_CALL = ("(?:"
                 + run(REWRITE_NUMBER, 3, 3) + _alt(RGB_OPS + GENERIC_OPS) + "|"
                 + run(REWRITE_NUMBER, 1, 1) + _alt(GENERIC_OPS) + ")" + follow("rewrite"))
 
-# One token: a literal, a hexadecimal string, white space, a name, or a run of regular characters.
-TOKEN = (_balanced(LITERAL_DEPTH) + r"|<(?!<)[^>]*+>" + rf"|{WS}++"
-         + r"|/?[^\s\u00A0()<>\[\]/]++|[\s\S]")
+# One token of open text: white space, a name, a run of regular characters, or a single delimiter.
+TOKEN = rf"{WS}++" + r"|/?[^\s\u00A0()<>\[\]/]++|[\s\S]"
 NUMBER_TOKEN = rf"^{REWRITE_NUMBER}$"
 
 # An operator with the run of numbers, or the name, just before it. The run starts only where no other

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetone.functions import patterns as P
+from pagetone.functions.regions import cut_all_regions, cut_literals
 
 KEYS = ("doc_id", "page_no", "stream_id")
 
@@ -26,9 +27,23 @@ def mask_literals(text: Column) -> Column:
     return F.regexp_replace(flat, P.HEX_LITERAL, "<>")
 
 
-def split_regions(text: Column, pattern: str = P.PROTECTED) -> Column:
-    """Alternate open text and protected regions: even items may be rewritten, odd ones may not."""
-    return F.split(F.regexp_replace(text, pattern, f"{P.MARK}$0{P.MARK}"), P.MARK, -1)
+def with_parts(streams: DataFrame, images: bool = True) -> DataFrame:
+    """Add ``parts``: open text and protected regions in turn; even items may be rewritten, odd ones may not.
+
+    Literals up to the depth a regular expression can follow are cut inside the JVM. Only streams with an inline
+    image, and those that seem to end inside a literal (deeper, or really unclosed), go through Arrow to the pass
+    that counts; the others hand it NULL.
+    """
+    text = F.col("text")
+    plain = ~text.contains(P.MARK) & (~text.rlike(P.IMAGE_START) if images else F.lit(True))
+    marked = F.regexp_replace(text, P.PROTECTED_LITERAL, f"{P.MARK}$0{P.MARK}")
+    last = F.try_element_at("parts", F.lit(-2))
+    ends_open = ((F.try_element_at("parts", F.lit(-1)) == "") & last.startswith("(")
+                 & ~last.rlike(rf"^(?:{P.BALANCED})\z"))
+    counted = (cut_all_regions if images else cut_literals)("__counted")
+    return (streams.withColumn("parts", F.when(plain, F.split(marked, P.MARK, -1)))
+            .withColumn("__counted", F.when(F.col("parts").isNull() | F.coalesce(ends_open, F.lit(False)), text))
+            .withColumn("parts", F.coalesce(counted, "parts")).drop("__counted"))
 
 
 def _with(df: DataFrame, *columns: Column) -> DataFrame:
@@ -37,17 +52,18 @@ def _with(df: DataFrame, *columns: Column) -> DataFrame:
 
 def protected_regions(streams: DataFrame) -> DataFrame:
     """One row per protected region: balanced literal, hexadecimal string or inline image."""
-    regions = F.regexp_extract_all("text", F.lit(P.PROTECTED), F.lit(0))
-    return (_with(streams, F.posexplode(regions).alias("ordinal", "region"))
+    regions = F.filter("parts", lambda part, i: i % 2 == 1)
+    return (_with(with_parts(streams), F.posexplode(regions).alias("ordinal", "region"))
             .withColumn("kind", F.when(F.col("region").startswith("("), "literal")
                                  .when(F.col("region").startswith("<"), "hex").otherwise("inline_image")))
 
 
 def tokenize(streams: DataFrame) -> DataFrame:
     """One row per token; white space is kept, so the tokens concatenate to the text."""
-    tokens = F.regexp_extract_all("text", F.lit(P.TOKEN), F.lit(0))
+    tokens = F.flatten(F.transform("parts", lambda part, i: F.when(
+        i % 2 == 0, F.regexp_extract_all(part, F.lit(P.TOKEN), F.lit(0))).otherwise(F.array(part))))
     tok = F.col("tok")
-    return (_with(streams, F.posexplode(tokens).alias("pos", "tok"))
+    return (_with(with_parts(streams, images=False), F.posexplode(tokens).alias("pos", "tok"))
             .withColumn("is_literal", tok.rlike(r"^(?:\([\s\S]|<[^<])"))
             .withColumn("is_space", tok.rlike(rf"^{P.WS}"))
             .withColumn("is_number", tok.rlike(P.NUMBER_TOKEN)))
@@ -55,11 +71,11 @@ def tokenize(streams: DataFrame) -> DataFrame:
 
 def with_operands(streams: DataFrame) -> DataFrame:
     """One row per operator outside protected regions, with the numbers or the name just before it."""
-    open_text = F.regexp_replace("text", P.PROTECTED, " () ")
+    open_text = F.array_join(F.filter("parts", lambda part, i: i % 2 == 0), " () ")
     calls = F.regexp_extract_all(open_text, F.lit(P.OPERATOR), F.lit(0))
     words = F.split(F.regexp_replace("call", rf"{P.WS}++", " "), " ", -1)
     numbers = F.slice(F.col("words"), 1, F.size("words") - 1)
-    return (_with(streams, F.posexplode(calls).alias("ordinal", "call"))
+    return (_with(with_parts(streams), F.posexplode(calls).alias("ordinal", "call"))
             .withColumn("words", words)
             .withColumn("op", F.element_at("words", -1))
             .withColumn("name", F.when(F.col("call").startswith("/"),

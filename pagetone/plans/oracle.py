@@ -65,11 +65,12 @@ def _gain8(v: str, gain: int) -> str:
 
 _A, _B, _C, _D = (_num(x) for x in ("ia", "ib", "ic", "id"))
 _X = _num("least(ia + m3, 100)")
-_IMAGES = ["BI\\n/W 2 /H 2 /CS /RGB /BPC 8\\nID\\nabcdefghijkl\\nEI", "BI\\n/W 2 /H 2 /CS /G\\nID\\nabcd\\nEI",
+_IMAGES = ["BI\\n/W 2 /H 2 /CS /RGB /BPC 8\\nID\\nabcdefghijkl\\nEI", "BI\\n/W 4 /H 4 /CS /G\\nID\\n\\nEI 0.5 scn(a)\\nz\\nEI",
            "BI\\n/W 2 /H 2 /CS /RGB /F /Fl\\nID\\nabcdefg\\nEI",
            "BI\\n/Width 2 /Height 2 /ColorSpace /DeviceCMYK /BitsPerComponent 8\\nID\\nabcdefghijklmnop\\nEI",
            "BI\\n/W 2 /H 2 /CS /RGB /BPC 4\\nID\\nabcdef\\nEI"]
 _IMAGE = "CASE n " + " ".join(f"WHEN {i} THEN E'{t}'" for i, t in enumerate(_IMAGES)) + " END"
+_DEEP = "repeat('{}', CASE n WHEN 0 THEN 40 ELSE 0 END)"
 _ABC = f"{_A} || ' ' || {_B} || ' ' || {_C}"
 _ABCD = f"{_ABC} || ' ' || {_D}"
 
@@ -81,7 +82,7 @@ _FORMS = {
     11: f"{_A} || ' SCN'", 12: f"{_A} || ' ' || {_B} || ' SC'", 13: f"{_D} || ' ' || {_ABCD} || ' scn'",
     14: "'/P' || n || ' scn'", 15: f"'(' || {_ABC} || ' rg) Tj'", 16: f"'<0A' || substr({_A}, 3) || '> Tj'",
     17: "'/S' || n || ' sh'", 18: f"{_A} || ' ' || {_A} || ' ' || {_X} || ' rg'", 19: _IMAGE,
-    20: f"'(x (y) ' || {_ABC} || ' rg z) Tj'", 21: f"'q 1 0 0 1 ' || {_A} || ' ' || {_B} || ' cm'",
+    20: f"{_DEEP.format('(')} || '(x (y) ' || {_ABC} || ' rg z)' || {_DEEP.format(')')} || ' Tj'", 21: f"'q 1 0 0 1 ' || {_A} || ' ' || {_B} || ' cm'",
     22: f"{_A} || ' g'", 23: f"{_A} || ' ' || {_B} || ' rg'",
 }
 _LINE = "CASE t " + " ".join(f"WHEN {k} THEN {v}" for k, v in _FORMS.items()) + " END"
@@ -377,12 +378,15 @@ _sql("B2_mask_literals", r"""SELECT doc_id, stream_id, md5(regexp_replace(regexp
   '<[0-9A-Fa-f\s]*>', '<>', 'g')) AS clean_md5 FROM texts""", "texts")
 _sql("B3_protected_regions", f"""SELECT doc_id, stream_id, row_number() OVER (PARTITION BY doc_id, stream_id ORDER BY pos) - 1 AS ordinal,
   CASE t WHEN 15 THEN '(' || {_ABC} || ' rg)' WHEN 16 THEN '<0A' || substr({_A}, 3) || '>' WHEN 19 THEN {_IMAGE}
-    ELSE '(x (y) ' || {_ABC} || ' rg z)' END AS region,
+    ELSE {_DEEP.format('(')} || '(x (y) ' || {_ABC} || ' rg z)' || {_DEEP.format(')')} END AS region,
   CASE t WHEN 16 THEN 'hex' WHEN 19 THEN 'inline_image' ELSE 'literal' END AS kind FROM lines WHERE t IN (15, 16, 19, 20)""", "lines")
+_NESTED = r"\((?:[^()\\]|\\.)*\)"
+for _ in range(41):
+    _NESTED = r"\((?:[^()\\]|\\.|" + _NESTED + r")*\)"
 _sql("B4_tokenize", r"""SELECT u.tok, starts_with(u.tok, '(') OR regexp_matches(u.tok, '^<[^<]') AS is_literal, regexp_matches(u.tok, '^\s') AS is_space,
   regexp_matches(u.tok, '^-?(\d+(\.\d+)?|\.\d+)$') AS is_number, count(*) AS n, sum(u.i - 1)::BIGINT AS sum_pos
-FROM texts, unnest(regexp_extract_all(text, '\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[^<>][^>]*>|\s+|/?[^\s()<>\[\]/]+|.')) WITH ORDINALITY AS u(tok, i)
-GROUP BY ALL""", "texts")
+FROM texts, unnest(regexp_extract_all(text, 'NESTED|<[^<>][^>]*>|\s+|/?[^\s()<>\[\]/]+|.')) WITH ORDINALITY AS u(tok, i)
+GROUP BY ALL""".replace("NESTED", _NESTED), "texts")
 _sql("B5_with_operands", """SELECT doc_id, op, n_args, name, count(*) AS n, sum(x)::BIGINT AS sum_first, sum(z)::BIGINT AS sum_last FROM (
   SELECT doc_id, u.o.op AS op, u.o.n AS n_args, u.o.name AS name, u.o.x AS x, u.o.z AS z FROM lines, unnest(CASE t
     WHEN 0 THEN [{'op': 'rg', 'n': 3, 'name': NULL::VARCHAR, 'x': ia, 'z': ic}] WHEN 1 THEN [{'op': 'RG', 'n': 3, 'name': NULL, 'x': ia, 'z': ic}]
@@ -507,10 +511,18 @@ _sql("G5_drop_colorspace_ops", f"""SELECT o.doc_id, stream_id, segment, ordinal,
   SELECT {_STREAM}, segment, 'C' || n AS name, CASE t WHEN 8 THEN 'cs' ELSE 'CS' END AS op,
     row_number() OVER (PARTITION BY {_STREAM}, segment ORDER BY pos) - 1 AS ordinal FROM segmented WHERE t IN (8, 9)) o
 JOIN colorspaces s ON s.doc_id = o.doc_id AND s.name = o.name WHERE is_pattern""", "segmented", "colorspaces")
+# Gray of the two colour images (three bytes and four bytes a pixel), rounded, then corrected.
+_BYTES = "ascii(substr('{}', {} * i + {}, 1))"
+_GRAY3 = _round(_luma(*[_BYTES.format("abcdefghijkl", 3, k) for k in (1, 2, 3)]))
+_GRAY4 = _round("255.0::DOUBLE * " + _luma_cmyk(*[_BYTES.format("abcdefghijklmnop", 4, k) + " / 255.0::DOUBLE" for k in (1, 2, 3, 4)]))
+_PIXELS = "array_to_string(list_transform(range(0, 4), lambda i: chr({})), '')"
+_GRAY_IMAGE = f"""CASE l.n WHEN 0 THEN E'BI\\n/W 2 /H 2 /CS /G /BPC 8\\nID\\n' || {_PIXELS.format(_gain8(_GRAY3, 20))} || E'\\nEI'
+  WHEN 3 THEN E'BI\\n/Width 2 /Height 2 /CS /G /BitsPerComponent 8\\nID\\n' || {_PIXELS.format(_gain8(_GRAY4, 20))} || E'\\nEI' ELSE l.old END"""
 _REWRITTEN = f"""SELECT {_STREAM}, bool_or(n_args = 1 AND coalesce(is_pattern, false)) AS failed, count(x1) AS n_calls,
   string_agg(old, chr(10) ORDER BY pos) AS old_text, string_agg(new, chr(10) ORDER BY pos) AS new_text
 FROM (SELECT l.{_STREAM.replace(', ', ', l.')}, l.pos, l.old, c.n_args, c.is_pattern, c.x1,
     CASE WHEN l.t IN (8, 9) AND NOT coalesce(l.kept, false) THEN ''
+      WHEN l.t = 19 THEN {_GRAY_IMAGE}
       WHEN c.x1 IS NULL THEN l.old
       WHEN c.n_args = 1 THEN l.stay || coalesce(c.tint, '') || ' ' || c.gray_op
       ELSE l.stay || c.solid || ' ' || c.gray_op END AS new
@@ -525,10 +537,10 @@ FROM ({_REWRITTEN.replace('GROUP BY ALL', f'GROUP BY {_STREAM}')})""", "calls",
 _INLINE = f"""SELECT *, CASE n WHEN 1 THEN 'G' WHEN 3 THEN 'DeviceCMYK' ELSE 'RGB' END AS space, CASE n WHEN 4 THEN 4 ELSE 8 END AS bpc,
   CASE n WHEN 2 THEN 'Fl' ELSE '' END AS image_filter FROM (
   SELECT *, row_number() OVER (PARTITION BY {_STREAM} ORDER BY pos) - 1 AS ordinal FROM lines WHERE t IN (15, 16, 19, 20)) WHERE t = 19"""
-_sql("G7_inline_image_table", f"SELECT doc_id, stream_id, ordinal, 2 AS w, 2 AS h, bpc, space, image_filter FROM ({_INLINE})", "lines")
+_sql("G7_inline_image_table", f"SELECT doc_id, stream_id, ordinal, CASE n WHEN 1 THEN 4 ELSE 2 END AS w, CASE n WHEN 1 THEN 4 ELSE 2 END AS h, bpc, space, image_filter FROM ({_INLINE})", "lines")
 _sql("G8_inline_image_route", f"""SELECT doc_id, stream_id, ordinal, CASE n WHEN 1 THEN 1 WHEN 3 THEN 4 ELSE 3 END AS channels,
   CASE n WHEN 0 THEN 'convert' WHEN 3 THEN 'convert' WHEN 1 THEN 'pass_known_length' ELSE 'pass_by_scan' END AS route,
-  CASE n WHEN 0 THEN 12 WHEN 1 THEN 4 WHEN 3 THEN 16 END AS payload_bytes FROM ({_INLINE})""", "lines")
+  CASE n WHEN 0 THEN 12 WHEN 1 THEN 16 WHEN 3 THEN 16 END AS payload_bytes FROM ({_INLINE})""", "lines")
 # After the rewrite only what the rewriter leaves alone is found: calls inside nested literals, images,
 # shadings, kept Pattern spaces, and everything in streams that were skipped or failed.
 _sql("G9_rewrite_audit", f"""SELECT doc_id, kind, sum(n)::BIGINT AS n_before, sum(after)::BIGINT AS n_after FROM (

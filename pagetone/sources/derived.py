@@ -24,12 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out when a file has fewer splits than there are cores; large inputs stay as read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores)
-
-
 def _div(a: Column, b: int) -> Column:
     """Integer division of non-negative numbers."""
     return F.floor(a / F.lit(b))
@@ -109,9 +103,12 @@ def _line(v: Column, form: Column, idx: Column, size: Column) -> Column:
     def words(*parts: Column | str) -> Column:
         return F.concat_ws(" ", *[F.lit(p) if isinstance(p, str) else p for p in parts])
 
+    def deep(mark: str) -> Column:
+        return F.when(v % 5 == 0, mark * 40).otherwise("")
+
     images = F.array(
         F.lit("BI\n/W 2 /H 2 /CS /RGB /BPC 8\nID\nabcdefghijkl\nEI"),
-        F.lit("BI\n/W 2 /H 2 /CS /G\nID\nabcd\nEI"),
+        F.lit("BI\n/W 4 /H 4 /CS /G\nID\n\nEI 0.5 scn(a)\nz\nEI"),
         F.lit("BI\n/W 2 /H 2 /CS /RGB /F /Fl\nID\nabcdefg\nEI"),
         F.lit("BI\n/Width 2 /Height 2 /ColorSpace /DeviceCMYK /BitsPerComponent 8\nID\n"
               "abcdefghijklmnop\nEI"),
@@ -128,7 +125,7 @@ def _line(v: Column, form: Column, idx: Column, size: Column) -> Column:
         F.concat(F.lit("/S"), n, F.lit(" sh")),
         words(a, a, num(F.least(a_int + _int(idx % 3), F.lit(100))), "rg"),
         F.get(images, _int(v % 5)),
-        F.concat(F.lit("(x (y) "), words(a, b, c, "rg"), F.lit(" z) Tj")),
+        F.concat(deep("("), F.lit("(x (y) "), words(a, b, c, "rg"), F.lit(" z)"), deep(")"), F.lit(" Tj")),
         words("q 1 0 0 1", a, b, "cm"), words(a, "g"), words(a, b, "rg"),
     ]
     def choose(low: int, high: int) -> Column:
@@ -157,7 +154,7 @@ def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
             (doc * 31 + i * 17 + F.length(w) * 7).alias("v"), F.length(w).alias("size"))),
         lambda s, i: let(s["v"] % 24, lambda form: _line(s["v"], form, i, s["size"])))
     starts = F.sequence(F.lit(0), _int(_div(F.size("lines") - 1, WORDS_PER_STREAM)))
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return (documents.select("doc_id", lines.alias("lines"))
             .select("doc_id", F.explode(F.transform(starts, lambda k: F.struct(
                 k.alias("stream_id"),
@@ -188,7 +185,7 @@ def colorspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     pattern = (kind == 4) & (doc % 3 == 0)
     width = F.when(kind == 1, 4).when(kind == 2, 3).when(kind == 3, 1).otherwise(2)
     channels = F.sequence(F.lit(1), _int(width))
-    return (spread(table(spark, sf_dir, "documents").select("doc_id"))
+    return (table(spark, sf_dir, "documents").select("doc_id")
             .select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("n"))
             .filter(kind != 0)
             .select("doc_id", F.lit("page").alias("scope"),
@@ -332,7 +329,7 @@ _HEX = [f"{i:02X}" for i in range(256)]
 def rasters(spark: SparkSession, sf_dir: str, with_bytes: bool = True) -> DataFrame:
     """Images of ``part`` with three or four channels and predictor 1, 2 or 15; some short, long or lost."""
     key = F.col("p_partkey")
-    base = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(
+    base = table(spark, sf_dir, "part").select("p_partkey", "p_size").select(
         key.alias("image_id"), F.col("p_size").alias("w"), _int(key % 9 + 1).alias("h"),
         _int(key % 2 + 3).alias("channels"),
         F.when(key % 3 == 0, 1).when(key % 3 == 1, 2).otherwise(15).alias("predictor"),

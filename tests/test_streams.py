@@ -53,6 +53,22 @@ REWRITES = [
     ("<1 0 0 rg > 1 0 0 rg", "<1 0 0 rg > 0.2990 g"),
     ("<< /A 1 0 0 rg >> 1 0 0 rg", "<< /A 1 0 0 rg >> 0.2990 g"),   # second < opens a hex string
     ("BI\n/W 1\nID\n1 0 0 rg \nEI\n1 0 0 rg", "BI\n/W 1\nID\n1 0 0 rg \nEI\n0.2990 g"),
+    ("(" * 33 + "x" + ")" * 33 + " Tj\n1 0 0 rg\n", "(" * 33 + "x" + ")" * 33 + " Tj\n0.2990 g\n"),
+    ("(" * 40 + "1 0 0 rg" + ")" * 40 + "1 0 0 rg", "(" * 40 + "1 0 0 rg" + ")" * 40 + "0.2990 g"),
+    ("(" * 5000 + ")" * 5000 + " 1 0 0 rg (a)", "(" * 5000 + ")" * 5000 + " 0.2990 g (a)"),
+    ("1 0 0 rg " + "(" * 40 + ")" * 39 + " 1 0 0 rg )", "0.2990 g " + "(" * 40 + ")" * 39 + " 1 0 0 rg )"),
+    ("1 0 0 rg " + "(" * 40 + ")" * 39 + " 1 0 0 rg", "0.2990 g " + "(" * 40 + ")" * 39 + " 1 0 0 rg"),
+    ("BI /W 1\n1 0 0 rg", "BI /W 1\n0.2990 g"),                      # no inline image
+    ("BI\n/W 16 /H 1 /CS /G /BPC 8\nID\n\nEI 1 0 0 rg\nzzz\nEI\n1 0 0 rg",   # the end is where the header says
+     "BI\n/W 16 /H 1 /CS /G /BPC 8\nID\n\nEI 1 0 0 rg\nzzz\nEI\n0.2990 g"),
+    ("BI\n/W 3 /H 1\nID\n(((1 0 0 rg", "BI\n/W 3 /H 1\nID\n(((\nEI0.2990 g"),  # end mark put in
+    ("BI\n/W 2 /H 1 /CS /RGB\nID\n\xff\0\0\0\xff\0\nEI\n1 0 0 rg", "BI\n/W 2 /H 1 /CS /G\nID\n\x4c\x96\nEI\n0.2990 g"),
+    ("BI\n/W 1 /H 2 /ColorSpace /DeviceCMYK\nID\n\0\0\0\0\0\xff\0\0\nEI",
+     "BI\n/W 1 /H 2 /CS /G\nID\n\xff\x69\nEI"),
+    ("BI\n/W 9 /H 9 /CS /RGB\nID\n\xff\xff\xff\0", "BI\n/W 9 /H 9 /CS /G\nID\n\xff\0\nEI"),  # cut off
+    ("BI\n/W 9 /H 9 /CS /RGB\nID\n", "BI\n/W 9 /H 9 /CS /G\nID\n\nEI"),
+    ("BI\n/W 99999999999 /H 9 /CS /RGB\nID\nab", "BI\n/W 99999999999 /H 9 /CS /RGB\nID\nab"),
+    ("(BI\n/W 1 /H 1\nID\n) 1 0 0 rg", "(BI\n/W 1 /H 1\nID\n) 0.2990 g"),
     ("/P1 scn", "/P0.0000 g"),                                      # digit of a name read as a tint
 ]
 
