@@ -71,7 +71,9 @@ def token_order(texts: DataFrame) -> list[str]:
 def _blocks(texts: DataFrame, order: list[str], probes: list[str]) -> DataFrame:
     """(row, at, block, ranks): blocks of the documents that hold any prefix token; ranks are sorted template tokens."""
     rank = F.create_map(*[x for i, w in enumerate(order) for x in (F.lit(w), F.lit(i))])
-    held = texts.select("row", words(F.col("text")).alias("words")).filter(F.arrays_overlap("words", _strings(probes)))
+    # A text that holds none of the tokens even inside longer words is not cut into words at all. A filter on the
+    # words themselves would be pushed below the projection and cut every text twice.
+    held = texts.filter(F.col("text").rlike(f"(?i)(?:{'|'.join(probes)})")).select("row", words(F.col("text")).alias("words"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(STRIDE))
     cut = held.select("row", "words", F.explode(starts).alias("at")).select(
         "row", "at", F.slice("words", F.col("at") + 1, WIDTH).alias("block"))
