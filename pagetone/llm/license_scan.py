@@ -18,6 +18,8 @@ from pagetone.llm.common import words
 #: Words from one block's start to the next; blocks are longer by the longest template, so no passage falls between.
 STRIDE = 64
 CONTAINMENT = 0.8
+#: A word before the text is lower-cased; there are as many of them.
+ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
 
 # Phrases whose places are reported, with their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -148,7 +150,8 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         F.array_join(F.array_sort(F.collect_set(base)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set(F.when(real, F.col("label")))), ",").alias("labels"),
         F.max(F.when(real, F.col("containment")).otherwise(0.0)).alias("score"))
-    counted = texts.select("key", "row", F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
+    n_words = F.size(F.regexp_extract_all("text", F.lit(ANY_CASE_WORD), F.lit(0)))
+    counted = texts.select("key", "row", n_words.cast("bigint").alias("n_words"))
     return counted.join(per_row, "row", "left").select(
         F.col("key").alias(key), "n_words", F.coalesce("n_base", F.lit(0)).cast("bigint").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
