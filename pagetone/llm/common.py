@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+def _but(excluded: Callable[[str], bool]) -> str:
+    """Class of all characters but these of ASCII. They are listed one by one: the regex engine then looks a
+    character up in a table, where ranges would be tested in turn (about five times the time of a whole scan)."""
+    return "[^" + "".join(f"\\x{code:02X}" for code in range(128) if excluded(chr(code))) + "]"
+
+
 # Words of the licence scan and of decontamination (letters and digits of ASCII, and
-# everything beyond ASCII), and the white space that separates words elsewhere.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SPACED_WORD = r"[^\x20\x09-\x0D]+"
+# everything beyond ASCII), in lower-cased texts and in any case, and the white space that separates words elsewhere.
+WORD = _but(lambda c: not c.isalnum() or c.isupper()) + "+"
+ANY_CASE_LETTER = _but(lambda c: not c.isalnum())
+SPACED_WORD = _but(lambda c: c in " \t\n\x0B\f\r") + "+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

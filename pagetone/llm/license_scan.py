@@ -13,13 +13,13 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetone.llm.common import words
+from pagetone.llm.common import ANY_CASE_LETTER, words
 
 #: Words from one block's start to the next; blocks are longer by the longest template, so no passage falls between.
 STRIDE = 64
 CONTAINMENT = 0.8
 #: A word before the text is lower-cased; there are as many of them.
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
+ANY_CASE_WORD = ANY_CASE_LETTER + "+"
 
 # Phrases whose places are reported, with their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -73,9 +73,10 @@ def token_order(texts: DataFrame) -> list[str]:
 def _blocks(texts: DataFrame, order: list[str], probes: list[str]) -> DataFrame:
     """(row, at, block, ranks): blocks of the documents that hold any prefix token; ranks are sorted template tokens."""
     rank = F.create_map(*[x for i, w in enumerate(order) for x in (F.lit(w), F.lit(i))])
-    # A text that holds none of the tokens even inside longer words is not cut into words at all. A filter on the
-    # words themselves would be pushed below the projection and cut every text twice.
-    held = texts.filter(F.col("text").rlike(f"(?i)(?:{'|'.join(probes)})")).select("row", words(F.col("text")).alias("words"))
+    # A text that holds none of the tokens as a word is not cut into words at all. A filter on the words
+    # themselves would be pushed below the projection and cut every text twice.
+    alone = f"(?i)(?<!{ANY_CASE_LETTER})(?:{'|'.join(probes)})(?!{ANY_CASE_LETTER})"
+    held = texts.filter(F.col("text").rlike(alone)).select("row", words(F.col("text")).alias("words"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(STRIDE))
     cut = held.select("row", "words", F.explode(starts).alias("at")).select(
         "row", "at", F.slice("words", F.col("at") + 1, WIDTH).alias("block"))
