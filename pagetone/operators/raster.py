@@ -75,6 +75,22 @@ def filter_mode(rasters: DataFrame) -> DataFrame:
     return rasters.withColumn("filter_mode", mode)
 
 
+def raster_errors(rasters: DataFrame) -> DataFrame:
+    """(image_id, error): one row for every raster that yields no gray pixels, with the reason.
+
+    A status other than ok or padded is its own reason. Decoding two-directional row filters fails as a
+    predictor does; rasters of one or two channels have no luma; an image without area has no pixels.
+    """
+    no_area = ~F.coalesce((F.col("w") > 0) & (F.col("h") > 0), F.lit(False))
+    reason = (F.when(no_area, "no_pixels").when(~F.col("status").isin("ok", "padded"), F.col("status"))
+               .when(~F.coalesce(F.col("channels").isin(3, 4), F.lit(False)), "channels_unsupported")
+               .when(F.col("filter_mode") == "unsupported", "predictor_fail"))
+    # An empty image is known without its rows, and a sequence of none of them would count down.
+    sized = filter_mode(pad_rule(rasters.withColumns({
+        "w": F.when(no_area, 0).otherwise(F.col("w")), "h": F.when(no_area, 1).otherwise(F.col("h"))})))
+    return sized.select("image_id", reason.alias("error")).filter("error IS NOT NULL")
+
+
 def unpack_pixels(rasters: DataFrame) -> DataFrame:
     """One row per pixel of every usable raster, channels side by side, as stored (filters not undone).
 
@@ -176,5 +192,5 @@ def pixels_to_gray(pixels: DataFrame, gain: int = 0) -> DataFrame:
 
 
 def gray_histogram(gray: DataFrame) -> DataFrame:
-    """Pixels per gray level of each image."""
-    return gray.groupBy("image_id", "gray").agg(F.count(F.lit(1)).alias("n"))
+    """Pixels per gray level of each image; an image that failed is one row with its error and no pixels."""
+    return gray.groupBy("image_id", "gray", "error").agg(F.count("gray").alias("n"))

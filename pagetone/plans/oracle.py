@@ -572,7 +572,8 @@ _sql("H7_row_delta_decode", f"""SELECT image_id, y, {_CHANNELS} FROM down
 WHERE image_id IN (SELECT image_id FROM samples WHERE tag > 0) GROUP BY image_id, y""", "down")
 _sql("H8_gray_histogram", f"""SELECT image_id, CASE WHEN c4 IS NOT NULL THEN {_round('255.0::DOUBLE * ' + _luma_cmyk(
     '(c1 / 255.0::DOUBLE)', '(c2 / 255.0::DOUBLE)', '(c3 / 255.0::DOUBLE)', '(c4 / 255.0::DOUBLE)'))}
-  ELSE {_round(_luma('c1', 'c2', 'c3'))} END AS gray, count(*) AS n FROM decoded_pixels GROUP BY ALL""", "decoded_pixels")
+  ELSE {_round(_luma('c1', 'c2', 'c3'))} END AS gray, NULL AS error, count(*) AS n FROM decoded_pixels GROUP BY ALL
+UNION ALL SELECT image_id, NULL, status, 0 FROM raster_states WHERE status NOT IN ('ok', 'padded')""", "decoded_pixels", "raster_states")
 
 # --- I ---
 _sql("I1_page_class", "SELECT * FROM classes", "classes")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagetone.functions import color
 from pagetone.operators import pages, raster
+from pagetone.plans import audit as jobs
 
 
 def test_four_decimals_follow_the_exact_binary_value(spark):
@@ -74,6 +75,19 @@ def test_padding_and_unsupported_filters(spark):
     assert not any(k[0] in (2, 3) for k in pixels)
 
 
+def test_every_raster_answers(spark):
+    schema = ("image_id bigint, w int, h int, channels int, predictor int, is_raw boolean, is_cut boolean, "
+              "decoded_len bigint, bytes binary")
+    rows = [(1, 2, 2, 3, 1, True, False, 12, bytearray([9] * 12)), (2, 1, 1, 3, 15, True, False, 4, bytearray([4, 1, 2, 3])),
+            (3, 2, 2, 3, 1, False, False, 11, bytearray(11)), (4, 2, 1, 1, 1, True, False, 2, bytearray(2)),
+            (5, 1, 1, 3, 1, False, False, None, None), (6, 0, 2, 3, 1, True, False, 0, bytearray()),
+            (7, 2, 0, 3, 15, True, False, 0, bytearray()), (8, 1, 1, 4, 15, True, False, 5, bytearray([3, 1, 2, 3, 4]))]
+    found = raster.gray_histogram(jobs.gray_rasters(spark.createDataFrame(rows, schema))).collect()
+    assert sorted((r.image_id, r.gray, r.error, r.n) for r in found) == [
+        (1, 9, None, 4), (2, None, "predictor_fail", 0), (3, None, "length_fail", 0), (4, None, "channels_unsupported", 0),
+        (5, None, "inflate_fail", 0), (6, None, "no_pixels", 0), (7, None, "no_pixels", 0), (8, None, "predictor_fail", 0)]
+
+
 def test_page_on_the_limit_is_gray(spark):
     px = spark.range(2_000_000).select(
         F.lit(1).alias("doc_id"), F.when(F.col("id") < 1_000_000, 1).otherwise(2).alias("page_no"),
