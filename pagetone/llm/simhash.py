@@ -4,6 +4,8 @@ Fingerprints of 64 bits are linked when few bits differ. Bits that vary together
 partition gets its own threshold, chosen by dynamic programming on estimated candidates, so that the
 thresholds sum to ``radius - partitions + 1``. Two fingerprints within the radius then agree in at least one
 partition to within its threshold, so probing every partition loses no link. Every candidate is verified.
+
+Near-duplicate texts, which the pipeline drops, are found without fingerprints: by their rarest shingles.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetone.llm.graph import components
@@ -262,13 +264,17 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return marked.join(labels, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
-# --- near-duplicate texts: fingerprints propose, shingles decide -----------------------------------
+# --- near-duplicate texts: shared rare shingles propose, all shingles decide ------------------------
 
-#: Production parameters of the pipeline's stage. Fingerprints of word pairs move less under small edits than those
-#: of longer shingles; the decision is made by the share of common five-word shingles.
-PAIR_WIDTH, PAIR_RADIUS, SHINGLE_WORDS, SIMILARITY = 2, 7, 5, 0.8
+#: Production parameters of the pipeline's stage: the decision is made by the share of common five-word shingles.
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Texts of one candidate group that are compared in one go; larger groups meet in pairs of such chunks.
 TEXT_CHUNK = 256
+#: Shingles of every COUNTED-th text are counted in COUNT_BUCKETS buckets. Counts only order shingles: any order gives the same links.
+COUNTED, COUNT_BUCKETS, COUNT_SLICE = 4, 1 << 18, 1 << 12
+#: A rare shingle of more texts than this gives one cluster, not all pairs.
+HOT_SHINGLE = 32
+_PARITY_BITS = 1024
 
 
 def _shingle_set(text: str, width: int) -> np.ndarray:
@@ -279,9 +285,15 @@ def _shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i:i + width]), SEED) for i in range(n)], dtype=np.uint64))
 
 
-def _similar(ids: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], radius: int, share: float) -> list[tuple[int, int]]:
-    """Spanning forest of the verified pairs: close fingerprints and a Jaccard similarity of at least ``share``."""
+def _similar(ids: np.ndarray, sets: list[np.ndarray], share: float) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs with a Jaccard similarity of at least ``share``.
+
+    Shingles are hashed to the parities of 1,024 buckets: two sets differ in at least as many shingles as
+    parities, so pairs with too many different ones need no intersection.
+    """
     size = np.array([len(s) for s in sets])
+    parity = np.array([np.packbits(np.bincount((s % np.uint64(_PARITY_BITS)).astype(np.int64), minlength=_PARITY_BITS) % 2 == 1)
+                       for s in sets]).view(np.uint64)
     left = np.ones(len(ids), dtype=bool)
     out: list[tuple[int, int]] = []
     for root in range(len(ids)):
@@ -292,9 +304,10 @@ def _similar(ids: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], radius: i
         while queue:
             u = queue.pop()
             rest = np.flatnonzero(left)
-            possible = ((np.bitwise_count(fps[rest] ^ fps[u]) <= radius)
-                        & (np.minimum(size[rest], size[u]) >= share * np.maximum(size[rest], size[u])))
-            for v in rest[possible].tolist():
+            rest = rest[np.minimum(size[rest], size[u]) >= share * np.maximum(size[rest], size[u]) - 1e-9]
+            differ = np.bitwise_count(parity[rest] ^ parity[u]).sum(axis=1, dtype=np.int64)
+            possible = rest[differ <= (size[rest] + size[u]) * (1 - share) / (1 + share) + 1e-6]
+            for v in possible.tolist():
                 common = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
                 if common >= share * (size[u] + size[v] - common) - 1e-9:
                     left[v] = False
@@ -303,67 +316,126 @@ def _similar(ids: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], radius: i
     return out
 
 
-def _verified(radius: int, width: int, share: float):
-    """Scan rows sorted by (cluster, ci, cj); each such group is bounded by two chunks."""
+def _verified(width: int, share: float):
+    """Scan rows sorted by (hot, cluster, ci, cj) and link the similar texts of each such group."""
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group: tuple | None = None
-        held: dict[int, tuple[int, str]] = {}
+        held: dict[int, str] = {}
 
         def close() -> list[tuple[int, int]]:
             if len(held) < 2:
                 return []
-            ids = np.array(list(held), dtype=np.int64)
-            fps = np.array([f for f, _ in held.values()], dtype=np.int64).view(np.uint64)
-            return _similar(ids, fps, [_shingle_set(t, width) for _, t in held.values()], radius, share)
+            return _similar(np.array(list(held), dtype=np.int64), [_shingle_set(t, width) for t in held.values()], share)
 
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for c, i, j, node, fp, text in batch[["cluster", "ci", "cj", "node", "fp", "text"]].itertuples(index=False, name=None):
-                if (c, i, j) != group:
+            for *at, node, text in batch[["hot", "cluster", "ci", "cj", "node", "text"]].itertuples(index=False, name=None):
+                if at != group:
                     found += close()
-                    group, held = (c, i, j), {}
-                held[node] = (fp, text)
+                    group, held = at, {}
+                held[node] = text
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
         yield pd.DataFrame(close(), columns=["a", "b"], dtype="int64")
 
     return links
 
 
-def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = PAIR_WIDTH,
-                          radius: int = PAIR_RADIUS, share: float = SIMILARITY, chunk: int = TEXT_CHUNK) -> DataFrame:
+def shingle_counts(texts: DataFrame, width: int = SHINGLE_WORDS, every: int = COUNTED) -> np.ndarray:
+    """Occurrences of shingles by bucket (hash modulo COUNT_BUCKETS) in every ``every``-th of ``texts`` (node, text)."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(COUNT_BUCKETS, dtype=np.int64)
+        for batch in batches:
+            for t in batch["text"]:
+                np.add.at(total, (_shingle_set(t, width) % np.uint64(COUNT_BUCKETS)).astype(np.int64), 1)
+        yield pd.DataFrame({"slice": np.arange(COUNT_BUCKETS // COUNT_SLICE),
+                            "counts": [x.tobytes() for x in total.astype("<i4").reshape(-1, COUNT_SLICE)]})
+
+    def added(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(COUNT_SLICE, dtype=np.int64)
+        for x in group["counts"]:
+            total += np.frombuffer(x, dtype="<i4")
+        return pd.DataFrame({"slice": group["slice"].iloc[:1], "counts": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
+
+    schema = "slice int, counts binary"
+    rows = (texts.filter(F.pmod("node", F.lit(every)) == 0).select("text").mapInPandas(partial, schema)
+            .groupBy("slice").applyInPandas(added, schema).collect())  # COUNT_BUCKETS numbers, whatever the data
+    counts = np.zeros(COUNT_BUCKETS, dtype=np.int32)
+    for r in rows:
+        counts[r["slice"] * COUNT_SLICE:(r["slice"] + 1) * COUNT_SLICE] = np.frombuffer(r["counts"], dtype="<i4")
+    return counts
+
+
+def _rarest(text: Column, counts, width: int, share: float) -> Column:
+    """(size, tokens): the size of a text's shingle set, and 32 bits of each of its rarest shingles.
+
+    Sets whose Jaccard similarity is at least ``share`` have that share of the larger one in common. Of n
+    shingles in an order that all texts share, the first n - ceil(share * n) + 1 are therefore enough: similar
+    texts have at least one of them in common.
+    """
+
+    @F.pandas_udf("size int, tokens array<int>")
+    def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        order = counts.value
+        for batch in batches:
+            sizes, tokens = [], []
+            for t in batch:
+                s = _shingle_set(t, width)
+                first = np.lexsort((s, order[(s % np.uint64(COUNT_BUCKETS)).astype(np.int64)]))
+                first = first[:len(s) - int(np.ceil(share * len(s) - 1e-9)) + 1]
+                sizes.append(len(s))
+                tokens.append(np.unique((s[first] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            yield pd.DataFrame({"size": pd.Series(sizes, dtype="int32"), "tokens": pd.Series(tokens, dtype=object)})
+
+    return of_texts(text)
+
+
+def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS,
+                          share: float = SIMILARITY, chunk: int = TEXT_CHUNK, hot: int = HOT_SHINGLE) -> DataFrame:
     """(node, least, group): every different text (by hash), its smallest key, and the smallest key of its group.
 
-    Two texts are linked if their fingerprints differ in at most ``radius`` bits and their sets of five-word
-    shingles have a Jaccard similarity of at least ``share``; groups are what links connect. Equal texts are one
-    node, so they cost one row. Candidates are clustered first, by links that connect all pairs within the
-    radius; then each cluster's texts are compared in chunks of bounded size, and only a spanning forest of the
-    verified links comes out. Texts without words are alike and form one group.
+    Two texts are linked if their sets of five-word shingles have a Jaccard similarity of at least ``share``;
+    groups are what links connect. Equal texts are one node, so they cost one row. No pair is lost: texts that
+    have one of their rarest shingles in common are compared (see ``_rarest``). A rare shingle of up to ``hot``
+    texts proposes its pairs; texts of one with more are clustered first, each cluster's texts are compared in
+    chunks of bounded size, and only a spanning forest of the similar pairs comes out. Texts without words are
+    alike and form one group.
     """
-    slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    marked = slim.select("key", F.xxhash64("text").alias("node"), fingerprint(F.col("text"), width).alias("fp"))
-    nodes = cut_lineage(marked.groupBy("node").agg(F.min("key").alias("least"), F.first("fp").alias("fp")))
-    places = nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    links = link_fingerprints(places.select("fp"), radius)
-    found = components(links)
-    clusters = places.join(found, places["fp"] == found["node"], "left").select(
-        "fp", "n", F.coalesce("component", "fp").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.sum("n").alias("texts")).filter("texts > 1").withColumn(
-        "chunks", F.ceil(F.col("texts") / F.lit(chunk)).cast("int"))
-    members = cut_lineage(nodes.join(clusters.join(sizes, "cluster").select("fp", "cluster", "chunks"), "fp")
-                          .select("node", "fp", "least", "cluster", "chunks"))
+    spark = docs.sparkSession
+    slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn(
+        "node", F.xxhash64("text"))
+    counts = spark.sparkContext.broadcast(shingle_counts(slim.select("node", "text"), width))
+    marked = slim.select("key", "node", _rarest(F.col("text"), counts, width, share).alias("rare"))
+    nodes = cut_lineage(marked.groupBy("node").agg(F.min("key").alias("least"), F.first("rare").alias("rare")))
+    entries = nodes.select("node", F.col("rare.size").alias("size"), F.explode("rare.tokens").alias("token"))
+    shared = cut_lineage(entries.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("n > 1"))
+
+    cold = shared.filter(F.col("n") <= hot)
+    a, b = cold.alias("a"), cold.alias("b")
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node"))
+                   & (F.least("a.size", "b.size") >= F.lit(share) * F.greatest("a.size", "b.size") - 1e-9)).select(
+        F.col("a.node").alias("cluster"), F.col("b.node").alias("node")).distinct()
+    both = pairs.unionByName(pairs.select("cluster", F.col("cluster").alias("node")).distinct())
+    asked = both.select(F.lit(False).alias("hot"), "cluster", F.lit(0).alias("ci"), F.lit(0).alias("cj"), "node")
+
+    often = shared.filter(F.col("n") > hot).select("node", "token")
+    centres = often.groupBy("token").agg(F.min("node").alias("b"))
+    found = components(often.join(centres, "token").select(F.col("node").alias("a"), "b"))
+    clusters = found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("chunks"))
+    members = found.join(clusters, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = members.select("component", "node", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")).select(
+        F.lit(True).alias("hot"), F.col("component").alias("cluster"), F.least("o", "own").alias("ci"),
+        F.greatest("o", "own").alias("cj"), "node")
+    asked = cut_lineage(asked.unionByName(dealt).join(nodes.select("node", "least"), "node"))
     # One row per different text: the row with the smallest key brings it.
-    texts = (slim.withColumn("node", F.xxhash64("text")).join(members, "node").filter(F.col("key").eqNullSafe(F.col("least")))
-             .select("node", "fp", "cluster", "chunks", "text"))
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    pairs = F.explode(F.transform(every, lambda o: F.struct(F.least(o, F.col("own")).alias("ci"), F.greatest(o, F.col("own")).alias("cj"))))
-    dealt = texts.withColumn("own", own).select("node", "fp", "cluster", "text", pairs.alias("p")).select(
-        "cluster", "p.ci", "p.cj", "node", "fp", "text")
-    verified = (dealt.repartition("cluster", "ci", "cj").sortWithinPartitions("cluster", "ci", "cj")
-                .mapInPandas(_verified(radius, SHINGLE_WORDS, share), "a bigint, b bigint"))
+    texts = (slim.join(asked, "node").filter(F.col("key").eqNullSafe(F.col("least")))
+             .select("hot", "cluster", "ci", "cj", "node", "text"))
+    group = ["hot", "cluster", "ci", "cj"]
+    verified = (texts.repartition(*group).sortWithinPartitions(*group)
+                .mapInPandas(_verified(width, share), "a bigint, b bigint"))
     groups = components(verified)
-    placed = nodes.join(groups.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
+    placed = nodes.select("node", "least").join(groups.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
         "node", "least", F.coalesce("component", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("group"))
     return placed.join(least, "root").select("node", "least", "group")

@@ -272,3 +272,36 @@ def test_shared_lines_is_longest():
         assert got == sorted(set(got)) and len(got) == table[-1, -1]
         it = iter(b.tolist())
         assert all(x in it for x in a[got].tolist())
+
+
+def brute_near_groups(rows, share=0.8):
+    """Smallest key of every row's group by the Jaccard similarity of all pairs of five-word shingle sets."""
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for _, t in rows)]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= share * len(sets[i] | sets[j]) - 1e-9 and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return {k: min(rows[j][0] for j in range(len(rows)) if group[j] == group[i]) for i, (k, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("hot", [32, 3])
+def test_near_duplicates_like_all_pairs(spark, hot):
+    """Appended, cut and edited copies around the threshold, whose fingerprints differ in many bits."""
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 4000, n)]
+    rows, passage = [], word(40)
+    for k in range(12):
+        base = [*word(120), *passage]
+        rows += [base, base + word(30), base + ["same"] * 38, base + word(60), base[:135], base[:120], base[25:]]
+        for n in (3, 6, 9):
+            edited = list(base)
+            for at in rng.choice(len(base), n, replace=False):
+                edited[at] = "zz"
+            rows.append(edited)
+    rows = [(k, " ".join(w)) for k, w in enumerate(rows)]
+    want = brute_near_groups(rows)
+    assert 12 < len(set(want.values())) < len(rows)
+    kept = simhash.drop_near_duplicates(docs_of(spark, [(k, t, "a") for k, t in rows]), hot=hot, chunk=7)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
