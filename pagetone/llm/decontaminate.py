@@ -1,16 +1,13 @@
-"""Benchmark decontamination: SimHash windows of an item's size, Hamming blocks, exact verification.
+"""Benchmark decontamination: windows of an item's size that hold enough of the item's shingles.
 
-A window of a document is compared with a benchmark item of the same number of words. Fingerprints are built from
-words; multi-index Hamming blocks find every item within RADIUS bits of a window's fingerprint; candidates are then
-verified by the weighted share of the item's five-word shingles that the window holds. Only windows that begin
-shortly before a shingle of some item are fingerprinted: no other can pass the verification. Everything is
-DataFrame expressions.
+A window of a document is compared with a benchmark item of the same number of words. It holds the item if it has
+at least SIMILARITY of the item's five-word shingles, repeats counted. The places of the shingles that a document
+shares with an item tell which windows hold enough of them; their share is then counted exactly. No window that
+passes is left out. Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +15,6 @@ from pagetone.llm.common import let, words
 from pagetone.session import cut_lineage
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Four blocks of 16 bits, each searched to within 2 bits: complete to 4 * (2 + 1) - 1 = 11 bits.
-BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 2
-RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Up to so many different benchmark shingles their hashes are broadcast (about 50 MB); beyond, they are joined by shuffle.
 BROADCAST_SHINGLES = 1_000_000
 _LANES = 16
@@ -59,47 +53,35 @@ def _shingle_hashes(tokens: Column) -> Column:
     return F.transform(at, lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(SHINGLE)]))
 
 
-def _shingles(tokens: Column) -> Column:
-    """Every run of SHINGLE words as text with its number among equal ones, so that sets of them weigh repeats."""
-    last = F.size(tokens) - SHINGLE + 1
-    at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return let(F.transform(at, lambda i: F.concat_ws(" ", F.slice(tokens, i, SHINGLE))), lambda texts: F.transform(
-        texts, lambda t, i: F.concat_ws(" ", t, F.size(F.filter(F.slice(texts, F.lit(1), i + 1), lambda u: u == t)).cast("string"))))
-
+def benchmark_items(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
+    """(item, id, n, hashes): items of at least SHINGLE words with the hashes of their shingles, in order.
 
-def _block_keys(fp: Column) -> Column:
-    return F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(fp, BLOCK_BITS * b).bitwiseAND(F.lit(0xFFFF)).alias("key"))
-                     for b in range(BLOCKS)])
+    Shorter, empty and null ones are no evidence and left out, as are items without a key. ``id`` tells texts
+    with the same key apart.
+    """
+    return (benchmark.select(F.col(key).alias("item"), words(F.col(text)).alias("words"))
+            .filter(F.col("item").isNotNull() & (F.size("words") >= SHINGLE)).distinct()
+            .select("item", F.xxhash64("item", "words").alias("id"), F.size("words").alias("n"), _shingle_hashes(F.col("words")).alias("hashes")))
 
 
-def benchmark_items(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, words, n, fp): items of at least SHINGLE words. Shorter, empty and null ones are no evidence and left out."""
-    return (benchmark.select(F.col(key).alias("item"), words(F.col(text)).alias("words"))
-            .withColumn("n", F.size("words")).filter(F.col("n") >= SHINGLE).withColumn("fp", simhash(F.col("words"))).distinct())
+def _share(held: Column, wanted: Column) -> Column:
+    """Share of the hashes ``wanted`` that are among ``held``, repeats counted."""
+    plain = F.size(F.array_distinct(wanted)) == F.size(wanted)
+    repeated = F.aggregate(F.array_distinct(wanted), F.lit(0), lambda acc, x: acc + F.least(
+        F.size(F.filter(held, lambda y: y == x)), F.size(F.filter(wanted, lambda y: y == x))))
+    return F.when(plain, F.size(F.array_distinct(held))).otherwise(repeated) / F.size(wanted)
 
 
-def _windows(texts: DataFrame, items: DataFrame) -> DataFrame:
-    """(row, start, n, fp, words): windows of item size that begin at most the tolerated loss before a shared shingle."""
-    shingles = (items.select("n", F.explode(_shingle_hashes(F.col("words"))).alias("h")).distinct()
-                .groupBy("h").agg(F.collect_set("n").alias("sizes")))
+def _shared(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(row, id, total, places): where each row has shingles of an item, as (pos, h) in order."""
+    shingles = (items.select("id", F.explode("hashes").alias("h")).groupBy("h").agg(F.collect_set("id").alias("ids")))
     shingles = cut_lineage(shingles)
     small = shingles.count() <= BROADCAST_SHINGLES
     hashed = texts.select("row", words(F.col("text")).alias("words")).select(
         "row", F.size("words").alias("total"), F.posexplode(_shingle_hashes(F.col("words"))).alias("pos", "h"))
     met = hashed.join(F.broadcast(shingles) if small else shingles, "h")
-    lost = F.floor((F.col("n") - SHINGLE + 1) * F.lit(1 - SIMILARITY) + F.lit(1e-9)).cast("int")
-    last = F.greatest(F.col("total") - F.col("n"), F.lit(0))
-    starts = (met.select("row", "total", "pos", F.explode("sizes").alias("n"))
-              .withColumn("low", F.greatest(F.col("pos") - lost, F.lit(0))).withColumn("high", F.least(F.col("pos"), last))
-              .withColumn("low", F.least("low", "high"))
-              .select("row", "n", F.explode(F.sequence("low", "high")).alias("start")).distinct())
-    asked = cut_lineage(starts.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("wanted")))
-    # A document has as many windows as it has shared shingles times item sizes; the other documents are not read on.
-    held = texts.join(asked, "row").select("row", "wanted", words(F.col("text")).alias("all")).select(
-        "row", "all", F.explode("wanted").alias("w"))
-    return held.select("row", F.col("w.start").alias("start"), F.col("w.n").alias("n"),
-                       F.slice("all", F.col("w.start") + 1, F.col("w.n")).alias("words")).withColumn(
-        "fp", simhash(F.col("words"))).dropDuplicates(["row", "start", "n"])
+    return (met.select("row", "total", "pos", "h", F.explode("ids").alias("id")).groupBy("row", "id", "total")
+            .agg(F.array_sort(F.collect_set(F.struct("pos", "h"))).alias("places")))
 
 
 def find_items(texts: DataFrame, benchmark: DataFrame, item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -108,21 +90,22 @@ def find_items(texts: DataFrame, benchmark: DataFrame, item_key: str = "item_id"
     ``texts`` has row and text; rows with the same key have the same text, and their windows are kept once.
     """
     items = cut_lineage(benchmark_items(benchmark, item_key, item_text))
-    flips = [sum(1 << b for b in bits) for t in range(BLOCK_RADIUS + 1) for bits in combinations(range(BLOCK_BITS), t)]
-    ball = F.transform(F.array(*[F.lit(x) for x in flips]), lambda x: F.col("k.key").bitwiseXOR(x))
-    stored = (items.select("item", "n", F.col("fp").alias("item_fp"), F.explode(_block_keys(F.col("fp"))).alias("k"))
-              .select("item", "n", "item_fp", F.col("k.block").alias("block"), F.explode(ball).alias("key")))
-    windows = cut_lineage(_windows(texts, items))
-    asked = windows.select("row", "start", "n", "fp", F.explode(_block_keys(F.col("fp"))).alias("k")).select(
-        "row", "start", "n", "fp", F.col("k.block").alias("block"), F.col("k.key").alias("key"))
-    near = asked.join(stored, ["n", "block", "key"]).filter(
-        F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("row", "start", "n", "item").distinct()
-    # The exact check: share of the item's shingles, repeats counted, that the window holds.
-    both = near.join(windows.select("row", "start", "n", "words"), ["row", "start", "n"]).join(
-        items.select("item", F.col("words").alias("item_words")), "item")
-    theirs = _shingles(F.col("item_words"))
-    share = let(theirs, lambda s: F.size(F.array_intersect(_shingles(F.col("words")), s)) / F.size(s))
-    found = both.select("row", "item", "start", "n", share.alias("similarity")).filter(F.col("similarity") >= SIMILARITY)
+    size = F.size("hashes")
+    need = size - F.floor(size * F.lit(1 - SIMILARITY) + F.lit(1e-9)).cast("int")
+    both = (_shared(texts, items).join(items, "id").withColumn("need", need).withColumn("span", size)
+            .withColumn("last", F.greatest(F.col("total") - F.col("n"), F.lit(0))).filter(F.size("places") >= F.col("need")))
+    # The k-th place and the one ``need`` places on lie in one window: all windows over both are asked for.
+    first = F.explode(F.sequence(F.lit(0), F.size("places") - F.col("need")))
+    ends = both.withColumn("k", first).withColumn("high", F.col("places")[F.col("k")]["pos"]).withColumn(
+        "low", F.col("places")[F.col("k") + F.col("need") - 1]["pos"] - F.col("span") + 1).filter("low <= high")
+    held = F.transform(F.filter(F.slice("places", F.col("k") + 1, F.col("span")), lambda p: p["pos"] < F.col("start") + F.col("span")),
+                       lambda p: p["h"])
+    # A window is asked for by its first place only: later starts than that belong to the next place.
+    before = F.when(F.col("k") > 0, F.col("places")[F.col("k") - 1]["pos"] + 1).otherwise(F.lit(0))
+    starts = ends.withColumn("from", F.greatest("low", before, F.lit(0))).withColumn("start", F.explode(
+        F.when(F.col("from") <= F.least("high", "last"), F.sequence("from", F.least("high", "last")))))
+    found = starts.select("row", "item", "start", "n", _share(held, F.col("hashes")).alias("similarity")).filter(
+        F.col("similarity") >= SIMILARITY)
     best = found.groupBy("row", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("m"), "n")).alias("b"))
     return best.select("row", "item", (-F.col("b.m")).alias("start"), F.col("b.n").alias("n"), F.col("b.similarity").alias("similarity"))
 

@@ -305,3 +305,43 @@ def test_near_duplicates_like_all_pairs(spark, hot):
     assert 12 < len(set(want.values())) < len(rows)
     kept = simhash.drop_near_duplicates(docs_of(spark, [(k, t, "a") for k, t in rows]), hot=hot, chunk=7)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+
+
+def brute_items(text, items):
+    """(item, similarity) of all windows of every item's size that hold 80 % of its five-word shingles, repeats counted."""
+    from collections import Counter
+
+    found = {}
+    w = text.lower().split()
+    for key, item in items:
+        v = item.lower().split()
+        want = Counter(tuple(v[i:i + 5]) for i in range(len(v) - 4))
+        for s in range(max(0, len(w) - len(v)) + 1):
+            part = w[s:s + len(v)]
+            share = (want & Counter(tuple(part[i:i + 5]) for i in range(len(part) - 4))).total() / want.total()
+            if share >= 0.8:
+                found[key] = max(found.get(key, 0), share)
+    return found
+
+
+def test_decontaminate_like_all_windows(spark):
+    """Items quoted with a cut end, a replaced run, a shift, single edits, repeats, and in texts shorter than they are."""
+    rng = np.random.default_rng(7)
+    word = lambda n, of: [f"{of}{x}" for x in rng.integers(0, 3000, n)]
+    items = [(k, word(n, "q")) for k, n in enumerate([5, 6, 15, 15, 20, 25, 30, 40, 50, 60, 60])] + [(90, ["a", "b"] * 14), (91, ["one"] * 12)]
+    texts = [" ".join(["a", "b"] * 12), " ".join(["one"] * 11), " ".join(["one"] * 40), "b " + " ".join(["a", "b"] * 30)]
+    for _, v in items:
+        lost = int((len(v) - 4) * 0.2 + 1e-9)
+        for cut in (0, lost, lost + 1):
+            around = word(20, "x"), word(70, "y")
+            texts += [" ".join([*around[0], *v[:len(v) - cut], *around[1]]), " ".join([*around[0], *v[cut:], *around[1]]), " ".join(v[cut:])]
+            run = list(v)
+            run[len(v) // 2:len(v) // 2 + max(0, cut - 4)] = word(max(0, cut - 4), "z")
+            texts.append(" ".join([*around[0], *run, *around[1], *v]))
+            texts.append(" ".join([*around[0], *run, *around[1]]))
+    items = [(k, " ".join(v)) for k, v in items]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.decontaminate(docs_of(spark, [(k, t, "a") for k, t in enumerate(texts)]), bench).collect()
+    want = {k: brute_items(t, items) for k, t in enumerate(texts)}
+    assert {r["doc_id"]: (r["items"], round(r["similarity"], 6)) for r in got} == {
+        k: (",".join(map(str, sorted(f))), round(max(f.values(), default=0), 6)) for k, f in want.items()}
