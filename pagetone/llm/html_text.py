@@ -176,68 +176,88 @@ def _common_prefix(a: str, b: str) -> int:
     return n
 
 
-#: A neighbour is taken from at most this many pages on either side of the order; copies of the page are passed over.
-REACH = 4
-
-
 def _pair(rows: list[tuple], at: int) -> list[int]:
-    """Shared line positions of row ``at`` with its nearest page of the same host that is not a copy of it."""
+    """Shared line positions of row ``at`` with the nearer of its two neighbours, which are of the same host."""
     host, path, own = rows[at][0], rows[at][1], rows[at][3]
-    best, best_rank = None, None
-    for side in (-1, 1):
-        for step in range(1, REACH + 1):
-            k = at + side * step
-            if not 0 <= k < len(rows) or rows[k][0] != host:
-                break
-            if np.array_equal(rows[k][3], own):
-                continue
-            rank = (-_common_prefix(path, rows[k][1]), step, side)
-            if best_rank is None or rank < best_rank:
-                best, best_rank = k, rank
-            break
-    return shared_lines(own, rows[best][3]) if best is not None else []
+    near = [(-_common_prefix(path, rows[k][1]), k) for k in (at - 1, at + 1) if 0 <= k < len(rows) and rows[k][0] == host]
+    return shared_lines(own, rows[min(near)[1]][3]) if near else []
 
 
 def frame_lines(keyed: DataFrame) -> DataFrame:
     """(page, gone): positions of the lines that a page shares with its neighbour.
 
     ``keyed`` has page (bigint), host, path and lines (array of line hashes). Rows are ordered by ranges of
-    (host, path, page), so a large host is dealt over many tasks; the REACH rows next to a range's border are
-    handed to the neighbouring task, so the result does not depend on the ranges.
+    (host, path, page), so a large host is dealt over many tasks. Rows next to each other with equal lines are one
+    run, however long: its first row is compared with the runs on either side, for all of them. The runs next to
+    a range's border are joined or handed over, so the result does not depend on the ranges.
     """
     spark = keyed.sparkSession
     order = ["host", "path", "page"]
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, head = None, None
+        for batch in batches:
+            heads = []
+            for host, page, same in zip(batch["host"], batch["page"], batch["same"], strict=True):
+                if (host, same) != last:
+                    last, head = (host, same), page
+                heads.append(head)
+            batch["head"] = pd.Series(heads, index=batch.index, dtype="int64")
+            batch["lines"] = batch["lines"].where(batch["head"] == batch["page"], None)
+            yield batch
+
     ranged = cut_lineage(keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-                         .withColumn("range", F.spark_partition_id()))
+                         .select(*order, F.spark_partition_id().alias("range"), F.xxhash64("lines").alias("same"), "lines")
+                         .mapInPandas(runs, "host string, path string, page bigint, range int, same bigint, lines array<bigint>, head bigint"))
+    heads = ranged.filter("head = page")
 
     def borders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, last = [], []
         for batch in batches:
             rows = list(batch.itertuples(index=False, name=None))
-            first += rows[:max(0, REACH - len(first))]
-            last = (last + rows)[-REACH:]
+            first += rows[:max(0, 2 - len(first))]
+            last = rows[-1:] or last
         yield pd.DataFrame([(*r, side) for side, rows in (("first", first), ("last", last)) for r in rows],
-                           columns=["range", *order, "side"])
+                           columns=["range", *order, "same", "side"])
 
-    # At most 2 * REACH keys per task come to the driver; their lines stay on the executors.
+    # At most three keys per task come to the driver; their lines stay on the executors.
     found: dict[int, dict[str, list[tuple]]] = {}
-    for r in ranged.select("range", *order).mapInPandas(
-            borders, "range int, host string, path string, page bigint, side string").collect():
-        found.setdefault(r["range"], {"first": [], "last": []})[r["side"]].append((r["host"], r["path"], r["page"]))
+    for r in heads.select("range", *order, "same").mapInPandas(
+            borders, "range int, host string, path string, page bigint, same bigint, side string").collect():
+        found.setdefault(r["range"], {"first": [], "last": []})[r["side"]].append((r["host"], r["path"], r["page"], r["same"]))
     ranges = sorted(found)
+    joined, ends, run = [], [], None  # a range's first run may go on from the range before
+    for here in ranges:
+        first, last = found[here]["first"], found[here]["last"][0]
+        if run and (run[0], run[3]) == (first[0][0], first[0][3]):
+            joined.append((first[0][2], run[2]))
+            own = None if last == first[0] else last
+            first = first[1:]
+        else:
+            own = last
+        run = own or run
+        ends.append((here, first[0] if first else None, own))
     copies = []
-    for i, here in enumerate(ranges):
-        before = [k for r in ranges[max(0, i - REACH):i] for k in found[r]["last"]][-REACH:]
-        after = [k for r in ranges[i + 1:i + 1 + REACH] for k in found[r]["first"]][:REACH]
-        copies += [(here, *k) for k in before + after]
-    own = ranged.withColumn("guest", F.lit(False))
+    before = None
+    for here, _, own in ends:
+        if before:
+            copies.append((here, *before[:3]))
+        before = own or before
+    after = None
+    for here, first, _ in reversed(ends):
+        if after:
+            copies.append((here, *after[:3]))
+        after = first or after
+    to = spark.createDataFrame(joined, "was bigint, to bigint")
+    heads = heads.join(F.broadcast(to), heads["page"] == to["was"], "left_anti")
+    own = heads.select(*order, "lines", "range", F.lit(False).alias("guest"))
     if copies:
         wanted = spark.createDataFrame(copies, "to int, host string, path string, page bigint")
-        guests = (ranged.alias("r").join(F.broadcast(wanted).alias("w"),
-                                         F.expr("r.host <=> w.host and r.path <=> w.path and r.page = w.page"))
+        guests = (heads.alias("r").join(F.broadcast(wanted).alias("w"),
+                                        F.expr("r.host <=> w.host and r.path <=> w.path and r.page = w.page"))
                   .select(F.col("r.host"), F.col("r.path"), F.col("r.page"), F.col("r.lines"),
                           F.col("w.to").alias("range"), F.lit(True).alias("guest")))
-        own = own.select("host", "path", "page", "lines", "range", "guest").unionByName(guests)
+        own = own.unionByName(guests)
     together = own.repartition(max(1, len(ranges)), "range").sortWithinPartitions("range", *order)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,19 +266,21 @@ def frame_lines(keyed: DataFrame) -> DataFrame:
 
         def ready(upto: int) -> pd.DataFrame:
             rows = [(window[k][2], _pair(window, k)) for k in range(todo, upto) if not window[k][4]]
-            return pd.DataFrame({"page": pd.Series([r[0] for r in rows], dtype="int64"),
+            return pd.DataFrame({"head": pd.Series([r[0] for r in rows], dtype="int64"),
                                  "gone": pd.Series([r[1] for r in rows], dtype=object)})
 
         for batch in batches:
             window += [((r, h), p or "", k, np.asarray(x, dtype=np.int64), g) for r, h, p, k, x, g in zip(
                 batch["range"], batch["host"], batch["path"], batch["page"], batch["lines"], batch["guest"], strict=True)]
-            upto = max(todo, len(window) - REACH)
+            upto = max(todo, len(window) - 1)
             yield ready(upto)
-            drop = max(0, upto - REACH)
+            drop = max(0, upto - 1)
             window, todo = window[drop:], upto - drop
         yield ready(len(window))
 
-    return together.mapInPandas(compare, "page bigint, gone array<int>")
+    gone = together.mapInPandas(compare, "head bigint, gone array<int>")
+    return (ranged.join(F.broadcast(to), ranged["head"] == to["was"], "left")
+            .select("page", F.coalesce("to", "head").alias("head")).join(gone, "head").select("page", "gone"))
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

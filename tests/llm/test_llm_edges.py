@@ -345,3 +345,25 @@ def test_decontaminate_like_all_windows(spark):
     want = {k: brute_items(t, items) for k, t in enumerate(texts)}
     assert {r["doc_id"]: (r["items"], round(r["similarity"], 6)) for r in got} == {
         k: (",".join(map(str, sorted(f))), round(max(f.values(), default=0), 6)) for k, f in want.items()}
+
+
+@pytest.mark.parametrize("parts", [1, 12])
+def test_html_runs_of_copies(spark, parts):
+    """Copies of one page beside each other, in a longer run than any range holds, all lose the site's lines."""
+    page = "<body><p>Site name</p><p>own {n}</p><p>Imprint</p></body>"
+    rows = [(n, f"http://h.example/a/{n:03}", page.format(n=n if n < 5 or n >= 65 else "copy")) for n in range(70)]
+    rows += [(100 + n, f"http://only.example/{n}", page.format(n="copy")) for n in range(9)]
+    rows += [(200 + n, f"http://q.example/p?q={n}", page.format(n="one")) for n in range(25)] + [(300, "http://q.example/z", page.format(n="z"))]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r["page_id"]: r["text"] for r in html_text.extract_text(pages).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(rows)
+    assert all(got[n] == (f"own {n}" if n < 5 or n >= 65 else "own copy") for n in range(70))
+    assert all(got[100 + n] == "Site name\nown copy\nImprint" for n in range(9))  # no page to compare with
+    assert all(got[200 + n] == "own one" for n in range(25)) and got[300] == "own z"
