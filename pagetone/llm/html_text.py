@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pagetone.session import cut_lineage
 
 FRAME, PLAIN, ARTICLE = 0, 1, 2
+GUESSED = 3  # frame by the name of a class or id only: an article inside lifts it
 
 # Elements without text of their own, elements of a page's frame, of an article, and blocks.
 _SKIPPED = {"script", "style", "noscript", "template", "svg", "head", "iframe", "object", "canvas", "math", "textarea",
@@ -41,26 +42,31 @@ _FRAME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search"
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                      r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: Classes of a container that say whether it has a frame part beside it.
+_BESIDE = re.compile(r"(?:^|[_-])(?:no|has|have|with|without)[_-]", re.I)
 
 
 def _declared(name: str, attributes: str, inside_article: bool) -> int | None:
     if name in _FRAME:
         # the heading of an article may sit in a header of its own
         return PLAIN if name == "header" and inside_article else FRAME
+    role, guessed = None, False
     if attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
             value = value.strip("\"'")
             key = key.lower()
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 return FRAME
-            if key == "role" and value.lower() in _FRAME_ROLES:
-                return FRAME
-            if key == "role" and value.lower() in ("main", "article"):
-                return ARTICLE
-            if key in ("class", "id") and name not in ("body", "html", "article", "main") and _FRAME_WORDS.search(value):
-                return FRAME
-    return ARTICLE if name in _ARTICLE else None
+            if key == "role":
+                role = value.lower()
+            if key in ("class", "id") and name not in ("body", "html", "article", "main"):
+                guessed = guessed or any(_FRAME_WORDS.search(w) and not _BESIDE.search(w) for w in value.split())
+    if role in _FRAME_ROLES:
+        return FRAME
+    if role in ("main", "article") or name in _ARTICLE:
+        return ARTICLE
+    return GUESSED if guessed else None
 
 
 def text_lines(html: str | None) -> list[tuple[str, int]]:
@@ -75,7 +81,7 @@ def text_lines(html: str | None) -> list[tuple[str, int]]:
         if buffer:
             line = " ".join(entities.unescape("".join(buffer)).split())
             if line:
-                lines.append((line, role))
+                lines.append((line, FRAME if role == GUESSED else role))
             buffer.clear()
 
     at, size = 0, len(page)
@@ -109,6 +115,8 @@ def text_lines(html: str | None) -> list[tuple[str, int]]:
             close_block()
             _, role, skipped = stack.pop()
         new_role = FRAME if role == FRAME else _declared(name, found[3], role == ARTICLE)
+        if role == GUESSED and new_role not in (FRAME, ARTICLE):
+            new_role = GUESSED
         if name in _RAW:  # nothing in it is markup
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else size

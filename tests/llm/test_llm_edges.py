@@ -367,3 +367,17 @@ def test_html_runs_of_copies(spark, parts):
     assert all(got[n] == (f"own {n}" if n < 5 or n >= 65 else "own copy") for n in range(70))
     assert all(got[100 + n] == "Site name\nown copy\nImprint" for n in range(9))  # no page to compare with
     assert all(got[200 + n] == "own one" for n in range(25)) and got[300] == "own z"
+
+
+@pytest.mark.parametrize(("html", "kept"), [
+    ('<div style="overflow:hidden">a</div>', "a"), ('<p>see <a href="/hidden/x">b</a></p>', "see b"), ('<p title="a hidden truth">c</p>', "c"),
+    ("<article><div style='visibility: hidden'>d</div></article>", "d"), ("<div data-hidden=no>e</div>", "e"),
+    ('<div hidden>x</div><p hidden="">x</p><p title=\'a\' HIDDEN>x</p><div aria-hidden="true">x</div>f', "f"),
+    ('<div class="content no-sidebar">g</div><div class="with-sidebar">h</div><div id=has-header>i</div>', "g h i"),
+    ('<div class="layout-without-nav">j</div><div class="content sidebar">x</div><div class=site-header>x</div>', "j"),
+    ('<div class="widget">x<article>k<div class=share>x</div></article>x</div>l', "k l"),
+    ('<div class="page header"><div role="main">m</div><main>n</main></div>', "m n"),
+    ('<div class="comments"><nav><article>x</article></nav></div><div role=search class=a><main>x</main></div>o', "o"),
+    ('<div class="banner" role="article">p</div>', "p")])
+def test_html_declared_frame(html, kept):
+    assert " ".join(t for t, r in html_text.text_lines(f"<body>{html}</body>") if r != html_text.FRAME) == kept
