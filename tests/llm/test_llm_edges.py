@@ -381,3 +381,46 @@ def test_html_runs_of_copies(spark, parts):
     ('<div class="banner" role="article">p</div>', "p")])
 def test_html_declared_frame(html, kept):
     assert " ".join(t for t, r in html_text.text_lines(f"<body>{html}</body>") if r != html_text.FRAME) == kept
+
+
+def test_pipeline_stages_like_brute_force(spark, tmp_path):
+    """The registered stages after the classifier, one by one, each on what the one before left."""
+    from collections import Counter
+    from math import floor
+
+    import corpus_pipeline
+
+    rng = np.random.default_rng(13)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 4000, n)]
+    items = [(k, word(n)) for k, n in enumerate([15, 30, 60])]
+    texts = []
+    for k in range(20):
+        base = word(100)
+        texts += [base, base + word(18), base[:85], base + word(40)]
+        part = items[k % 3][1]
+        texts.append([*word(60), *part[:len(part) - int((len(part) - 4) * 0.2)], *word(50)])
+    rows = [(k, " ".join(w), "abc"[k % 7 % 3]) for k, w in enumerate(texts)]
+    text, source = {k: t for k, t, _ in rows}, {k: s for k, _, s in rows}
+    bench = [(k, " ".join(w)) for k, w in items]
+    spark.createDataFrame(bench, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages, docs = dict(corpus_pipeline.STAGES), docs_of(spark, rows)
+
+    docs = stages["near_dedup"](spark, docs, str(tmp_path)).localCheckpoint()
+    kept = sorted(r["doc_id"] for r in docs.collect())
+    assert kept == sorted(set(brute_near_groups([(k, t) for k, t, _ in rows]).values())) and len(kept) < len(rows)
+
+    docs = stages["decontamination"](spark, docs, str(tmp_path)).localCheckpoint()
+    clean = sorted(r["doc_id"] for r in docs.collect())
+    assert clean == [k for k in kept if not brute_items(text[k], bench)] and len(clean) < len(kept)
+
+    docs = stages["mixing"](spark, docs, str(tmp_path)).localCheckpoint()
+    times = Counter(r["doc_id"] for r in docs.collect())
+    size = {k: len(text[k].split()) for k in clean}
+    total = {s: sum(size[k] for k in clean if source[k] == s) for s in "abc"}
+    for s, target in mixing.targets(total, {"a": 5.0, "b": 2.0, "c": 1.0}).items():
+        own = [k for k in clean if source[k] == s]
+        whole = floor(target) // total[s]
+        assert all(whole <= times[k] <= whole + 1 for k in own)
+        assert 0 <= sum(times[k] * size[k] for k in own) - floor(target) < max(size[k] for k in own)
+
+    assert Counter(r["doc_id"] for r in stages["sharding"](spark, docs, str(tmp_path)).collect()) == times
