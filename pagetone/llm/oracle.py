@@ -68,4 +68,58 @@ SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT
        coalesce(similarity, 0.0)::DOUBLE AS similarity FROM d LEFT JOIN found USING (r)
 """
 
-ORACLE = {"op1_license_scan": LICENSE_SQL, "op5_topk": TOPK_SQL, "op7_decontaminate": DECONTAMINATE_SQL}
+# crc32 byte by byte, faults by comparing every row with all earlier ones, and the edits by a walk over the rows that
+# keeps, for each of the four ends, the least (cost, edits) with the lines written so far.
+def _cheapest(*options: str) -> str:
+    return f"list_sort(list_filter([{', '.join(options)}], lambda o: o IS NOT NULL))[1]"
+
+
+def _edit(state: str, letter: str, cost: str, line: str | None = None, when: str = "true") -> str:
+    lines = f"{state}.t" if line is None else f"{state}.t || [{line}]"
+    return f"CASE WHEN {state} IS NOT NULL AND {when} THEN {{'c': {state}.c + {cost}, 'p': {state}.p || '{letter}', 't': {lines}}} END"
+
+
+_TO_USER = [f"{_edit(x, 'K', 'pay', 'own', keep)}, {_edit(x, 'R', 'pay + 1', 'as_user', 'NOT gone')}"
+            for x in ("e", "s", "a") for keep in ("NOT gone AND ini = 'u'",)]
+_STEP_E, _STEP_S = _cheapest(_edit("e", "D", "2")), _cheapest(_edit("s", "D", "2"), _edit("e", "K", "pay", "own", "NOT gone AND ini = 's'"))
+_STEP_U = _cheapest(_edit("u", "D", "2"), *_TO_USER)
+_STEP_A = _cheapest(_edit("a", "D", "2"), _edit("u", "K", "pay", "own", "NOT gone AND ini = 'a'"), _edit("u", "R", "pay + 1", "as_assistant", "NOT gone"))
+_PATH = "STRUCT(c BIGINT, p VARCHAR, t VARCHAR[])"
+CONVERSATIONS_SQL = rf"""
+WITH RECURSIVE crc_table AS (SELECT list(c ORDER BY i) AS crcs FROM (
+  SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) AS c FROM range(256) r(i))),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS k FROM conversations),
+kinds AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(k, lambda x: ascii(x)::BIGINT)),
+  lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM raw, crc_table),
+damaged AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+  regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS last FROM damaged),
+rows AS (SELECT *, substr(role, 1, 1) AS ini, CASE WHEN last = '' THEN 'blank' WHEN again THEN 'duplicate'
+  WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM numbered),
+pairs AS (SELECT *, CASE WHEN i > 1 THEN lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini END AS pair FROM rows),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY conv_id),
+steps AS (SELECT conv_id, i, ini, fault IN ('blank', 'duplicate') AS gone, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS pay,
+  role || ':' || text AS own, 'user:' || text AS as_user, 'assistant:' || text AS as_assistant FROM rows),
+walk AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'p': '', 't': []::VARCHAR[]}}::{_PATH} AS e, NULL::{_PATH} AS s,
+    {{'c': 5::BIGINT, 'p': 'I', 't': ['user:']}}::{_PATH} AS u, {{'c': 10::BIGINT, 'p': 'II', 't': ['user:', 'assistant:']}}::{_PATH} AS a FROM raw
+  UNION ALL
+  SELECT conv_id, i, e, s, u, {_cheapest('a', _edit('u', 'I', '5', "'assistant:'"))} FROM (
+    SELECT conv_id, i, e, s, a, {_cheapest('u', *[_edit(x, 'I', '5', "'user:'") for x in ('e', 's', 'a')])} AS u FROM (
+      SELECT w.conv_id, r.i, {_STEP_E} AS e, {_STEP_S} AS s, {_STEP_U} AS u, {_STEP_A} AS a
+      FROM walk w JOIN steps r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1))),
+ends AS (SELECT conv_id, {_cheapest('e', 'a')} AS best FROM walk
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)
+SELECT n.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.p AS audit,
+  sha256(array_to_string(best.t, chr(10))) AS repaired_sha256
+FROM ends n LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM n.conv_id
+"""
+
+ORACLE = {"op1_license_scan": LICENSE_SQL, "op5_topk": TOPK_SQL, "op7_decontaminate": DECONTAMINATE_SQL,
+          "op13_conversations": CONVERSATIONS_SQL}
