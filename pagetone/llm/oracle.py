@@ -97,7 +97,9 @@ damaged AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS
   unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
-  regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS last FROM damaged),
+  regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS last FROM damaged),
 rows AS (SELECT *, substr(role, 1, 1) AS ini, CASE WHEN last = '' THEN 'blank' WHEN again THEN 'duplicate'
   WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM numbered),
 pairs AS (SELECT *, CASE WHEN i > 1 THEN lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini END AS pair FROM rows),
@@ -121,5 +123,24 @@ SELECT n.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank
 FROM ends n LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM n.conv_id
 """
 
+# Every phrase at every place, counted; every cut; every longer phrase. HUGEINT keeps the products exact.
+PHRASES_SQL = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, k AS words, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase
+           FROM w, range(1, 4) r(k)),
+f AS (SELECT lang, words, phrase, count(*) AS n FROM places GROUP BY ALL),
+total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang),
+candidates AS (SELECT lang, words, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND n >= 10),
+cuts AS (SELECT *, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:], ' ') AS rp FROM candidates, range(1, 3) r(k) WHERE k < words),
+scored AS (SELECT c.lang, c.words, c.phrase, c.a, min({{'score': (1000000::HUGEINT * c.a * c.a // (x.n::HUGEINT * y.n))::BIGINT, 'k': k, 'l': x.n, 'r': y.n}}) AS cut
+           FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.lp JOIN f y ON y.lang = c.lang AND y.phrase = c.rp GROUP BY ALL),
+inner_pairs AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM candidates WHERE words = 3),
+hidden AS (SELECT lang, phrase, max(a) AS longest FROM inner_pairs GROUP BY ALL),
+ranked AS (SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY cut.score DESC, s.a DESC, s.phrase) AS rank, s.phrase, s.a, cut.l AS l, cut.r AS r, cut.score AS score
+           FROM scored s LEFT JOIN hidden h ON h.lang = s.lang AND h.phrase = s.phrase WHERE h.longest IS NULL OR 100 * h.longest < 50 * s.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE = {"op1_license_scan": LICENSE_SQL, "op5_topk": TOPK_SQL, "op7_decontaminate": DECONTAMINATE_SQL,
-          "op13_conversations": CONVERSATIONS_SQL}
+          "op12_phrases": PHRASES_SQL, "op13_conversations": CONVERSATIONS_SQL}
