@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetone.llm import conversations, decontaminate, html_text, license_scan, mixing, phrases, quality, sharding, simhash, token_files, topk, toxicity
+from pagetone.llm import conversations, decontaminate, html_text, license_scan, minhash, mixing, phrases, quality, sharding, simhash, token_files, topk, toxicity
 from pagetone.llm.common import held_out, labelled_rows, table
 
 
@@ -66,6 +66,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_components(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed(
+        "component", "component_id")
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -78,6 +83,6 @@ QUERIES = {
     "op1_license_scan": op1_license_scan, "op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash,
     "op4_sharding": op4_sharding, "op5_topk": op5_topk, "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate, "op8_token_files": op8_token_files, "op9_mixing": op9_mixing,
-    "op10_html_text": op10_html_text, "op12_phrases": op12_phrases,
+    "op10_html_text": op10_html_text, "op11_minhash": op11_minhash, "op12_phrases": op12_phrases,
     "op13_conversations": op13_conversations,
 }
