@@ -110,6 +110,16 @@ def image_inventory(objects: DataFrame, labels: DataFrame) -> DataFrame:
         F.coalesce("is_mask", F.lit(False)).alias("is_mask"), "has_smask", "has_decode", "length")
 
 
+def page_images(roots: DataFrame, entries: DataFrame, images: DataFrame) -> DataFrame:
+    """The image inventory by page and resource name: the images that a page's own dictionary names.
+
+    An image under two names, or on two pages, is one row at each. ``roots``: (doc_id, page_no, resources_obj).
+    """
+    named = entries.filter("role = 'image'").select("doc_id", F.col("parent_obj").alias("resources_obj"), "obj_no", "name")
+    return (roots.join(named, ["doc_id", "resources_obj"]).drop("resources_obj")
+            .join(images, ["doc_id", "obj_no"]).select("doc_id", "page_no", "name", *[c for c in images.columns if c != "doc_id"]))
+
+
 def nongray_images(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """Image entries in a space that is not gray and without an ImageMask entry of any value."""
     images = entries.filter((F.col("role") == "image") & F.col("is_mask").isNull())

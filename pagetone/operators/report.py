@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetone.operators.inventory import nongray_images, nongray_shading_patterns, nongray_shadings
-from pagetone.operators.intake import readable
+from pagetone.operators.intake import contents_flatten, readable
 from pagetone.operators.scan import summarize_ops
 from pagetone.operators.walk import MAX_DEPTH, PREFIXES
 
@@ -29,25 +29,42 @@ def _count(with_sample: bool) -> Column:
     return _text(text, " (e.g. ", F.col("sample"), ")") if with_sample else text
 
 
-def page_stream_findings(streams: DataFrame) -> DataFrame:
-    """Findings in the content streams of pages."""
-    found = summarize_ops(readable(streams))
-    seq = F.array(F.lit(0), F.col("stream_id"), F.col("stage"), F.col("first_idx")).cast("array<bigint>")
-    return found.select("doc_id", "page_no", seq.alias("seq"), F.lit("").alias("where"), "kind",
-                        _text("page stream ", _count(True)).alias("message"))
+def page_stream_findings(streams: DataFrame, contents: DataFrame) -> DataFrame:
+    """Findings in the content streams of pages, in the order in which a page's contents name them.
 
+    Streams are summed up where they lie; only their findings meet the pages. A stream that several pages name, or one
+    page more than once, is reported at each place; unreadable and lost streams have no findings.
+    """
+    found = summarize_ops(readable(streams), keys=("doc_id", "stream_id"))
+    uses = contents_flatten(contents.select("doc_id", "page_no", "contents")).filter("stream_id IS NOT NULL")
+    seq = F.array(F.lit(0), F.col("ordinal"), F.col("stage"), F.col("first_idx")).cast("array<bigint>")
+    return uses.join(found, ["doc_id", "stream_id"]).select(
+        "doc_id", "page_no", seq.alias("seq"), F.lit("").alias("where"), "kind",
+        _text("page stream ", _count(True)).alias("message"))
 
-def container_ops(walk: DataFrame, object_streams: DataFrame, role: str) -> DataFrame:
-    """Operators found in the streams of one kind of container, once per visit."""
+
+def container_findings(walk: DataFrame, object_streams: DataFrame) -> DataFrame:
+    """Operators found in the streams of containers, once per visit, with the ``role`` of the container.
+
+    One scan of the streams serves all roles; a stream met in two roles is reported as either.
+    """
     titles = {"form": "Form ", "tiling": "TilingPattern ", "softmask": "SMask "}
     found = summarize_ops(readable(object_streams), keys=("doc_id", "obj_no"))
-    visits = walk.filter(F.col("role") == role).select("doc_id", "obj_no", "page_no", "path", "where")
-    outside = F.substring("where", F.lit(1), F.length("where") - len(PREFIXES[role]))
+    visits = walk.filter(F.col("role").isin(*PREFIXES)).select("doc_id", "obj_no", "page_no", "path", "where", "role")
+    role, inner, title = F.col("role"), F.lit(0), F.lit("")
+    for name, prefix in PREFIXES.items():
+        inner, title = F.when(role == name, len(prefix)).otherwise(inner), F.when(role == name, titles[name]).otherwise(title)
+    outside = F.substring("where", F.lit(1), F.length("where") - inner)
     seq = F.concat(F.array(F.lit(1).cast("bigint")), "path",
                    F.array(F.lit(-1), F.col("stage"), F.col("first_idx")).cast("array<bigint>"))
-    return (visits.join(found, ["doc_id", "obj_no"])
-            .select("doc_id", "page_no", seq.alias("seq"), outside.alias("where"), "kind",
-                    _text(outside, titles[role], _count(role == "form")).alias("message")))
+    message = _text(outside, title, F.when(role == "form", _count(True)).otherwise(_count(False)))
+    return visits.join(found, ["doc_id", "obj_no"]).select(
+        "doc_id", "page_no", seq.alias("seq"), outside.alias("where"), "kind", message.alias("message"), "role")
+
+
+def container_ops(walk: DataFrame, object_streams: DataFrame, role: str) -> DataFrame:
+    """Findings in the streams of one kind of container."""
+    return container_findings(walk.filter(F.col("role") == role), object_streams).drop("role")
 
 
 def form_ops(walk: DataFrame, object_streams: DataFrame) -> DataFrame:
@@ -82,9 +99,7 @@ def resource_findings(walk: DataFrame, entries: DataFrame, objects: DataFrame, l
             .unionByName(_place(nongray_shadings(entries, labels), walk, "shading", _text("Shading ", shaded)))
             .unionByName(_place(nongray_shading_patterns(entries, objects, labels), walk,
                                 "shading_pattern", _text("ShadingPattern ", shaded)))
-            .unionByName(form_ops(walk, object_streams))
-            .unionByName(tiling_pattern_ops(walk, object_streams))
-            .unionByName(softmask_ops(walk, object_streams)))
+            .unionByName(container_findings(walk, object_streams).drop("role")))
 
 
 def residual_findings(page_findings: DataFrame, found_in_resources: DataFrame) -> DataFrame:

@@ -58,14 +58,15 @@ _ROW = ("page_no", "path", "where", "anchor_role", "anchor_obj", "anchor_path",
 def _expand(roots: DataFrame, containers: DataFrame, max_depth: int, first: DataFrame | None) -> DataFrame:
     """Resource dictionaries level by level, and one level more: containers there are seen, not opened.
 
-    A container that is visited once keeps, per level and document, only its smallest (page, path); a tiling
-    keeps one path per page, label and anchor. The anchor is the nearest container that is visited once, ``up``
-    the anchor of the container above.
+    Pages that share a dictionary start as one row, with the first of them as ``page_no``; ``_on_every_page`` brings
+    the others back. A container that is visited once keeps, per level and document, only its smallest (page, path), and
+    only the smallest place of a dictionary is joined with its entries; a tiling keeps one path per page, label and
+    anchor. The anchor is the nearest container that is visited once, ``up`` the anchor of the container above.
     With ``first``, only the given first visits are opened. Every level is cut off the plan, so each is
     computed once.
     """
-    level = roots.select(
-        "doc_id", F.col("resources_obj").alias("obj_no"), "page_no",
+    level = roots.groupBy("doc_id", F.col("resources_obj").alias("obj_no")).agg(F.min("page_no").alias("page_no")).select(
+        "doc_id", "obj_no", "page_no",
         F.array().cast("array<bigint>").alias("path"), F.lit("").alias("where"),
         F.lit(None).cast("string").alias("anchor_role"), F.lit(None).cast("int").alias("anchor_obj"),
         F.array().cast("array<bigint>").alias("anchor_path"), F.lit(None).cast("string").alias("up_role"),
@@ -75,13 +76,11 @@ def _expand(roots: DataFrame, containers: DataFrame, max_depth: int, first: Data
     links = containers.select("doc_id", F.col("parent_obj").alias("_parent"), F.col("obj_no").alias("_obj"),
                               F.col("rank"), F.col("role").alias("_role"))
     once = F.col("_role").isin(*VISITED_ONCE)
-    for depth in range(1, max_depth + 2):
-        source = levels[-1]
-        if first is not None:
-            source = _keep_first(source, first)
-        step = source.withColumnRenamed("obj_no", "_parent").join(links, ["doc_id", "_parent"])
+    place = ("page_no", "path", "where", "anchor_role", "anchor_obj", "anchor_path")
+
+    def step(source: DataFrame, children: DataFrame) -> DataFrame:
         path = F.concat("path", F.array("rank"))
-        step = step.select(
+        return source.withColumnRenamed("obj_no", "_parent").join(children, ["doc_id", "_parent"]).select(
             "doc_id", F.col("_obj").alias("obj_no"), F.col("_role").alias("role"), "page_no",
             path.alias("path"), where_label(F.col("_role"), F.col("where")).alias("where"),
             F.when(once, F.col("_role")).otherwise(F.col("anchor_role")).alias("anchor_role"),
@@ -89,7 +88,14 @@ def _expand(roots: DataFrame, containers: DataFrame, max_depth: int, first: Data
             F.when(once, path).otherwise(F.col("anchor_path")).alias("anchor_path"),
             F.col("anchor_role").alias("up_role"), F.col("anchor_obj").alias("up_obj"), F.col("anchor_path").alias("up_path"),
             F.when(~once, F.struct("page_no", "where", "anchor_role", "anchor_obj", "anchor_path")).alias("_apart"))
-        level = cut_lineage(step.groupBy("doc_id", "obj_no", "role", "_apart")
+
+    for depth in range(1, max_depth + 2):
+        source = levels[-1]
+        if first is not None:
+            source = _keep_first(source, first)
+        nearest = source.groupBy("doc_id", "obj_no").agg(F.min(F.struct(*place)).alias("v")).select("doc_id", "obj_no", "v.*")
+        found = step(nearest, links.filter(once)).unionByName(step(source, links.filter(~once)))
+        level = cut_lineage(found.groupBy("doc_id", "obj_no", "role", "_apart")
                             .agg(F.min(F.struct(*_ROW)).alias("v")).select("doc_id", "obj_no", "role", "v.*"))
         if level.isEmpty():
             break
@@ -97,6 +103,16 @@ def _expand(roots: DataFrame, containers: DataFrame, max_depth: int, first: Data
     return reduce(DataFrame.unionByName, levels)
 
 
+def _on_every_page(reach: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows that hang under no first visit, on every page that shares their root dictionary."""
+    first = roots.groupBy("doc_id", "resources_obj").agg(F.min("page_no").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    pages = (roots.join(first.filter("_n > 1"), ["doc_id", "resources_obj"])
+             .select("doc_id", F.col("_first").alias("page_no"), F.col("page_no").alias("_page")))
+    shown = reach.join(pages, (reach["doc_id"] == pages["doc_id"]) & (reach["page_no"] == pages["page_no"])
+                       & reach["anchor_obj"].isNull(), "left")
+    return shown.select(*[F.coalesce("_page", reach["page_no"]).alias(c) if c == "page_no" else reach[c] for c in reach.columns])
+
+
 def first_visit(reach: DataFrame) -> DataFrame:
     """First (page, path) of every container that is visited once per document and role.
 
@@ -117,7 +133,7 @@ def _keep_first(reach: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def resource_reach(roots: DataFrame, entries: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """All reachable dictionaries, before the once-per-document rule."""
+    """All reachable dictionaries, before the once-per-document rule; of pages that share one, the first is shown."""
     containers = entries.filter(F.col("role").isin(*CONTAINERS))
     return _expand(roots, containers, max_depth, None).filter(F.col("depth") <= max_depth)
 
@@ -133,6 +149,7 @@ def resource_walk(roots: DataFrame, entries: DataFrame, max_depth: int = MAX_DEP
     """
     containers = cut_lineage(entries.filter(F.col("role").isin(*CONTAINERS))
                              .select("doc_id", "parent_obj", "obj_no", "rank", "role"))
+    roots = cut_lineage(roots.select("doc_id", "page_no", "resources_obj").filter("resources_obj IS NOT NULL").distinct())
     reach = _expand(roots, containers, max_depth, None)
     first = cut_lineage(first_visit(reach))
     above = first.select("doc_id", F.col("role").alias("up_role"), F.col("obj_no").alias("up_obj"),
@@ -146,7 +163,7 @@ def resource_walk(roots: DataFrame, entries: DataFrame, max_depth: int = MAX_DEP
         again = cut_lineage(first_visit(reach))
         settled = first.count() == again.count() and again.join(first, same, "left_anti").isEmpty()
         first = again
-    return cut_lineage(_keep_first(reach, first))
+    return cut_lineage(_on_every_page(_keep_first(reach, first), roots))
 
 
 def where_label(role: Column, parent: Column) -> Column:
@@ -158,7 +175,7 @@ def where_label(role: Column, parent: Column) -> Column:
 
 
 def inherited_resources(page_tree: DataFrame) -> DataFrame:
-    """Resources of every page: its own, else those of the nearest ancestor that has some.
+    """Resources of every page: its own, else those of the nearest ancestor that has some; further columns stay.
 
     Only inner nodes are followed up the tree; pages then join their resolved parent once.
     """
@@ -171,6 +188,12 @@ def inherited_resources(page_tree: DataFrame) -> DataFrame:
 
     resolved = follow_links(inner, "node_id", "link", merge).select(
         "doc_id", F.col("node_id").alias("parent_id"), F.col("resources_obj").alias("_inherited"))
+    further = [c for c in page_tree.columns if c not in ("doc_id", "node_id", "parent_id", "is_page", "resources_obj")]
     return (page_tree.filter("is_page").join(resolved, ["doc_id", "parent_id"], "left")
-            .select("doc_id", "node_id", F.coalesce("resources_obj", "_inherited").alias("resources_obj"),
+            .select("doc_id", "node_id", *further, F.coalesce("resources_obj", "_inherited").alias("resources_obj"),
                     F.col("resources_obj").isNull().alias("is_inherited")))
+
+
+def page_roots(page_tree: DataFrame) -> DataFrame:
+    """(doc_id, page_no, resources_obj): where the walk starts, own or inherited; pages without any are left out."""
+    return inherited_resources(page_tree).filter("resources_obj IS NOT NULL").select("doc_id", "page_no", "resources_obj")

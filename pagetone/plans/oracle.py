@@ -243,8 +243,21 @@ SELECT e.doc_id, e.parent_obj, g.obj_no, '/R' || e.child_obj, 3 * 4294967296 + e
 FROM edges e JOIN objects o ON o.doc_id = e.doc_id AND o.obj_no = e.child_obj
 JOIN objects m ON m.doc_id = e.doc_id AND m.obj_no = o.target_obj
 JOIN objects g ON g.doc_id = e.doc_id AND g.obj_no = m.target_obj WHERE e.category = 'ExtGState'""",
-    "paths": """SELECT doc_id, (obj_no + 1)::BIGINT AS page_no, obj_no + 3001 AS obj_no, 'page' AS role, 0 AS depth, []::BIGINT[] AS path,
-  '' AS "where", NULL::VARCHAR AS anchor_role, NULL::INT AS anchor_obj, []::BIGINT[] AS anchor_path FROM parts WHERE obj_no < 4
+    # The streams that pages name, and where the walk of each page starts.
+    "uses": """SELECT doc_id, p + 1 AS page_no, u.i - 1 AS ordinal, u.s AS stream_id FROM (
+  SELECT doc_id, p, list_filter(CASE p % 6 WHEN 0 THEN [2 * p, 2 * p + 1] WHEN 1 THEN [2 * p + 1, 2 * p] WHEN 2 THEN [2 * p + 1, 2 * p, 2 * p + 1]
+      WHEN 3 THEN [0, 2 * p, 2 * p + 1] WHEN 4 THEN [2 * p, 900000, 2 * p + 1] END, lambda x: x < n OR x = 900000) AS contents
+  FROM (SELECT doc_id, (len(string_split(text, ' ')) - 1) // 24 + 1 AS n FROM documents), range(0, (n - 1) // 2 + 1) r(p)),
+  unnest(contents) WITH ORDINALITY AS u(s, i)""",
+    "page_nodes": """SELECT doc_id, CASE WHEN obj_no < 4 THEN obj_no + 1 ELSE obj_no + 7 END AS node_id,
+  CASE WHEN obj_no < 2 THEN 11 WHEN obj_no < 4 THEN 12 WHEN obj_no < 6 THEN 13 END AS parent_id, obj_no < 4 AS is_page,
+  CASE WHEN obj_no = 0 OR (obj_no = 3 AND doc_id % 4 <> 2) THEN obj_no + 3001 WHEN obj_no = 4 THEN 3002
+       WHEN obj_no = 6 AND doc_id % 3 <> 1 THEN 3003 END AS res FROM parts WHERE obj_no < 7""",
+    "page_climb": """SELECT doc_id, node_id AS page_no, parent_id, res FROM page_nodes WHERE is_page
+UNION ALL SELECT c.doc_id, c.page_no, t.parent_id, t.res FROM page_climb c JOIN page_nodes t ON t.doc_id = c.doc_id AND t.node_id = c.parent_id
+WHERE c.res IS NULL""",
+    "paths": """SELECT doc_id, page_no::BIGINT AS page_no, res AS obj_no, 'page' AS role, 0 AS depth, []::BIGINT[] AS path,
+  '' AS "where", NULL::VARCHAR AS anchor_role, NULL::INT AS anchor_obj, []::BIGINT[] AS anchor_path FROM page_climb WHERE res IS NOT NULL
 UNION ALL
 SELECT p.doc_id, p.page_no, e.obj_no, e.role, p.depth + 1, list_append(p.path, e.rank),
   p."where" || CASE e.role WHEN 'form' THEN 'Form>' WHEN 'tiling' THEN 'Tile>' ELSE 'SMask>' END,
@@ -279,9 +292,10 @@ WHERE label NOT IN ('/DeviceGray', '/CalGray', '[/ICCBased N=1]', '(none)')""",
 FROM visits v JOIN object_summary s ON s.doc_id = v.doc_id AND s.obj_no = v.obj_no
 JOIN objects o ON o.doc_id = v.doc_id AND o.obj_no = v.obj_no
 WHERE v.role <> 'page' AND (o.f IS NULL OR len(o.f) = 0 OR o.f[1] IN ('/FlateDecode', '/Fl'))""",
-    "findings": f"""SELECT s.doc_id, s.page_no, [0::BIGINT, s.stream_id, s.stage_no, s.first_idx] AS seq_list, '' AS "where", s.kind,
+    "findings": f"""SELECT s.doc_id, u.page_no, [0::BIGINT, u.ordinal, s.stage_no, s.first_idx] AS seq_list, '' AS "where", s.kind,
   'page stream ' || s.kind || ' x' || s.n || ' (e.g. ' || s.sample || ')' AS message
-FROM summary s JOIN (SELECT *, {_READABLE} AS r FROM streams) t USING (doc_id, page_no, stream_id) WHERE r <> 'unreadable'
+FROM uses u JOIN summary s ON s.doc_id = u.doc_id AND s.stream_id = u.stream_id
+JOIN (SELECT *, {_READABLE} AS r FROM streams) t ON t.doc_id = s.doc_id AND t.stream_id = s.stream_id WHERE r <> 'unreadable'
 UNION ALL SELECT i.doc_id, v.page_no, list_concat([1::BIGINT], v.path, [i.rank]), v."where", 'image',
   v."where" || 'image ' || i.name || ' CS=' || i.label || ' Filter=' || i.first_filter || ' obj#' || i.obj_no
 FROM found_images i JOIN visits v ON v.doc_id = i.doc_id AND v.obj_no = i.parent_obj AND v.depth <= 5
@@ -340,17 +354,17 @@ _NEEDS = {
     "hits": ("ops",), "summary": ("hits",), "segmented": ("lines",), "spaces": ("segmented",), "calls": ("spaces",),
     "tints": ("colorspaces",), "objects": ("parts",), "object_lines": ("objects",), "object_ops": ("object_lines",),
     "object_hits": ("object_ops",), "object_summary": ("object_hits",), "cs_defs": ("parts",), "chains": ("cs_defs",),
-    "labels": ("chains",), "edges": ("parts",), "entries": ("edges", "objects"), "paths": ("entries",),
+    "labels": ("chains",), "edges": ("parts",), "entries": ("edges", "objects"), "paths": ("entries", "page_climb"), "page_climb": ("page_nodes",), "page_nodes": ("parts",),
     "first": ("paths",), "visits": ("first",), "labelled": ("entries", "labels"), "painted": ("entries", "labels"),
     "found_images": ("labelled",), "found_shadings": ("labelled",), "found_painted": ("painted",),
     "in_containers": ("visits", "object_summary"),
-    "findings": ("summary", "streams", "found_images", "found_shadings", "found_painted", "in_containers"),
+    "findings": ("summary", "streams", "uses", "found_images", "found_shadings", "found_painted", "in_containers"),
     "distinct_findings": ("findings",), "suspects": ("findings",), "climb": ("tree",),
     "raster_states": ("rasters",), "samples": ("raster_states",), "pixels": ("samples",), "raw_gray": ("pixels",),
     "delta": ("samples",), "across": ("samples",), "down": ("across",), "decoded": ("delta", "down"),
     "decoded_pixels": ("decoded",), "classes": ("pixels",),
 }
-_RECURSIVE = ("chains", "paths", "climb")
+_RECURSIVE = ("chains", "paths", "climb", "page_climb")
 
 # --- A ---
 _sql("A1_intake", """SELECT doc_id, path, split_part(path, '/', 3) AS name, ext FROM routed WHERE family IS NOT NULL""", "routed")
@@ -366,8 +380,7 @@ _sql("A7_stream_readability", f"SELECT doc_id, stream_id, {_READABLE} AS readabi
 _sql("A8_stream_eligibility", """SELECT doc_id, stream_id, CASE WHEN f IS NULL THEN 'raw'
   WHEN len(f) = 1 AND f[1] IN ('/FlateDecode', '/Fl') THEN 'flate' ELSE 'skipped' END AS eligibility FROM streams""", "streams")
 
-_sql("A9_write_findings", f"""SELECT kind, count(*) AS n, count(DISTINCT kind || ' x' || n || sample) AS n_messages FROM summary
-JOIN (SELECT *, {_READABLE} AS r FROM streams) USING (doc_id, page_no, stream_id) WHERE r <> 'unreadable' GROUP BY kind""", "summary", "streams")
+_sql("A9_write_findings", """SELECT "where", kind, count(*) AS n, count(DISTINCT message) AS n_messages FROM findings GROUP BY "where", kind""", "findings")
 
 # --- B ---
 _BYTE = """CASE WHEN predictor >= 10 AND ({0}) % stride = 0 THEN CASE image_id % 4 WHEN 3 THEN ({0}) // stride % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END
@@ -432,6 +445,11 @@ _sql("D4_image_inventory", """SELECT o.doc_id, o.obj_no, w, h, CASE WHEN o.cs_ob
   CASE WHEN f IS NULL THEN 'none' ELSE '[' || coalesce(array_to_string(f, ','), '') || ']' END AS filters, coalesce(is_mask, false) AS is_mask,
   has_smask, has_decode, length FROM objects o LEFT JOIN labels l ON l.doc_id = o.doc_id AND l.cs_obj = o.cs_obj
 WHERE subtype = '/Image'""", "objects", "labels")
+_sql("D4_page_images", """SELECT r.doc_id, r.page_no::BIGINT AS page_no, e.name, o.obj_no, w, h, CASE WHEN o.cs_obj IS NULL THEN '(none)' ELSE coalesce(label, '(?)') END AS label,
+  CASE WHEN o.f IS NULL THEN 'none' ELSE '[' || coalesce(array_to_string(o.f, ','), '') || ']' END AS filters, coalesce(o.is_mask, false) AS is_mask,
+  has_smask, has_decode, length FROM page_climb r JOIN entries e ON e.doc_id = r.doc_id AND e.parent_obj = r.res AND e.role = 'image'
+JOIN objects o ON o.doc_id = e.doc_id AND o.obj_no = e.obj_no LEFT JOIN labels l ON l.doc_id = o.doc_id AND l.cs_obj = o.cs_obj""",
+     "page_climb", "entries", "objects", "labels")
 _sql("D5_nongray_images", "SELECT doc_id, parent_obj, name, label, first_filter, obj_no FROM found_images", "found_images")
 _sql("D6_nongray_shadings", "SELECT doc_id, parent_obj, name, label, shading_type FROM found_shadings", "found_shadings")
 _sql("D7_nongray_shading_patterns", "SELECT doc_id, parent_obj, name, label, shading_type FROM found_painted", "found_painted")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagetone.functions import color
 from pagetone.operators import intake, inventory, pages, raster, report, rewrite, scan, tokens, walk
 from pagetone.plans import audit as jobs
-from pagetone.session import ensure_checkpoint_dir
+from pagetone.session import shared_folder
 from pagetone.sources import derived as D
 from pagetone.sources.files import read_findings, write_findings
 
@@ -180,8 +180,12 @@ def _entries(spark, sf):
     return walk.resource_entries(D.edges(spark, sf), D.objects(spark, sf))
 
 
+def _roots(spark, sf):
+    return walk.page_roots(D.object_page_tree(spark, sf))
+
+
 def _walk(spark, sf):
-    return walk.resource_walk(D.page_roots(spark, sf), _entries(spark, sf))
+    return walk.resource_walk(_roots(spark, sf), _entries(spark, sf))
 
 
 @query("D1_deref")
@@ -206,6 +210,12 @@ def _(spark, sf):
     return inventory.image_inventory(D.objects(spark, sf), _labels(spark, sf))
 
 
+@query("D4_page_images")
+def _(spark, sf):
+    images = inventory.image_inventory(D.objects(spark, sf), _labels(spark, sf))
+    return inventory.page_images(_roots(spark, sf), _entries(spark, sf), images)
+
+
 @query("D5_nongray_images")
 def _(spark, sf):
     return inventory.nongray_images(_entries(spark, sf), _labels(spark, sf)).select(
@@ -239,7 +249,7 @@ QUERIES["D10_softmask_ops"] = _container("softmask")
 
 @query("D11_resource_reach")
 def _(spark, sf):
-    reach = walk.resource_reach(D.page_roots(spark, sf), _entries(spark, sf))
+    reach = walk.resource_reach(_roots(spark, sf), _entries(spark, sf))
     return reach.groupBy("doc_id", "obj_no").agg(
         F.min("depth").alias("min_depth"), F.max("depth").alias("max_depth"),
         F.count_distinct("depth").alias("n_depths"))
@@ -269,8 +279,8 @@ def _(spark, sf):
 # --- E: report ---------------------------------------------------------------------------------------
 
 def _audit(spark, sf):
-    return jobs.audit(D.streams(spark, sf), D.page_roots(spark, sf), D.edges(spark, sf), D.objects(spark, sf),
-                      D.cs_defs(spark, sf), D.object_streams(spark, sf))
+    return jobs.audit(D.streams(spark, sf), D.page_contents(spark, sf), D.object_page_tree(spark, sf),
+                      D.edges(spark, sf), D.objects(spark, sf), D.cs_defs(spark, sf), D.object_streams(spark, sf))
 
 
 @query("E1_residual_findings")
@@ -559,8 +569,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A9_write_findings")
 def _(spark, sf):
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/findings-{uuid.uuid4()}"
-    write_findings(report.page_stream_findings(D.streams(spark, sf)).select("doc_id", "page_no", "kind", "message"), path)
-    return read_findings(spark, path).groupBy("kind").agg(F.count(F.lit(1)).alias("n"),
-                                                          F.count_distinct("message").alias("n_messages"))
+    """All findings of the audit, written and read again."""
+    path = f"{shared_folder(spark).rstrip('/')}/findings-{uuid.uuid4()}"
+    write_findings(_audit(spark, sf).select("doc_id", "page_no", "where", "kind", "message"), path)
+    return read_findings(spark, path).groupBy("where", "kind").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("message").alias("n_messages"))

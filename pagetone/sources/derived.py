@@ -178,6 +178,23 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
                      .otherwise(F.array(first)).alias("contents")))
 
 
+#: A stream that pages name and no document has.
+LOST_STREAM = 900_000
+
+
+def page_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that name their streams in any order: turned, twice, with a shared one first, with a lost one, or none."""
+    n = _div(F.size(F.split("text", " ", -1)) - 1, WORDS_PER_STREAM) + 1
+    first, second, kind = F.col("p") * 2, F.col("p") * 2 + 1, F.col("p") % 6
+    named = (F.when(kind == 0, F.array(first, second)).when(kind == 1, F.array(second, first))
+              .when(kind == 2, F.array(second, first, second)).when(kind == 3, F.array(F.lit(0).cast("bigint"), first, second))
+              .when(kind == 4, F.array(first, F.lit(LOST_STREAM).cast("bigint"), second)))
+    return (table(spark, sf_dir, "documents").select("doc_id", n.alias("n"))
+            .select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), _div(F.col("n") - 1, 2))).alias("p"))
+            .select("doc_id", (F.col("p") + 1).alias("page_no"),
+                    F.filter(named, lambda x: (x < F.col("n")) | (x == LOST_STREAM)).alias("contents")))
+
+
 def colorspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to five named spaces per document; one in five names has no entry."""
     doc, n = F.col("doc_id"), F.col("n")
@@ -297,11 +314,20 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("e.child_obj").alias("ordinal"))
 
 
-def page_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of the object documents with the resource dictionary in force."""
-    return (_parts(spark, sf_dir).filter(F.col("obj_no") < PAGES_PER_DOC)
-            .select("doc_id", (F.col("obj_no") + 1).cast("bigint").alias("page_no"),
-                    (F.col("obj_no") + ROOT_BASE + 1).alias("resources_obj")))
+def object_page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four pages of each object document under two nodes under one, from the first seven objects.
+
+    Page 2 inherits from its parent, page 3 from the root; in some documents page 4 does so too, or the root has nothing.
+    """
+    doc, no = F.col("doc_id"), F.col("obj_no")
+    node = F.when(no < PAGES_PER_DOC, no + 1).otherwise(no + 7)
+    parent = F.when(no < 2, 11).when(no < 4, 12).when(no < 6, 13)
+    own = (F.when((no == 0) | ((no == 3) & (doc % 4 != 2)), no + 1).when(no == 4, 2)
+            .when((no == 6) & (doc % 3 != 1), 3))
+    return _parts(spark, sf_dir).filter(no < 7).select(
+        "doc_id", node.cast("bigint").alias("node_id"), parent.cast("bigint").alias("parent_id"),
+        (no < PAGES_PER_DOC).alias("is_page"), F.when(no < PAGES_PER_DOC, no + 1).cast("bigint").alias("page_no"),
+        (own + ROOT_BASE).cast("int").alias("resources_obj"))
 
 
 def page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ def test_walk_matches_depth_first_reader(spark):
                     continue
                 ranks[parent] = ranks.get(parent, 0) + 1
                 edges.append((parent, child, ranks[parent], kinds[child]))
-        roots = [(1, 100), (2, 101)]
+        roots = [(1, 100), (2, 101), (3, 100), (4, 101)][:4 if case % 2 else 2]
         expected = _read(roots, edges, max_depth)
         frame = spark.createDataFrame([(1, p, r) for p, r in roots], "doc_id bigint, page_no bigint, resources_obj int")
         got = walk.resource_walk(frame, _entries(spark, edges), max_depth).filter("role <> 'page'").collect()
@@ -92,3 +92,27 @@ def test_inherited_resources_follow_long_chains(spark):
     rows += [(1, 100, 1, True, None), (1, 101, 1, True, 5), (1, 102, None, True, None)]
     tree = spark.createDataFrame(rows, "doc_id bigint, node_id bigint, parent_id bigint, is_page boolean, resources_obj int")
     assert {r.node_id: r.resources_obj for r in walk.inherited_resources(tree).collect()} == {100: 77, 101: 5, 102: None}
+
+
+def test_pages_that_share_a_dictionary_start_as_one_row(spark):
+    """A hundred pages, one dictionary: its entries are met once; tilings come back on every page."""
+    edges = [(100, 5, 1, "form"), (100, 7, 2, "tiling"), (7, 8, 1, "tiling"), (7, 5, 2, "form"), (5, 9, 1, "tiling")]
+    roots = [(page, 100) for page in range(1, 101)]
+    frame = spark.createDataFrame([(1, p, r) for p, r in roots], "doc_id bigint, page_no bigint, resources_obj int")
+    reach = walk.resource_reach(frame, _entries(spark, edges))
+    assert reach.groupBy("depth").count().rdd.map(tuple).collectAsMap() == {0: 1, 1: 2, 2: 3, 3: 1}
+    got = walk.resource_walk(frame, _entries(spark, edges)).collect()
+    expected = _read(roots, edges, 5)
+    assert {(r.page_no, r.obj_no, r.role, tuple(r.path)) for r in got if r.role != "page"} == set(expected)
+    assert {r.page_no for r in got if r.role == "page"} == set(range(1, 101))
+
+
+def test_walk_starts_at_inherited_resources(spark):
+    rows = [(1, 20, None, False, None, 77), (1, 21, 20, False, None, None), (1, 1, 21, True, 1, None), (1, 2, 21, True, 2, 55),
+            (1, 3, 20, True, 3, None), (2, 1, 9, True, 1, None)]
+    tree = spark.createDataFrame(rows, "doc_id bigint, node_id bigint, parent_id bigint, is_page boolean, page_no bigint, resources_obj int")
+    roots = walk.page_roots(tree)
+    assert {tuple(r) for r in roots.collect()} == {(1, 1, 77), (1, 2, 55), (1, 3, 77)}
+    edges = [(77, 5, 1, "tiling"), (55, 6, 1, "form"), (5, 6, 1, "form")]
+    got = walk.resource_walk(roots, _entries(spark, edges)).filter("role <> 'page'").collect()
+    assert {(r.page_no, r.obj_no, tuple(r.path)) for r in got} == {(1, 5, (1,)), (1, 6, (1, 1)), (3, 5, (1,))}
