@@ -118,6 +118,18 @@ def tint_to_gray(t: Column, info: Column, gain: int = 0) -> Column:
     return F.when(info["c0"].isNotNull(), dot_gain(tint_luma(t, info), gain))
 
 
+def tint_table(info: Column) -> Column:
+    """Gray bytes of the 256 tints of one colour space, before dot gain; NULL without a tint function."""
+    bytes_ = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: round_half_up(tint_luma(v / F.lit(255.0), info) * F.lit(255.0)))
+    return F.when(info["c0"].isNotNull(), F.transform(bytes_, lambda b: F.greatest(F.lit(0), F.least(F.lit(255), b))))
+
+
+def tint_tables(colorspaces: DataFrame) -> DataFrame:
+    """(doc_id, space, tint): one table of 256 gray bytes per named colour space with a tint function."""
+    info = F.struct("fn_n", "c0", "c1", "alt")
+    return colorspaces.filter("c0 IS NOT NULL").select("doc_id", F.col("name").alias("space"), tint_table(info).alias("tint"))
+
+
 def _ten_thousandths(v: Column) -> Column:
     """|v| x 10000 rounded to an integer on the exact binary value, ties up.
 

@@ -22,7 +22,7 @@ def _sql(name: str, body: str, *ctes: str) -> None:
     for key in ctes:
         need(key)
     recursive = "RECURSIVE " if any(k in _RECURSIVE for k in seen) else ""
-    head = "WITH " + recursive + ",\n".join(f"{k} AS ({_CTES[k]})" for k in seen) + "\n" if seen else ""
+    head = "WITH " + recursive + ",\n".join(f"{k} AS ({_CTES[k]})" for k in seen) + "\n" if seen else ""  # a body may go on with ", name AS"
     ORACLE[name] = head + body
 
 
@@ -327,7 +327,7 @@ FROM (SELECT p_partkey AS image_id, p_size AS w, p_partkey % 9 + 1 AS h, p_partk
     WHEN image_id % 7 = 0 AND predictor = 1 THEN 77 ELSE (image_id * 7 + i * (w * 3 + 1)) % 256 END AS v
 FROM (SELECT *, y * stride + CASE WHEN predictor >= 10 THEN 1 ELSE 0 END + x * channels + ch AS i,
         CASE WHEN predictor >= 10 THEN CASE WHEN y * stride >= decoded_len THEN 0 ELSE
-          CASE image_id % 4 WHEN 3 THEN y % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END END END AS tag
+          CASE WHEN image_id % 8 = 7 THEN y % 5 ELSE CASE image_id % 4 WHEN 3 THEN y % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END END END END AS tag
       FROM raster_states, range(0, h) a(y), range(0, w) b(x), range(0, channels) c(ch) WHERE status IN ('ok', 'padded'))""",
     "pixels": """SELECT image_id, y, x, any_value(channels) AS channels, any_value(predictor) AS predictor, any_value(tag) AS tag,
   max(v) FILTER (ch = 0) AS c1, max(v) FILTER (ch = 1) AS c2, max(v) FILTER (ch = 2) AS c3, max(v) FILTER (ch = 3) AS c4
@@ -338,16 +338,22 @@ FROM samples GROUP BY image_id, y, x""",
     "delta": """SELECT image_id, y, x, ch, sum(v) OVER (PARTITION BY image_id, y, ch ORDER BY x) % 256 AS v
 FROM samples WHERE predictor = 2""",
     "across": """SELECT image_id, y, x, ch, tag, CASE WHEN tag = 1 THEN sum(v) OVER (PARTITION BY image_id, y, ch ORDER BY x) % 256 ELSE v END AS v
-FROM samples WHERE predictor = 15""",
+FROM samples WHERE predictor = 15 AND image_id NOT IN (SELECT image_id FROM unsupported)""",
+    "unsupported": "SELECT DISTINCT image_id FROM samples WHERE tag IN (3, 4)",
+    "raster_failures": """SELECT image_id, status AS error, predictor FROM raster_states WHERE status NOT IN ('ok', 'padded')
+UNION ALL SELECT image_id, 'predictor_fail', 15 FROM unsupported""",
     "down": """SELECT image_id, y, x, ch, sum(v) OVER (PARTITION BY image_id, x, ch, block ORDER BY y) % 256 AS v
 FROM (SELECT *, sum(CASE WHEN tag <> 2 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, x, ch ORDER BY y) AS block FROM across)""",
     "decoded": """SELECT image_id, y, x, ch, v FROM samples WHERE predictor = 1 UNION ALL SELECT image_id, y, x, ch, v FROM delta
 UNION ALL SELECT image_id, y, x, ch, v FROM down""",
     "decoded_pixels": """SELECT image_id, y, x, max(v) FILTER (ch = 0) AS c1, max(v) FILTER (ch = 1) AS c2, max(v) FILTER (ch = 2) AS c3,
   max(v) FILTER (ch = 3) AS c4 FROM decoded GROUP BY image_id, y, x""",
+    "gray": f"""SELECT image_id, y, x, CASE WHEN c4 IS NOT NULL THEN {_round('255.0::DOUBLE * ' + _luma_cmyk(
+        '(c1 / 255.0::DOUBLE)', '(c2 / 255.0::DOUBLE)', '(c3 / 255.0::DOUBLE)', '(c4 / 255.0::DOUBLE)'))}
+  ELSE {_round(_luma('c1', 'c2', 'c3'))} END AS gray FROM decoded_pixels""",
     "classes": """SELECT image_id // 16 AS doc_id, image_id % 16 // 2 + 1 AS page_no,
   count(*) FILTER (greatest(c1, c2, c3) > least(c1, c2, c3)) AS color_px, count(*) AS total_px,
-  color_px * 1000000 <= total_px AS is_gray FROM pixels GROUP BY ALL""",
+  color_px * 1000000 <= total_px AS is_gray FROM decoded_pixels GROUP BY ALL""",
 }
 _NEEDS = {
     "routed": ("intake",), "lines": ("words",), "streams": ("lines",), "texts": ("lines",), "ops": ("lines",),
@@ -361,8 +367,8 @@ _NEEDS = {
     "findings": ("summary", "streams", "uses", "found_images", "found_shadings", "found_painted", "in_containers"),
     "distinct_findings": ("findings",), "suspects": ("findings",), "climb": ("tree",),
     "raster_states": ("rasters",), "samples": ("raster_states",), "pixels": ("samples",), "raw_gray": ("pixels",),
-    "delta": ("samples",), "across": ("samples",), "down": ("across",), "decoded": ("delta", "down"),
-    "decoded_pixels": ("decoded",), "classes": ("pixels",),
+    "delta": ("samples",), "across": ("samples", "unsupported"), "unsupported": ("samples",), "raster_failures": ("raster_states", "unsupported"), "gray": ("decoded_pixels",), "down": ("across",), "decoded": ("delta", "down"),
+    "decoded_pixels": ("decoded",), "classes": ("decoded_pixels",),
 }
 _RECURSIVE = ("chains", "paths", "climb", "page_climb")
 
@@ -383,7 +389,7 @@ _sql("A8_stream_eligibility", """SELECT doc_id, stream_id, CASE WHEN f IS NULL T
 _sql("A9_write_findings", """SELECT "where", kind, count(*) AS n, count(DISTINCT message) AS n_messages FROM findings GROUP BY "where", kind""", "findings")
 
 # --- B ---
-_BYTE = """CASE WHEN predictor >= 10 AND ({0}) % stride = 0 THEN CASE image_id % 4 WHEN 3 THEN ({0}) // stride % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END
+_BYTE = """CASE WHEN predictor >= 10 AND ({0}) % stride = 0 THEN CASE WHEN image_id % 8 = 7 THEN ({0}) // stride % 5 ELSE CASE image_id % 4 WHEN 3 THEN ({0}) // stride % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END END
   WHEN image_id % 7 = 0 AND predictor = 1 THEN 77 ELSE (image_id * 7 + ({0}) * (w * 3 + 1)) % 256 END"""
 _sql("B1_stream_text", f"""SELECT image_id, decoded_len AS n_chars, {_BYTE.format('0')} AS first_char,
   {_BYTE.format('decoded_len - 1')} AS last_char, true AS same_bytes FROM rasters WHERE decoded_len > 0""", "rasters")
@@ -498,6 +504,14 @@ _TINT = f"""CASE alt WHEN '/DeviceCMYK' THEN {_luma_cmyk('ch[1]', 'ch[2]', 'ch[3
   WHEN '/DeviceRGB' THEN {_luma('ch[1]', 'ch[2]', 'ch[3]')} WHEN '/DeviceGray' THEN ch[1] ELSE 1.0::DOUBLE - t END"""
 _sql("F10_tint_to_gray", f"""SELECT doc_id, name, step, {_gray4('luma')} AS gain0, {_gray4(_gain('luma', 20))} AS gain20
 FROM (SELECT *, {_TINT} AS luma FROM tints)""", "tints")
+_CTES["tint_tables"] = f"""SELECT doc_id, name AS space, list(greatest(0, least(255, {_round('(' + _TINT + ') * 255.0::DOUBLE')})) ORDER BY v) AS tint FROM (
+  SELECT doc_id, name, alt, v, v / 255.0::DOUBLE AS t, list_transform(c1, lambda x: 0.0::DOUBLE + pow(v / 255.0::DOUBLE, fn_n) * (x - 0.0::DOUBLE)) AS ch
+  FROM colorspaces, range(0, 256) r(v) WHERE NOT is_pattern) GROUP BY doc_id, name"""
+_CTES["tint_images"] = """SELECT p_partkey AS image_id, p_size AS w, p_partkey % 5 + 1 AS h, p_partkey % 50 AS doc_id,
+  CASE WHEN p_partkey % 9 <> 0 THEN 'C' || (p_partkey % 5) END AS space FROM part"""
+_NEEDS["tint_tables"] = ("colorspaces",)
+_sql("F8_tint_tables", """SELECT doc_id, space, list_sum(tint)::BIGINT AS total, list_sum(list_transform(tint, lambda x, i: x * i))::BIGINT AS weighted
+FROM tint_tables""", "tint_tables")
 _sql("F11_gray4", f"""SELECT doc_id, stream_id, sample, {_gray4('luma')} AS text, {_gray4('luma')}::DOUBLE AS value
 FROM (SELECT *, {_luma(*_X3)} AS luma FROM ops WHERE stage = 'rgb')""", "ops")
 
@@ -581,17 +595,29 @@ _sql("H2_pad_rule", """SELECT image_id, fill, CASE WHEN status = 'padded' THEN e
 FROM raster_states""", "raster_states")
 _sql("H3_unpack_pixels", """SELECT image_id, y, ch, max(tag) AS tag, count(*) AS n, sum(v)::BIGINT AS total,
   sum(v * (x + 1))::BIGINT AS weighted FROM samples GROUP BY image_id, y, ch""", "samples")
-_sql("H4_pixels_to_gray", _SUMS.format("g", f"(SELECT *, {_gain8('gray', 25)} AS g FROM raw_gray)"), "raw_gray")
+_sql("H4_pixels_to_gray", _SUMS.format("g", f"(SELECT *, {_gain8('gray', 25)} AS g FROM gray)"), "gray")
 _CHANNELS = ", ".join(f"sum(v * (x + 1)) FILTER (ch = {i})::BIGINT AS c{i + 1}" for i in range(4))
 _sql("H5_delta_decode", f"SELECT image_id, y, {_CHANNELS} FROM delta GROUP BY image_id, y", "delta")
-_sql("H6_delta_encode", _SUMS.format("d", """(SELECT *, (gray - coalesce(lag(gray) OVER (PARTITION BY image_id, y ORDER BY x), 0) + 256) % 256 AS d
-  FROM raw_gray)"""), "raw_gray")
-_sql("H7_row_delta_decode", f"""SELECT image_id, y, {_CHANNELS} FROM down
-WHERE image_id IN (SELECT image_id FROM samples WHERE tag > 0) GROUP BY image_id, y""", "down")
-_sql("H8_gray_histogram", f"""SELECT image_id, CASE WHEN c4 IS NOT NULL THEN {_round('255.0::DOUBLE * ' + _luma_cmyk(
-    '(c1 / 255.0::DOUBLE)', '(c2 / 255.0::DOUBLE)', '(c3 / 255.0::DOUBLE)', '(c4 / 255.0::DOUBLE)'))}
-  ELSE {_round(_luma('c1', 'c2', 'c3'))} END AS gray, NULL AS error, count(*) AS n FROM decoded_pixels GROUP BY ALL
-UNION ALL SELECT image_id, NULL, status, 0 FROM raster_states WHERE status NOT IN ('ok', 'padded')""", "decoded_pixels", "raster_states")
+_DELTAS = "SELECT *, ({0} - coalesce(lag({0}) OVER (PARTITION BY image_id, y ORDER BY x), 0) + 256) % 256 AS d FROM {1}"
+_sql("H6_delta_encode", _SUMS.format("d", f"({_DELTAS.format('gray', 'gray')})"), "gray")
+_sql("H7_row_delta_decode", f"""SELECT image_id, y, {_CHANNELS}, NULL AS error FROM down
+WHERE image_id IN (SELECT image_id FROM samples WHERE tag > 0) GROUP BY image_id, y
+UNION ALL SELECT image_id, NULL, NULL, NULL, NULL, NULL, error FROM raster_failures WHERE predictor >= 10""", "down", "raster_failures")
+_sql("H8_gray_histogram", """SELECT image_id, gray, NULL AS error, count(*) AS n FROM gray GROUP BY ALL
+UNION ALL SELECT image_id, NULL, error, 0 FROM raster_failures""", "gray", "raster_failures")
+# Images as they are written back: a tag and the differences per row, in hexadecimal.
+_PACKED = """SELECT image_id, sum(len(line)) // 2 AS n_bytes, md5(string_agg(line, '' ORDER BY y)) AS gray_md5 FROM (
+  SELECT image_id, y, '01' || string_agg(upper(printf('%02x', d)), '' ORDER BY x) AS line FROM ({0}) GROUP BY image_id, y) GROUP BY image_id"""
+_sql("H9_gray_images", f"""WITH g AS (SELECT image_id, y, x, {_gain8('gray', 20)} AS g FROM gray)
+SELECT image_id, w, h::INT AS h, n_bytes::INT AS n_bytes, gray_md5, NULL AS error FROM ({_PACKED.format(_DELTAS.format('g', 'g'))}) JOIN rasters USING (image_id)
+UNION ALL SELECT image_id, NULL, NULL, NULL, NULL, error FROM raster_failures""".replace("WITH g AS", ", g AS", 1), "gray", "raster_failures", "rasters")
+_sql("H10_tinted_images", f""", g AS (SELECT image_id, y, x, {_gain8('byte', 25)} AS g FROM (
+    SELECT image_id, y, x, CASE WHEN space IS NULL THEN b ELSE tint[b + 1] END AS byte FROM (
+      SELECT i.*, t.tint, y, x, (i.image_id * 11 + (y * w + x) * 3) % 256 AS b FROM tint_images i LEFT JOIN tint_tables t USING (doc_id, space),
+        range(0, h) r(y), range(0, w) c(x) WHERE i.space IS NULL OR t.tint IS NOT NULL)))
+SELECT image_id, w, h::INT AS h, n_bytes::INT AS n_bytes, gray_md5, NULL AS error FROM ({_PACKED.format(_DELTAS.format('g', 'g'))}) JOIN tint_images USING (image_id)
+UNION ALL SELECT image_id, NULL, NULL, NULL, NULL, 'tint_unsupported' FROM tint_images i LEFT JOIN tint_tables t USING (doc_id, space)
+WHERE i.space IS NOT NULL AND t.tint IS NULL""", "tint_images", "tint_tables")
 
 # --- I ---
 _sql("I1_page_class", "SELECT * FROM classes", "classes")

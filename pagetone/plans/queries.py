@@ -393,6 +393,12 @@ def _(spark, sf):
     return _row_sums(color.apply_lut(_raw_gray(spark, sf), both), "gray")
 
 
+@query("F8_tint_tables")
+def _(spark, sf):
+    return color.tint_tables(D.colorspaces(spark, sf)).select(
+        "doc_id", "space", _array_sum(F.col("tint"), False).alias("total"), _array_sum(F.col("tint"), True).alias("weighted"))
+
+
 def _tints(spark, sf):
     """Every named space at eleven tints."""
     return (D.colorspaces(spark, sf).filter("c0 IS NOT NULL")
@@ -503,29 +509,49 @@ def _(spark, sf):
         F.sum(F.col("v") * (F.col("x") + 1)).cast("bigint").alias("weighted"))
 
 
-@query("H4_pixels_to_gray")
-def _(spark, sf):
-    return _row_sums(raster.pixels_to_gray(_raw_pixels(spark, sf), 25), "gray")
+def _tiles(spark, sf):
+    return raster.unpack_tiles(D.rasters(spark, sf))
 
 
-def _channel_sums(df: DataFrame) -> DataFrame:
-    return df.groupBy("image_id", "y").agg(
-        *[F.sum(F.col(c) * (F.col("x") + 1)).cast("bigint").alias(c) for c in raster.CHANNELS])
+def _array_sum(values: Column, weighted: bool) -> Column:
+    """Sum of an array, each value times its place from 1 if ``weighted``."""
+    terms = F.transform(values, lambda v, i: (v * (i + 1 if weighted else F.lit(1))).cast("bigint"))
+    return F.aggregate(terms, F.lit(0).cast("bigint"), lambda acc, v: acc + v)
+
+
+def _gray_row_sums(tiles: DataFrame, value: str = "g") -> DataFrame:
+    """Sums of every gray row, taken where the row lies."""
+    return tiles.select("image_id", F.explode("rows").alias("r")).select(
+        "image_id", "r.y", _array_sum(F.col(f"r.{value}"), False).alias("total"), _array_sum(F.col(f"r.{value}"), True).alias("weighted"))
+
+
+def _channel_sums(rows: DataFrame, *further: str) -> DataFrame:
+    """Weighted sums of every channel of a row, taken where the row lies."""
+    def channel(k: int) -> Column:
+        own = F.filter("v", lambda x, i: i % F.col("channels") == k)
+        return F.when(F.col("channels") > k, _array_sum(own, True))
+
+    return rows.select("image_id", "y", *[channel(k).alias(c) for k, c in enumerate(raster.CHANNELS)], *further)
+
+
+@query("H4_pixels_to_gray")
+def _(spark, sf):
+    return _gray_row_sums(raster.gray_tiles(raster.decode_tiles(_tiles(spark, sf)), 25))
 
 
 @query("H5_delta_decode")
 def _(spark, sf):
-    return _channel_sums(raster.delta_decode(_raw_pixels(spark, sf).filter("filter_mode = 'tiff'")))
+    return _channel_sums(raster.tile_rows(raster.delta_decode(_tiles(spark, sf).filter("filter_mode = 'tiff'"))))
 
 
 @query("H6_delta_encode")
 def _(spark, sf):
-    return _row_sums(raster.delta_encode(_raw_gray(spark, sf)), "delta")
+    return _gray_row_sums(raster.delta_encode(raster.gray_tiles(raster.decode_tiles(_tiles(spark, sf)))))
 
 
 @query("H7_row_delta_decode")
 def _(spark, sf):
-    return _channel_sums(raster.row_delta_decode(_raw_pixels(spark, sf)))
+    return _channel_sums(raster.row_delta_decode(D.rasters(spark, sf)), "error")
 
 
 @query("H8_gray_histogram")
@@ -533,11 +559,26 @@ def _(spark, sf):
     return raster.gray_histogram(jobs.gray_rasters(D.rasters(spark, sf)))
 
 
+def _shown_images(images: DataFrame) -> DataFrame:
+    return images.select("image_id", "w", "h", F.length("gray").alias("n_bytes"), F.md5(F.hex("gray").cast("binary")).alias("gray_md5"), "error")
+
+
+@query("H9_gray_images")
+def _(spark, sf):
+    """Every raster as it is written back, or why not."""
+    return _shown_images(jobs.gray_images(D.rasters(spark, sf), 20))
+
+
+@query("H10_tinted_images")
+def _(spark, sf):
+    return _shown_images(jobs.gray_images(D.tint_rasters(spark, sf), 25, D.colorspaces(spark, sf)))
+
+
 # --- I: page classes, quote, edits ----------------------------------------------------------------------
 
 def _classes(spark, sf):
     image = F.col("image_id")
-    return pages.page_class(_raw_pixels(spark, sf).select(
+    return pages.page_class(raster.tile_pixels(raster.decode_tiles(_tiles(spark, sf))).select(
         F.floor(image / 16).alias("doc_id"), (F.floor(image % 16 / 2) + 1).alias("page_no"),
         F.col("c1").alias("r"), F.col("c2").alias("g"), F.col("c3").alias("b")))
 

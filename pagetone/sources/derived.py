@@ -374,7 +374,7 @@ def rasters(spark: SparkSession, sf_dir: str, with_bytes: bool = True) -> DataFr
 
     def byte(i: Column) -> Column:
         y = F.floor(i / F.col("stride"))
-        tag = F.when(row_tag == 3, y % 3).when(row_tag == 0, F.lit(1)).when(row_tag == 1, F.lit(2)).otherwise(0)
+        tag = F.when(image % 8 == 7, y % 5).when(row_tag == 3, y % 3).when(row_tag == 0, F.lit(1)).when(row_tag == 1, F.lit(2)).otherwise(0)
         value = (image * 7 + i * (F.col("w") * 3 + 1)) % 256
         same = (image % 7 == 0) & (F.col("predictor") == 1)
         return F.when((F.col("predictor") >= 10) & (i % F.col("stride") == 0), tag).when(same, F.lit(77)).otherwise(value)
@@ -384,3 +384,16 @@ def rasters(spark: SparkSession, sf_dir: str, with_bytes: bool = True) -> DataFr
         lambda i: F.get(hexes, _int(byte(i)))), "")))
     # One-row generator: keeps the bytes from being built again inside every predicate that reads them.
     return base.select(*keys, F.inline(F.array(F.struct(body.alias("bytes")))))
+
+
+def tint_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-channel images of ``part`` in the named spaces of documents; some have no space or name a lost one."""
+    image, w, h = F.col("p_partkey"), F.col("p_size"), _int(F.col("p_partkey") % 5 + 1)
+    base = table(spark, sf_dir, "part").select(
+        image.alias("image_id"), w.alias("w"), h.alias("h"), (image % 50).alias("doc_id"),
+        F.when(image % 9 != 0, F.concat(F.lit("C"), (image % 5).cast("string"))).alias("space"),
+        (w * h).cast("bigint").alias("decoded_len"))
+    body = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), _int(F.col("decoded_len") - 1)), lambda i: F.get(
+        F.array(*[F.lit(x) for x in _HEX]), _int((F.col("image_id") * 11 + i * 3) % 256))), ""))
+    return base.select("*", F.lit(1).alias("channels"), F.lit(1).alias("predictor"), F.lit(True).alias("is_raw"), F.lit(False).alias("is_cut"),
+                       F.inline(F.array(F.struct(body.alias("bytes")))))
