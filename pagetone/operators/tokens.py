@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetone.functions import patterns as P
-from pagetone.functions.regions import cut_all_regions, cut_literals
+from pagetone.functions.color import let
+from pagetone.functions.regions import cut_regions
 
 KEYS = ("doc_id", "page_no", "stream_id")
 
@@ -30,20 +31,19 @@ def mask_literals(text: Column) -> Column:
 def with_parts(streams: DataFrame, images: bool = True) -> DataFrame:
     """Add ``parts``: open text and protected regions in turn; even items may be rewritten, odd ones may not.
 
-    Literals up to the depth a regular expression can follow are cut inside the JVM. Only streams with an inline
-    image, and those that seem to end inside a literal (deeper, or really unclosed), go through Arrow to the pass
-    that counts; the others hand it NULL.
+    Literals up to the depth a regular expression can follow are cut by one. Streams with an inline image, and
+    those that seem to end inside a literal (deeper, or really unclosed), are folded over token by token.
     """
     text = F.col("text")
     plain = ~text.contains(P.MARK) & (~text.rlike(P.IMAGE_START) if images else F.lit(True))
     marked = F.regexp_replace(text, P.PROTECTED_LITERAL, f"{P.MARK}$0{P.MARK}")
-    last = F.try_element_at("parts", F.lit(-2))
-    ends_open = ((F.try_element_at("parts", F.lit(-1)) == "") & last.startswith("(")
-                 & ~last.rlike(rf"^(?:{P.BALANCED})\z"))
-    counted = (cut_all_regions if images else cut_literals)("__counted")
-    return (streams.withColumn("parts", F.when(plain, F.split(marked, P.MARK, -1)))
-            .withColumn("__counted", F.when(F.col("parts").isNull() | F.coalesce(ends_open, F.lit(False)), text))
-            .withColumn("parts", F.coalesce(counted, "parts")).drop("__counted"))
+
+    def ends_open(parts: Column) -> Column:
+        last = F.try_element_at(parts, F.lit(-2))
+        return ((F.try_element_at(parts, F.lit(-1)) == "") & last.startswith("(") & ~last.rlike(rf"^(?:{P.BALANCED})\z"))
+
+    by_pattern = let(F.split(marked, P.MARK, -1), lambda parts: F.when(~F.coalesce(ends_open(parts), F.lit(False)), parts))
+    return streams.withColumn("parts", F.coalesce(F.when(plain, by_pattern), cut_regions(text, images)))
 
 
 def _with(df: DataFrame, *columns: Column) -> DataFrame:

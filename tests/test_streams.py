@@ -65,9 +65,11 @@ REWRITES = [
     ("BI\n/W 2 /H 1 /CS /RGB\nID\n\xff\0\0\0\xff\0\nEI\n1 0 0 rg", "BI\n/W 2 /H 1 /CS /G\nID\n\x4c\x96\nEI\n0.2990 g"),
     ("BI\n/W 1 /H 2 /ColorSpace /DeviceCMYK\nID\n\0\0\0\0\0\xff\0\0\nEI",
      "BI\n/W 1 /H 2 /CS /G\nID\n\xff\x69\nEI"),
-    ("BI\n/W 9 /H 9 /CS /RGB\nID\n\xff\xff\xff\0", "BI\n/W 9 /H 9 /CS /G\nID\n\xff\0\nEI"),  # cut off
-    ("BI\n/W 9 /H 9 /CS /RGB\nID\n", "BI\n/W 9 /H 9 /CS /G\nID\n\nEI"),
-    ("BI\n/W 99999999999 /H 9 /CS /RGB\nID\nab", "BI\n/W 99999999999 /H 9 /CS /RGB\nID\nab"),
+    ("BI\n/W 9 /H 9 /CS /RGB\nID\n\xff\xff\xff\0", "BI\n/W 9 /H 9 /CS /G\nID\n\xff" + "\0" * 80 + "\nEI"),  # cut off
+    ("BI\n/W 9 /H 9 /CS /RGB\nID\n", "BI\n/W 9 /H 9 /CS /G\nID\n" + "\0" * 81 + "\nEI"),
+    ("BI\n/W 2 /H 2 /CS /CMYK\nID\n\0\0\0\xff\0\0\0", "BI\n/W 2 /H 2 /CS /G\nID\n\0\xff\xff\xff\nEI"),
+    ("BI\n/F /Fl\nID\nabcdef", "BI\n/F /Fl\nID\nabcd\nEI"),  # no end mark found: it takes the last two characters
+    ("BI\n/F /Fl\nID\na", "BI\n/F /Fl\nID\n\nEI"),
     ("(BI\n/W 1 /H 1\nID\n) 1 0 0 rg", "(BI\n/W 1 /H 1\nID\n) 0.2990 g"),
     ("/P1 scn", "/P0.0000 g"),                                      # digit of a name read as a tint
 ]
@@ -159,3 +161,20 @@ def test_latin1_round_trip(spark):
     row = df.select(tokens.stream_text(F.col("content")).alias("text")).select(
         F.length("text").alias("n"), tokens.stream_bytes(F.col("text")).alias("back")).first()
     assert row.n == 256 and bytes(row.back) == data
+
+
+def test_too_large_inline_image_fails_its_stream(spark):
+    text = "1 0 0 rg\nBI\n/W 99999999999 /H 70000 /CS /RGB\nID\nabc"
+    row = rewrite.rewrite_streams(_streams(spark, [text])).first()
+    assert row.error == "inline_image_size" and row.gray_text == text and row.n_rewritten == 0
+
+
+def test_colour_spaces_come_to_the_texts(spark):
+    """Under the limit no exchange carries a text; beyond it the result is the same."""
+    streams = _streams(spark, [t for t, _ in REWRITES])
+    spaces = _spaces(spark, SPACES)
+    near, far = rewrite.attach_colorspaces(streams, spaces), rewrite.attach_colorspaces(streams, spaces, 0)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "Broadcast" not in x and "text#" in x] and "BroadcastHashJoin" in plan
+    rows = [{(r.stream_id, r.gray_text, r.error) for r in rewrite.rewrite_streams(df).collect()} for df in (near, far)]
+    assert rows[0] == rows[1]
