@@ -125,7 +125,7 @@ def _forest(node, n, parity, lo: int, hi: int, percent: int) -> list[tuple[int,
     return out
 
 
-def _between(node, comp, n, parity, lo: int, hi: int, percent: int) -> list[tuple[int, int]]:
+def between_components(node, comp, n, parity, lo: int, hi: int, percent: int) -> list[tuple[int, int]]:
     """Every candidate of one region whose nodes are in different components."""
     at = np.arange(lo, hi)
     names, number = np.unique(comp[lo:hi], return_counts=True)
@@ -150,7 +150,7 @@ def region_pairs(prefix: np.ndarray, node, comp, n, parity, percent: int, betwee
         if hi - lo < 2:
             continue
         if depth >= SHORTEST and (hi - lo <= REGION or depth == DEPTH):
-            out += _between(node, comp, n, parity, lo, hi, percent) if between else _forest(node, n, parity, lo, hi, percent)
+            out += between_components(node, comp, n, parity, lo, hi, percent) if between else _forest(node, n, parity, lo, hi, percent)
             continue
         column = prefix[lo:hi, depth]
         cuts = lo + np.flatnonzero(column[1:] != column[:-1]) + 1
@@ -225,7 +225,7 @@ def candidates(nodes: DataFrame, percent: int, between: bool) -> DataFrame:
 
 # --- confirmation on full sets --------------------------------------------------------------------
 
-def _confirmed(percent: int):
+def _confirmed(percent: int, width: int):
     """Links among rows sorted by (a, deal, not centre): the centre's set stays, the others pass by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +234,7 @@ def _confirmed(percent: int):
         for batch in batches:
             out = []
             for a, deal, node, text in zip(*[batch.column(c).to_pylist() for c in ("a", "deal", "node", "text")]):
-                s = shingles(text or b"")
+                s = shingles(text or b"", width)
                 if (a, deal) != at and a == node:
                     at, centre = (a, deal), s
                 elif (a, deal) == at:
@@ -246,7 +246,7 @@ def _confirmed(percent: int):
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int, width: int = WORDS) -> DataFrame:
     """The pairs (a, b) whose full sets share ``percent`` of their union. ``texts``: (node, text).
 
     Pairs with the same ``a`` meet its text in lots of about ``STAR``.
@@ -256,7 +256,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     members = pairs.join(lots, "a").select("a", deal.alias("deal"), F.col("b").alias("node"), F.lit(1).alias("later"))
     centres = lots.select("a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("deal"), F.col("a").alias("node"), F.lit(0).alias("later"))
     asked = members.unionByName(centres).join(texts, "node").select("a", "deal", "later", "node", "text")
-    return asked.repartition("a", "deal").sortWithinPartitions("a", "deal", "later").mapInArrow(_confirmed(percent), "a bigint, b bigint")
+    return asked.repartition("a", "deal").sortWithinPartitions("a", "deal", "later").mapInArrow(_confirmed(percent, width), "a bigint, b bigint")
 
 
 def minhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -17,10 +17,12 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetone.llm.graph import components
+from pagetone.llm.minhash import between_components, confirm, parities, shingles
 from pagetone.session import cut_lineage
 
 BITS = 64
@@ -268,87 +270,24 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 #: Production parameters of the pipeline's stage: the decision is made by the share of common five-word shingles.
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-#: Texts of one candidate group that are compared in one go; larger groups meet in pairs of such chunks.
-TEXT_CHUNK = 256
+#: Texts of one rare shingle that meet in one go; more meet in pairs of such chunks.
+TEXT_CHUNK = 4096
 #: Shingles of every COUNTED-th text are counted in COUNT_BUCKETS buckets. Counts only order shingles: any order gives the same links.
 COUNTED, COUNT_BUCKETS, COUNT_SLICE = 4, 1 << 18, 1 << 12
-#: A rare shingle of more texts than this gives one cluster, not all pairs.
+#: A rare shingle of more texts than this proposes a star first, not all pairs.
 HOT_SHINGLE = 32
-_PARITY_BITS = 1024
-
-
-def _shingle_set(text: str, width: int) -> np.ndarray:
-    import xxhash
-
-    tokens = text.encode("utf-8", "surrogatepass").lower().split()
-    n = max(1, len(tokens) - width + 1)
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i:i + width]), SEED) for i in range(n)], dtype=np.uint64))
-
-
-def _similar(ids: np.ndarray, sets: list[np.ndarray], share: float) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs with a Jaccard similarity of at least ``share``.
-
-    Shingles are hashed to the parities of 1,024 buckets: two sets differ in at least as many shingles as
-    parities, so pairs with too many different ones need no intersection.
-    """
-    size = np.array([len(s) for s in sets])
-    parity = np.array([np.packbits(np.bincount((s % np.uint64(_PARITY_BITS)).astype(np.int64), minlength=_PARITY_BITS) % 2 == 1)
-                       for s in sets]).view(np.uint64)
-    left = np.ones(len(ids), dtype=bool)
-    out: list[tuple[int, int]] = []
-    for root in range(len(ids)):
-        if not left[root]:
-            continue
-        left[root] = False
-        queue = [root]
-        while queue:
-            u = queue.pop()
-            rest = np.flatnonzero(left)
-            rest = rest[np.minimum(size[rest], size[u]) >= share * np.maximum(size[rest], size[u]) - 1e-9]
-            differ = np.bitwise_count(parity[rest] ^ parity[u]).sum(axis=1, dtype=np.int64)
-            possible = rest[differ <= (size[rest] + size[u]) * (1 - share) / (1 + share) + 1e-6]
-            for v in possible.tolist():
-                common = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
-                if common >= share * (size[u] + size[v] - common) - 1e-9:
-                    left[v] = False
-                    queue.append(v)
-                    out.append((int(ids[u]), int(ids[v])))
-    return out
-
-
-def _verified(width: int, share: float):
-    """Scan rows sorted by (hot, cluster, ci, cj) and link the similar texts of each such group."""
-
-    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group: tuple | None = None
-        held: dict[int, str] = {}
-
-        def close() -> list[tuple[int, int]]:
-            if len(held) < 2:
-                return []
-            return _similar(np.array(list(held), dtype=np.int64), [_shingle_set(t, width) for t in held.values()], share)
-
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for *at, node, text in batch[["hot", "cluster", "ci", "cj", "node", "text"]].itertuples(index=False, name=None):
-                if at != group:
-                    found += close()
-                    group, held = at, {}
-                held[node] = text
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-        yield pd.DataFrame(close(), columns=["a", "b"], dtype="int64")
-
-    return links
+#: Bits of the table that tells texts which surely are not asked for. Its size is fixed; where it fills up, more texts are shuffled.
+TABLE_BITS = 1 << 23
 
 
 def shingle_counts(texts: DataFrame, width: int = SHINGLE_WORDS, every: int = COUNTED) -> np.ndarray:
-    """Occurrences of shingles by bucket (hash modulo COUNT_BUCKETS) in every ``every``-th of ``texts`` (node, text)."""
+    """Occurrences of shingles by bucket (hash modulo COUNT_BUCKETS) in every ``every``-th of ``texts`` (hash, text)."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(COUNT_BUCKETS, dtype=np.int64)
         for batch in batches:
             for t in batch["text"]:
-                np.add.at(total, (_shingle_set(t, width) % np.uint64(COUNT_BUCKETS)).astype(np.int64), 1)
+                np.add.at(total, (shingles(bytes(t), width) % np.uint64(COUNT_BUCKETS)).astype(np.int64), 1)
         yield pd.DataFrame({"slice": np.arange(COUNT_BUCKETS // COUNT_SLICE),
                             "counts": [x.tobytes() for x in total.astype("<i4").reshape(-1, COUNT_SLICE)]})
 
@@ -359,7 +298,7 @@ def shingle_counts(texts: DataFrame, width: int = SHINGLE_WORDS, every: int = CO
         return pd.DataFrame({"slice": group["slice"].iloc[:1], "counts": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
 
     schema = "slice int, counts binary"
-    rows = (texts.filter(F.pmod("node", F.lit(every)) == 0).select("text").mapInPandas(partial, schema)
+    rows = (texts.filter(F.pmod("hash", F.lit(every)) == 0).select("text").mapInPandas(partial, schema)
             .groupBy("slice").applyInPandas(added, schema).collect())  # COUNT_BUCKETS numbers, whatever the data
     counts = np.zeros(COUNT_BUCKETS, dtype=np.int32)
     for r in rows:
@@ -367,78 +306,172 @@ def shingle_counts(texts: DataFrame, width: int = SHINGLE_WORDS, every: int = CO
     return counts
 
 
-def _rarest(text: Column, counts, width: int, share: float) -> Column:
-    """(size, tokens): the size of a text's shingle set, and 32 bits of each of its rarest shingles.
+def _rarest(s: np.ndarray, order: np.ndarray, share: float) -> np.ndarray:
+    """32 bits of each of a set's rarest shingles.
 
     Sets whose Jaccard similarity is at least ``share`` have that share of the larger one in common. Of n
     shingles in an order that all texts share, the first n - ceil(share * n) + 1 are therefore enough: similar
     texts have at least one of them in common.
     """
+    first = np.lexsort((s, order[(s % np.uint64(COUNT_BUCKETS)).astype(np.int64)]))
+    first = first[:len(s) - int(np.ceil(share * len(s) - 1e-9)) + 1]
+    return np.unique((s[first] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
+
+def _marked_texts(key_type: pa.DataType, counts, width: int, share: float):
+    import xxhash
 
-    @F.pandas_udf("size int, tokens array<int>")
-    def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    types = pa.schema([("key", key_type), ("hash", pa.int64()), ("set", pa.binary()), ("n", pa.int32()),
+                       ("parity", pa.binary()), ("rare", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = counts.value
         for batch in batches:
-            sizes, tokens = [], []
-            for t in batch:
-                s = _shingle_set(t, width)
-                first = np.lexsort((s, order[(s % np.uint64(COUNT_BUCKETS)).astype(np.int64)]))
-                first = first[:len(s) - int(np.ceil(share * len(s) - 1e-9)) + 1]
-                sizes.append(len(s))
-                tokens.append(np.unique((s[first] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            yield pd.DataFrame({"size": pd.Series(sizes, dtype="int32"), "tokens": pd.Series(tokens, dtype=object)})
+            rows = []
+            for text in batch.column("text").to_pylist():
+                s = shingles(text, width)
+                rows.append((xxhash.xxh3_128_digest(s.tobytes()), len(s), parities(s).tobytes(), _rarest(s, order, share) if len(s) else []))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("hash"), *[
+                pa.array([r[i] for r in rows], types.field(i + 2).type) for i in range(4)]], schema=types)
 
-    return of_texts(text)
+    return run
+
+
+def _possible(percent: int):
+    """Whether two sets can be similar, by their sizes and parities. Nothing similar is lost."""
+
+    @F.pandas_udf("boolean")
+    def test(n1: pd.Series, n2: pd.Series, p1: pd.Series, p2: pd.Series) -> pd.Series:
+        if not len(n1):
+            return pd.Series([], dtype=bool)
+        x, y = (np.frombuffer(b"".join(p), dtype=np.uint64).reshape(len(p), -1) for p in (p1, p2))
+        differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        return pd.Series((100 + percent) * differ <= (100 - percent) * (n1.to_numpy(np.int64) + n2.to_numpy(np.int64)))
+
+    return test
+
+
+def _tested(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that can be similar."""
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("parity").alias("p1"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("parity").alias("p2"))
+    both = pairs.join(left, "a").join(right, "b").filter(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+    return both.filter(_possible(percent)("n1", "n2", "p1", "p2")).select("a", "b")
+
+
+def _met_between(percent: int):
+    """Candidates between components within one chunk pair of a rare shingle's texts."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rows = group.drop_duplicates("node")
+        parity = np.frombuffer(b"".join(rows["parity"]), dtype=np.uint64).reshape(len(rows), -1)
+        pairs = between_components(rows["node"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy().astype(np.int64), parity, 0, len(rows), percent)
+        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _within_table(hashes: DataFrame):
+    """A test of hashes against a table of TABLE_BITS bits: false only for those that are not among ``hashes``.
+
+    The table is broadcast, whatever the data: its size is fixed.
+    """
+    size = TABLE_BITS // 8
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(TABLE_BITS, dtype=bool)
+        for batch in batches:
+            bits[batch["hash"].to_numpy(dtype=np.int64) % TABLE_BITS] = True
+        packed = np.packbits(bits).reshape(-1, size // 64)
+        some = np.flatnonzero(packed.any(axis=1))
+        yield pd.DataFrame({"slice": some.astype(np.int32), "bits": [packed[i].tobytes() for i in some]})
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, b in zip(batch["slice"], batch["bits"], strict=True):
+                total[i] = total.get(i, np.uint8(0)) | np.frombuffer(b, dtype=np.uint8)
+        yield pd.DataFrame({"slice": pd.Series(list(total), dtype="int32"), "bits": [x.tobytes() for x in total.values()]})
+
+    table = np.zeros((64, size // 64), dtype=np.uint8)
+    schema = "slice int, bits binary"
+    for r in hashes.select("hash").mapInPandas(partial, schema).repartition("slice").mapInPandas(joined, schema).collect():
+        table[r["slice"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    held = hashes.sparkSession.sparkContext.broadcast(table.ravel())
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        place = h.to_numpy(dtype=np.int64) % TABLE_BITS
+        return pd.Series((held.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1)
+
+    return test
 
 
 def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS,
                           share: float = SIMILARITY, chunk: int = TEXT_CHUNK, hot: int = HOT_SHINGLE) -> DataFrame:
-    """(node, least, group): every different text (by hash), its smallest key, and the smallest key of its group.
-
-    Two texts are linked if their sets of five-word shingles have a Jaccard similarity of at least ``share``;
-    groups are what links connect. Equal texts are one node, so they cost one row. No pair is lost: texts that
-    have one of their rarest shingles in common are compared (see ``_rarest``). A rare shingle of up to ``hot``
-    texts proposes its pairs; texts of one with more are clustered first, each cluster's texts are compared in
-    chunks of bounded size, and only a spanning forest of the similar pairs comes out. Texts without words are
-    alike and form one group.
+    """(key, hash, first_key, first_hash): every row and the row with the smallest key of its group.
+
+    ``hash`` is xxhash64 of key and text. Two texts are linked if their sets of five-word shingles have a Jaccard
+    similarity of at least ``share``; groups are what links connect. Equal sets are one node, so copies cost one row. No
+    pair is lost: texts that have one of their rarest shingles in common are candidates (see ``_rarest``), unless
+    the sizes or the parities of their sets rule them out. Nothing is merged before it is confirmed on the full
+    sets: first one candidate a node, and a star per frequent shingle, give components; then every candidate between
+    different components is confirmed. Texts without words are alike and form one group.
     """
-    spark = docs.sparkSession
-    slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn(
-        "node", F.xxhash64("text"))
-    counts = spark.sparkContext.broadcast(shingle_counts(slim.select("node", "text"), width))
-    marked = slim.select("key", "node", _rarest(F.col("text"), counts, width, share).alias("rare"))
-    nodes = cut_lineage(marked.groupBy("node").agg(F.min("key").alias("least"), F.first("rare").alias("rare")))
-    entries = nodes.select("node", F.col("rare.size").alias("size"), F.explode("rare.tokens").alias("token"))
-    shared = cut_lineage(entries.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("n > 1"))
-
-    cold = shared.filter(F.col("n") <= hot)
-    a, b = cold.alias("a"), cold.alias("b")
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node"))
-                   & (F.least("a.size", "b.size") >= F.lit(share) * F.greatest("a.size", "b.size") - 1e-9)).select(
-        F.col("a.node").alias("cluster"), F.col("b.node").alias("node")).distinct()
-    both = pairs.unionByName(pairs.select("cluster", F.col("cluster").alias("node")).distinct())
-    asked = both.select(F.lit(False).alias("hot"), "cluster", F.lit(0).alias("ci"), F.lit(0).alias("cj"), "node")
-
-    often = shared.filter(F.col("n") > hot).select("node", "token")
-    centres = often.groupBy("token").agg(F.min("node").alias("b"))
-    found = components(often.join(centres, "token").select(F.col("node").alias("a"), "b"))
-    clusters = found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("chunks"))
-    members = found.join(clusters, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    dealt = members.select("component", "node", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")).select(
-        F.lit(True).alias("hot"), F.col("component").alias("cluster"), F.least("o", "own").alias("ci"),
-        F.greatest("o", "own").alias("cj"), "node")
-    asked = cut_lineage(asked.unionByName(dealt).join(nodes.select("node", "least"), "node"))
-    # One row per different text: the row with the smallest key brings it.
-    texts = (slim.join(asked, "node").filter(F.col("key").eqNullSafe(F.col("least")))
-             .select("hot", "cluster", "ci", "cj", "node", "text"))
-    group = ["hot", "cluster", "ci", "cj"]
-    verified = (texts.repartition(*group).sortWithinPartitions(*group)
-                .mapInPandas(_verified(width, share), "a bigint, b bigint"))
-    groups = components(verified)
-    placed = nodes.select("node", "least").join(groups.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
-        "node", "least", F.coalesce("component", "node").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("group"))
-    return placed.join(least, "root").select("node", "least", "group")
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructField, StructType
+
+    spark, percent = docs.sparkSession, round(100 * share)
+    slim = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("words")).select(
+        "key", F.xxhash64("key", "words").alias("hash"), F.col("words").cast("binary").alias("text"))
+    counts = spark.sparkContext.broadcast(shingle_counts(slim.select("hash", "text"), width))
+    key_type = docs.schema[key].dataType
+    schema = StructType([StructField("key", key_type), *StructType.fromDDL("hash bigint, set binary, n int, parity binary, rare array<int>")])
+    marked = cut_lineage(slim.mapInArrow(_marked_texts(to_arrow_type(key_type), counts, width, share), schema))
+    first = F.min(F.struct(F.col("key").isNull().alias("unset"), "key", "hash")).alias("first")
+    nodes = cut_lineage(marked.groupBy("set").agg(first, *[F.first(c).alias(c) for c in ("n", "parity", "rare")]).select(
+        F.monotonically_increasing_id().alias("node"), "set", "first.key", "first.hash", "n", "parity", "rare"))
+
+    entries = nodes.select("node", "n", F.explode("rare").alias("token"))
+    often = entries.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("centre")).filter("times > 1")
+    shared = cut_lineage(entries.join(often, "token"))
+    cold = shared.filter(F.col("times") <= hot)
+    x, y = cold.alias("x"), cold.alias("y")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node"))
+                 & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))).select(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = cut_lineage(_tested(met, nodes, percent))
+    stars = shared.filter((F.col("times") > hot) & (F.col("node") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    asked = cut_lineage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(_tested(stars, nodes, percent)).distinct())
+
+    crowd = shared.filter(F.col("times") > hot)
+    members = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct()
+    own = nodes.join(members, "node", "left_semi").select("node", F.col("key").alias("k"), F.col("hash").alias("h"))
+    same = (F.col("hash") == F.col("h")) & F.col("key").eqNullSafe(F.col("k"))
+    wanted = slim.filter(_within_table(own.select(F.col("h").alias("hash")))("hash"))
+    texts = cut_lineage(wanted.join(own, same).dropDuplicates(["hash", "node"]).select("node", "text"))
+    links = cut_lineage(confirm(asked, texts, percent, width))
+    found = cut_lineage(components(links))
+
+    comp = nodes.join(members, "node", "left_semi").join(found, "node", "left").select("node", "n", "parity", F.coalesce("component", "node").alias("comp"))
+    comp = cut_lineage(comp)
+    left, right = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    apart = pairs.join(left, "a").join(right, "b").filter("ca <> cb").select("a", "b")
+    places = crowd.select("token", "node").join(comp.select("node", "comp"), "node")
+    mixed = (places.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"))
+             .filter("low <> high").select("token", F.ceil(F.col("size") / F.lit(chunk)).cast("int").alias("chunks")))
+    dealt = (places.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+             .select("token", "node", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj")))
+    between = dealt.join(comp, "node").groupBy("token", "ci", "cj").applyInPandas(_met_between(percent), "a bigint, b bigint")
+    more = cut_lineage(confirm(cut_lineage(apart.union(between).distinct().join(asked, ["a", "b"], "left_anti")), texts, percent, width))
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
+
+    rooted = nodes.select("node", "set", "key", "hash").join(found, "node", "left").select("set", "key", "hash", F.coalesce("component", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("unset"), "key", "hash")).alias("v"))
+    labels = rooted.join(least, "root").select("set", F.col("v.key").alias("first_key"), F.col("v.hash").alias("first_hash"))
+    return marked.select("key", "hash", "set").join(labels, "set").select("key", "hash", "first_key", "first_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -446,15 +479,21 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     Of rows with equal key and text one stays. Null keys come last: such a row stays only if its group has no other
     key. Null and blank texts form one group. No rows give no rows.
+
+    Only rows that go, or that are there more than once, are looked up; a small table of bits lets the others pass
+    without a shuffle.
     """
-    found = cut_lineage(near_duplicate_groups(docs, key, text, **how))
-    keep = found.filter(F.col("least").eqNullSafe(F.col("group"))).select("node", "group")
-    kept = keep.withColumn("__row", F.xxhash64("node", "group")).select("__row")
-    node = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    marked = docs.withColumn("__row", F.xxhash64(node, F.col(f"`{key}`")))
-    repeated = cut_lineage(marked.groupBy("__row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__row"))
-    rows = marked.join(kept, "__row", "left_semi")
-    if repeated.isEmpty():
-        return rows.drop("__row")
-    once = rows.join(repeated, "__row", "left_semi").dropDuplicates(["__row"])
-    return rows.join(repeated, "__row", "left_anti").unionByName(once).drop("__row")
+    found = near_duplicate_groups(docs, key, text, **how)
+    stays = (F.col("hash") == F.col("first_hash")) & F.col("key").eqNullSafe(F.col("first_key"))
+    counted = found.groupBy(F.col("key").alias("__key"), F.col("hash").alias("__hash")).agg(
+        F.first(stays).alias("__stays"), F.count(F.lit(1)).alias("__n"))
+    special = cut_lineage(counted.filter("NOT __stays OR __n > 1").drop("__n"))
+    rows = docs.withColumn("__row", F.xxhash64(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    asked = _within_table(special.select(F.col("__hash").alias("hash")))(F.col("__row"))
+    rows = rows.withColumn("__asked", asked)
+    passed = rows.filter("NOT __asked").drop("__asked", "__row")
+    met = rows.filter("__asked").drop("__asked").join(
+        special, (F.col("__row") == F.col("__hash")) & F.col(f"`{key}`").eqNullSafe(F.col("__key")), "left").filter("__stays IS NULL OR __stays")
+    alone = met.filter("__stays IS NULL").select(*passed.columns)
+    once = met.filter("__stays").dropDuplicates(["__row", "__key"]).select(*passed.columns)
+    return passed.unionByName(alone).unionByName(once)

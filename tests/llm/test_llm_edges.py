@@ -405,15 +405,15 @@ def test_pipeline_stages_like_brute_force(spark, tmp_path):
     spark.createDataFrame(bench, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     stages, docs = dict(corpus_pipeline.STAGES), docs_of(spark, rows)
 
-    docs = stages["near_dedup"](spark, docs, str(tmp_path)).localCheckpoint()
+    docs = stages["near_dedup"](spark, docs, str(tmp_path)).checkpoint()
     kept = sorted(r["doc_id"] for r in docs.collect())
     assert kept == sorted(set(brute_near_groups([(k, t) for k, t, _ in rows]).values())) and len(kept) < len(rows)
 
-    docs = stages["decontamination"](spark, docs, str(tmp_path)).localCheckpoint()
+    docs = stages["decontamination"](spark, docs, str(tmp_path)).checkpoint()
     clean = sorted(r["doc_id"] for r in docs.collect())
     assert clean == [k for k in kept if not brute_items(text[k], bench)] and len(clean) < len(kept)
 
-    docs = stages["mixing"](spark, docs, str(tmp_path)).localCheckpoint()
+    docs = stages["mixing"](spark, docs, str(tmp_path)).checkpoint()
     times = Counter(r["doc_id"] for r in docs.collect())
     size = {k: len(text[k].split()) for k in clean}
     total = {s: sum(size[k] for k in clean if source[k] == s) for s in "abc"}
