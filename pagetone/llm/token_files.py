@@ -28,70 +28,84 @@ from pagetone.session import shared_folder
 
 END_ID = 0
 MIB_PER_PART = 24
-#: Words a worker remembers with their ids; beyond, it starts anew (memory, not results).
-REMEMBERED = 700_000
+#: Words a worker remembers with their ids. Then a new generation begins: words met again move into it, the others of the one
+#: before are forgotten (memory, not results).
+REMEMBERED = 450_000
 NO_KEY = -(1 << 63)  # key of documents whose key is null
 
-# How the vocabulary's pre-tokenizer splits a text. White space is read more widely here: texts
-# in which a blank meets other white space go to the library whole.
-PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_WIDE = r"[\s\x1c-\x1f\x85᠎​-‏  ⁠﻿]"
-_MARKS = tuple(",.;:!?")
+# A blank that meets more white space, read widely; such texts go to the library whole. The letter by which
+# the vocabulary shows a blank before a word.
+_WIDE = r"[\s\x1c-\x1f\x85\u180e\u200b-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
+_BLANK = "\u0120"
+_MARKS = tuple(",.;:!?")  # each is a piece of its own after letters
 _LIBRARIES: dict[str, tuple] = {}
 
 
 def _library(path: str) -> tuple:
-    """The tokenizer, loaded once in each worker, with the ids of the words met so far."""
+    """The tokenizer, loaded once in each worker: which ids begin with a blank, texts that go whole, words met so far."""
     if path not in _LIBRARIES:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _LIBRARIES[path] = (tokenizer, regex.compile(PIECE), re.compile(f" {_WIDE}|{_WIDE} "), {})
+        starts = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in tokenizer.get_vocab().items():
+            starts[i] = token.startswith(_BLANK)
+        special = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values() if t.content]
+        _LIBRARIES[path] = (tokenizer, starts, re.compile("|".join([f" {_WIDE}|{_WIDE} ", *special])), [{}, {}])
     return _LIBRARIES[path]
 
 
+def _ids_of_words(tokenizer, starts: np.ndarray, words: list[str], code: str) -> list[bytes]:
+    """Ids of each word with a blank before it. All words are encoded as one text and cut where a blank begins."""
+    size = array(code).itemsize
+    whole, = tokenizer.encode_batch_fast(["".join([" " + w for w in words])], add_special_tokens=False)
+    ids = np.array(whole.ids, dtype=f"<u{size}")
+    at = np.flatnonzero(starts[ids])
+    if len(at) != len(words) or (len(at) and at[0]):  # a word that does not stand alone
+        return [array(code, e.ids).tobytes() for e in tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+    flat, ends = ids.tobytes(), [*(at * size).tolist(), len(ids) * size]
+    return [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+
+
 def encode_texts(path: str, texts: list[str | None], dtype: str) -> list[bytes]:
     """Ids of each text and the end id, as little-endian bytes. Null counts as empty.
 
     The library splits a text before every blank that follows no white space, so such words are encoded
-    once and remembered; only new ones reach the library.
+    once and remembered; only new ones reach the library. Texts in which a blank meets other white space, and
+    those that hold the string of a special token, go to it whole.
     """
-    tokenizer, piece, mixed, known = _library(path)
+    tokenizer, starts, whole, generations = _library(path)
     code = {"<u2": "H", "<u4": "I"}[dtype]
     end = array(code, [END_ID]).tobytes()
     texts = [t or "" for t in texts]
-    split = [None if mixed.search(t) else t.split(" ") for t in texts]
-    if len(known) > REMEMBERED:
-        known.clear()
+    split = [None if whole.search(t) else t.split(" ") for t in texts]
+    if len(generations[0]) > REMEMBERED:
+        generations[:] = [{}, generations[0]]
+    known, before = generations
+
+    def learn(words: set[str]) -> None:
+        again = words.intersection(before)
+        known.update(zip(again, map(before.__getitem__, again), strict=True))
+        new = list(words.difference(again))
+        for k in range(0, len(new), 4096):
+            some = new[k:k + 4096]
+            known.update(zip(some, _ids_of_words(tokenizer, starts, some, code), strict=True))
+
     # The first word has no blank before it; all others are remembered with theirs.
     missing = set().union(*[ws[1:] for ws in split if ws is not None]).difference(known)
-    # Letters are one piece, and so is a mark after them; other words take the pattern.
-    parts = {w: [" " + w] if w.isalpha() else [" " + w[:-1], w[-1]] if w[-1:] in _MARKS and w[:-1].isalpha()
-             else piece.findall(" " + w) for w in missing}
-    firsts = [piece.findall(ws[0]) if ws is not None else [] for ws in split]
-    new = list({p for ps in (*parts.values(), *firsts) for p in ps if p[0] != " " or p[1:] not in known})
-    fresh = {p: array(code, e.ids).tobytes()
-             for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-
-    def ids_of(p: str) -> bytes:
-        return fresh[p] if p in fresh else known[p[1:]]
-
-    for w, ps in parts.items():
-        known[w] = b"".join([ids_of(p) for p in ps])
-    for p, ids in fresh.items():
-        if p[0] == " ":
-            known[p[1:]] = ids
+    marked = {w for w in missing if w.endswith(_MARKS) and w not in before and w[:-1].isalpha()}
+    learn((missing - marked).union([w[:-1] for w in marked]).difference(known))
+    mark = {m: array(code, tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in _MARKS} if marked else {}
+    for w in marked:
+        known[w] = known[w[:-1]] + mark[w[-1]]
+    alone = [ws[0] if ws is not None else text for text, ws in zip(texts, split, strict=True)]
     out = []
-    for text, ws, first in zip(texts, split, firsts, strict=True):
-        if ws is None:
-            out.append(array(code, tokenizer.encode(text, add_special_tokens=False).ids).tobytes() + end)
-        else:
-            out.append(b"".join([*[ids_of(p) for p in first], *map(known.__getitem__, ws[1:]), end]))
+    for ws, first in zip(split, tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+        ids = array(code, first.ids).tobytes()
+        out.append(ids + end if ws is None else b"".join([ids, *map(known.__getitem__, ws[1:]), end]))
     return out
 
 

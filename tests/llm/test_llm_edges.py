@@ -204,7 +204,6 @@ def test_token_files(spark, rows, none, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     tricky = [(30, "a  b   c", "a"), (31, "tail  ", "a"), (32, " \n x\t y \n\nz", "a"), (33, "don't <|endoftext|> 12 ab12.", "a"), (34, "　wide \xa0 é", "a"),
               (35, " lead", "a"), (36, "one two.\nThree, four", "a"), (37, "x ", "a")]
     docs = docs_of(spark, ROWS + tricky)

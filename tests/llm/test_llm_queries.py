@@ -81,7 +81,6 @@ def test_token_files(spark, sf_dir, docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     got = QUERIES["op8_token_files"](spark, sf_dir).toPandas().set_index("doc_id")
     start = 0
     for i, text in sorted(zip(docs["doc_id"], docs["text"], strict=True)):
