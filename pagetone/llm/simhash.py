@@ -356,7 +356,7 @@ def _tested(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("parity").alias("p1"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("parity").alias("p2"))
     both = pairs.join(left, "a").join(right, "b").filter(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-    return both.filter(_possible(percent)("n1", "n2", "p1", "p2")).select("a", "b")
+    return both.filter(_possible(percent)("n1", "n2", "p1", "p2")).select(*pairs.columns)
 
 
 def _met_between(percent: int):
@@ -440,11 +440,13 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node"))
                  & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))).select(
         F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    pairs = cut_lineage(_tested(met, nodes, percent))
-    stars = shared.filter((F.col("times") > hot) & (F.col("node") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    asked = cut_lineage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(_tested(stars, nodes, percent)).distinct())
-
     crowd = shared.filter(F.col("times") > hot)
+    stars = crowd.filter(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    tested = cut_lineage(_tested(met.withColumn("star", F.lit(False)).union(stars.withColumn("star", F.lit(True))), nodes, percent))
+    pairs = tested.filter("NOT star").select("a", "b")
+    # One candidate a node, the smallest, and all stars.
+    asked = cut_lineage(tested.groupBy("b", F.when(F.col("star"), F.col("a")).alias("centre")).agg(F.min("a").alias("a")).select("a", "b").distinct())
+
     members = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct()
     own = nodes.join(members, "node", "left_semi").select("node", F.col("key").alias("k"), F.col("hash").alias("h"))
     same = (F.col("hash") == F.col("h")) & F.col("key").eqNullSafe(F.col("k"))
@@ -453,8 +455,7 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
     links = cut_lineage(confirm(asked, texts, percent, width))
     found = cut_lineage(components(links))
 
-    comp = nodes.join(members, "node", "left_semi").join(found, "node", "left").select("node", "n", "parity", F.coalesce("component", "node").alias("comp"))
-    comp = cut_lineage(comp)
+    comp = cut_lineage(nodes.join(found, "node", "left").select("node", "n", "parity", F.coalesce("component", "node").alias("comp")))
     left, right = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
     apart = pairs.join(left, "a").join(right, "b").filter("ca <> cb").select("a", "b")
     places = crowd.select("token", "node").join(comp.select("node", "comp"), "node")
@@ -464,11 +465,14 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
              .select("token", "node", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj")))
     between = dealt.join(comp, "node").groupBy("token", "ci", "cj").applyInPandas(_met_between(percent), "a bigint, b bigint")
-    more = cut_lineage(confirm(cut_lineage(apart.union(between).distinct().join(asked, ["a", "b"], "left_anti")), texts, percent, width))
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
-
-    rooted = nodes.select("node", "set", "key", "hash").join(found, "node", "left").select("set", "key", "hash", F.coalesce("component", "node").alias("root"))
+    later = cut_lineage(apart.union(between).distinct().join(asked, ["a", "b"], "left_anti"))
+    if not later.isEmpty():
+        more = confirm(later, texts, percent, width).join(left, "a").join(right, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        joined = components(more)  # links between components
+        comp = comp.join(joined, comp["comp"] == joined["node"], "left").select(
+            comp["node"], F.coalesce("component", "comp").alias("comp"))
+
+    rooted = cut_lineage(nodes.select("node", "set", "key", "hash").join(comp.select("node", F.col("comp").alias("root")), "node").drop("node"))
     least = rooted.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("unset"), "key", "hash")).alias("v"))
     labels = rooted.join(least, "root").select("set", F.col("v.key").alias("first_key"), F.col("v.hash").alias("first_hash"))
     return marked.select("key", "hash", "set").join(labels, "set").select("key", "hash", "first_key", "first_hash")
