@@ -1,14 +1,15 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
 Every source's documents are shuffled by hash and laid end to end; the line is cut into blocks of equal token
-counts, and repeats as often as needed. Slot i of the schedule asks the golden-ratio point frac(i * phi) which
-source it belongs to, through the cumulative weights. A slot's rank among those of its source is the block it
-takes. Documents are joined with the slots by (source, block).
+counts, and repeats as often as needed. The mix has as many slots as the targets have blocks. Slot i asks the
+golden-ratio point frac(i / phi) of a circle of equally spaced points which source it belongs to, through the cumulative
+targets; its rank among the slots of that source is the block it takes. Blocks without a slot are not taken, and the
+mix is written in slot order, so every stretch of it is near the weights.
 """
 
 from __future__ import annotations
 
-from math import ceil, floor
+from math import ceil, floor, gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,11 +17,11 @@ from pyspark.sql import functions as F
 from pagetone.llm.common import SPACED_WORD
 from pagetone.session import cut_lineage
 
-BLOCK_TOKENS = 2048
+BLOCK_TOKENS = 32
 MAX_REPEATS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
-#: frac(i * phi) in integers: the odd multiplier nearest to 2**32 / phi walks all 32-bit points.
-GOLDEN = 2_654_435_769
+#: Points of the circle at most; a longer schedule goes round again.
+CIRCLE = (1 << 31) - 1
 SLOTS_PER_CHUNK = 1 << 16
 DOCS_PER_BUCKET = 1 << 12
 
@@ -45,44 +46,40 @@ def targets(sizes: dict[str | None, int], weights: dict[str | None, float], most
     return fixed
 
 
+def golden_step(points: int) -> int:
+    """The step nearest to points / phi that visits every one of ``points`` equally spaced points."""
+    near = round(points * 0.6180339887498949)
+    return next(g for d in range(points + 1) for g in (near - d, near + d) if g > 0 and gcd(g, points) == 1)
+
+
 def schedule(takes: dict[int, int], block: int, spark) -> DataFrame:
-    """(src, rank, slot): which slot takes the rank-th block of each source.
+    """(src, rank, slot): the source of every slot, and the slot's rank among those of its source.
 
-    ``takes``: words to take by source number. Slots are generated and ranked in chunks: counts per chunk and
+    ``takes``: words to take by source number. A source's slots are within one of its share, since the points of
+    the circle are equally spaced and each is visited once; any stretch of slots is near it, as consecutive points
+    lie a golden section apart. Slots are generated and ranked in chunks: counts per chunk and
     source are small, their running sums give each chunk's first rank, so no source is ranked in one task.
-    Points come in golden-ratio order, so every stretch of slots is near the weights. Since a count over a
-    low-discrepancy sequence may be off by a few, some more slots are generated; each source takes the first
-    it needs.
     """
     total = sum(takes.values())
-    needed = {s: ceil(t / block) for s, t in takes.items() if t > 0}
     schema = "src int, rank bigint, slot bigint"
-    if not total or not needed:
+    if not total:
         return spark.createDataFrame([], schema)
-    edges, run = [], 0.0
+    n_slots = ceil(total / block)
+    circle = min(n_slots, CIRCLE)
+    edges, run = [], 0
     for s, t in takes.items():
-        run += t / total
-        edges.append((s, min(1 << 32, floor(run * (1 << 32)))))
-    edges[-1] = (edges[-1][0], 1 << 32)
-    n = sum(needed.values())
-    while True:  # a tiny source may need more points until its share of the circle is met often enough
-        point = F.pmod(F.col("slot") * F.lit(GOLDEN), F.lit(1 << 32))
-        src = F.coalesce(*[F.when(point < F.lit(edge), F.lit(s)) for s, edge in edges])
-        n_slots = n + 64 + n // 16
-        slots = spark.range(n_slots, numPartitions=max(1, min(4096, ceil(n_slots / SLOTS_PER_CHUNK)))).select(
-            F.col("id").alias("slot"), (F.col("id") / F.lit(SLOTS_PER_CHUNK)).cast("bigint").alias("chunk")).select(
-            "slot", "chunk", src.alias("src"))
-        counts = {r["src"]: r["n"] for r in slots.groupBy("src").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if all(counts.get(s, 0) >= k for s, k in needed.items()):
-            break
-        n *= 2
+        run += t
+        edges.append((s, (2 * run * circle + total) // (2 * total)))
+    point = F.pmod(F.pmod(F.col("slot"), F.lit(circle)) * F.lit(golden_step(circle)), F.lit(circle))
+    src = F.coalesce(*[F.when(point < F.lit(edge), F.lit(s)) for s, edge in edges])
+    slots = spark.range(n_slots, numPartitions=max(1, min(4096, ceil(n_slots / SLOTS_PER_CHUNK)))).select(
+        F.col("id").alias("slot"), (F.col("id") / F.lit(SLOTS_PER_CHUNK)).cast("bigint").alias("chunk")).select(
+        "slot", "chunk", src.alias("src"))
     per_chunk = slots.groupBy("src", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     firsts = per_chunk.select("src", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("src", "chunk").orderBy("slot")
-    ranked = slots.join(firsts, ["src", "chunk"]).withColumn("rank", F.row_number().over(within) - 1 + F.col("first"))
-    limit = F.coalesce(*[F.when(F.col("src") == s, F.lit(k)) for s, k in needed.items()], F.lit(0))
-    return ranked.filter(F.col("rank") < limit).select("src", "rank", "slot")
+    return slots.join(firsts, ["src", "chunk"]).withColumn("rank", F.row_number().over(within) - 1 + F.col("first")).select("src", "rank", "slot")
 
 
 def _source_stats(sized: DataFrame) -> DataFrame:
@@ -96,15 +93,15 @@ def _order(key: str, text: str, source: str) -> Column:
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
         weights: dict[str | None, float] | None = None, block: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """One row per document (key, size, source_size, target, taken, order), and the slots it fills.
+    """One row per document (key, size, source_size, target, taken, first_slot, order), and the slots it fills.
 
-    ``order`` is the hash that shuffles a source's documents.
+    ``order`` is the hash that shuffles a source's documents, ``first_slot`` the first place of the mix that takes some of it.
 
-    Second table: (key, source, slot, rank, words): which slots take how many words of each document. Sizes
+    Second table: (key, order, source, pass, slot, rank, words): which slots take how many words of each document. Sizes
     are word counts, null texts have none. Without ``weights`` the sources in code-point order (null last) weigh
-    5, 2, 1, repeating. Each source takes its target, rounded down to whole words, to the word; a document is
-    taken at most three times, because a target never exceeds three times its source. Documents of size 0 are
-    taken 0 times. Rows with equal keys are separate documents. No rows give no rows.
+    5, 2, 1, repeating. Each source takes the blocks that have a slot, so up to a block less than its target, and
+    never more; a document is taken at most three times, because a target never exceeds three times its source.
+    Documents of size 0 are taken 0 times. Rows with equal keys are separate documents. No rows give no rows.
 
     The only table at the driver is one row per source. Running sums are two-level: hash buckets of a bounded
     number of documents, then within buckets; so a hot source is dealt over many tasks.
@@ -120,8 +117,6 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     target = targets(sizes, weights)
     number = {s: i for i, s in enumerate(names)}
     takes = {number[s]: floor(target[s]) for s in names}
-    total = sum(sizes.values())
-    block = max(1, min(block, total // 1024)) if total else 1  # small inputs get finer blocks
     info = spark.createDataFrame(
         [(s, number[s], sizes[s], float(target[s]), takes[number[s]], max(1, ceil(stats[s][1] / DOCS_PER_BUCKET)))
          for s in names], "name string, src int, source_size bigint, target double, take bigint, buckets int")
@@ -140,7 +135,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     # Where the document lies on the repeated line, in each pass that is taken at all, cut at block borders.
     passes = F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1)))
-    laid = (placed.filter("size > 0").select("row", "key", "source", "src", "take", "size", "start", "source_size",
+    laid = (placed.filter("size > 0").select("row", "key", "order", "source", "src", "take", "size", "start", "source_size",
                                              passes.alias("pass"))
             .withColumn("from", F.col("start") + F.col("pass") * F.col("source_size"))
             .withColumn("to", F.least(F.col("from") + F.col("size"), F.col("take"))).filter(F.col("from") < F.col("to")))
@@ -148,22 +143,24 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     pieces = laid.withColumn("rank", F.explode(F.sequence(first, last))).withColumn(
         "words", F.least("to", (F.col("rank") + 1) * block) - F.greatest("from", F.col("rank") * block))
     filled = pieces.join(schedule(takes, block, spark), ["src", "rank"])
-    taken = filled.groupBy("row").agg(F.sum("words").alias("taken"))
+    taken = filled.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     out = placed.join(taken, "row", "left").select(
-        F.col("key").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "order")
-    return out, filled.select(F.col("key").alias(key), "source", "slot", "rank", "words")
+        F.col("key").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
+        "first_slot", "order")
+    return out, filled.select(F.col("key").alias(key), "order", "source", "pass", "slot", "rank", "words")
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
                     weights: dict[str | None, float] | None = None) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; all columns stay.
+    """``docs`` with each row as often as the mix takes it, in the order of the slots; all columns stay.
 
-    A row that is taken in part at the end of its source's share appears whole. Rows without words are not taken.
-    Rows that are equal in key, text and source are taken alike: as often as the one that is taken most.
+    Every taking of a row stands at the first slot that takes some of it. A row that is taken in part appears whole.
+    Rows without words are not taken. Rows that are equal in key, text and source are taken alike: as often as the one
+    that is taken most. Rows are laid out in ranges of slots and sorted in them, so the files of the result are
+    stretches of the schedule.
     """
-    taken = mix(docs, key, text, source, weights)[0]
-    times = (taken.filter("taken > 0").groupBy(F.col("order").alias("__order"))
-             .agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__times")))
+    slots = mix(docs, key, text, source, weights)[1]
+    places = slots.groupBy(F.col("order").alias("__order"), "pass").agg(F.min("slot").alias("__slot")).drop("pass")
     marked = docs.withColumn("__order", _order(key, text, source))
-    return (marked.join(times, "__order").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-            .drop("__order", "__times", "__copy"))
+    mixed = marked.join(places, "__order")
+    return mixed.repartitionByRange("__slot", "__order").sortWithinPartitions("__slot", "__order").drop("__order", "__slot")

@@ -233,6 +233,43 @@ def test_mixing(spark, rows, none):
     assert mixing.mix(docs_of(spark, [(1, "", "a"), (2, None, None)]))[0].agg(F.sum("taken")).first()[0] == 0
 
 
+def test_schedule_decides_what_is_taken_and_where(spark, monkeypatch):
+    """Every stretch of the mix is near the weights; without the schedule's order it is not."""
+    docs = docs_of(spark, [(i, "w " * (20 + i % 50), "abc"[i % 3]) for i in range(1500)])
+    weights = {"a": 5.0, "b": 2.0, "c": 1.0}
+    out, slots = mixing.mix(docs, weights=weights)
+    rows = slots.collect()
+    total = out.select("source_size").distinct().agg(F.sum("source_size")).first()[0]
+    by_source = {s: [r for r in rows if r["source"] == s] for s in weights}
+    want = mixing.targets({s: out.join(docs.select("doc_id", "source"), "doc_id").filter(F.col("source") == s).first()["source_size"] for s in weights}, weights)
+    for s, mine in by_source.items():
+        assert {r["rank"] for r in mine} == set(range(1 + max(r["rank"] for r in mine)))  # its blocks, none left out
+        assert 0 <= want[s] - sum(r["words"] for r in mine) < 1 + mixing.BLOCK_TOKENS
+    n = 1 + max(r["slot"] for r in rows)
+    for lo, hi in ((0, n // 10), (n // 3, n // 3 + n // 20), (n - n // 10, n)):
+        part = {s: len({r["slot"] for r in mine if lo <= r["slot"] < hi}) for s, mine in by_source.items()}
+        assert all(abs(part[s] - (hi - lo) * want[s] / sum(want.values())) <= 3 for s in weights), (lo, hi, part, total)
+    first = {r["doc_id"]: r["first_slot"] for r in out.collect()}
+    assert all(first[r["doc_id"]] <= r["slot"] for r in rows)
+
+    mixed = mixing.mixed_documents(docs, weights=weights)
+    shown = [r["source"] for r in mixed.collect()]
+    tenth = shown[:len(shown) // 10]
+    sized = {s: sum(1 for x in tenth if x == s) / len(tenth) for s in weights}
+    assert all(abs(sized[s] - want[s] / sum(want.values())) < 0.05 for s in weights), sized
+
+    # A schedule that gives each source its slots in one run takes as much, but is not near the weights anywhere.
+    monkeypatch.setattr(mixing, "golden_step", lambda points: 1)
+    again = mixing.mixed_documents(docs, weights=weights).collect()
+    assert len({r["source"] for r in again[:len(again) // 10]}) == 1
+
+
+def test_every_point_of_the_circle_is_visited():
+    for points in (1, 2, 3, 10, 97, 1024, 99991):
+        step = mixing.golden_step(points)
+        assert sorted(i * step % points for i in range(points)) == list(range(points))
+
+
 def test_targets_share_the_excess():
     assert mixing.targets({"a": 10, "b": 100, "c": 100}, {"a": 5, "b": 2, "c": 1}) == pytest.approx({"a": 30, "b": 120, "c": 60})
     assert mixing.targets({}, {}) == {}
@@ -418,8 +455,8 @@ def test_pipeline_stages_like_brute_force(spark, tmp_path):
     total = {s: sum(size[k] for k in clean if source[k] == s) for s in "abc"}
     for s, target in mixing.targets(total, {"a": 5.0, "b": 2.0, "c": 1.0}).items():
         own = [k for k in clean if source[k] == s]
-        whole = floor(target) // total[s]
-        assert all(whole <= times[k] <= whole + 1 for k in own)
-        assert 0 <= sum(times[k] * size[k] for k in own) - floor(target) < max(size[k] for k in own)
+        whole = max(0, floor(target) - mixing.BLOCK_TOKENS) // total[s]
+        assert all(whole <= times[k] <= whole + 2 for k in own)
+        assert -mixing.BLOCK_TOKENS <= sum(times[k] * size[k] for k in own) - floor(target) < max(size[k] for k in own)
 
     assert Counter(r["doc_id"] for r in stages["sharding"](spark, docs, str(tmp_path)).collect()) == times

@@ -92,7 +92,7 @@ def test_token_files(spark, sf_dir, docs):
 
 
 def test_mixing(spark, sf_dir, docs):
-    from pagetone.llm.mixing import targets
+    from pagetone.llm.mixing import BLOCK_TOKENS, targets
 
     got = QUERIES["op9_mixing"](spark, sf_dir).toPandas().merge(docs[["doc_id", "source"]], on="doc_id")
     again = QUERIES["op9_mixing"](spark, sf_dir).toPandas()
@@ -107,7 +107,7 @@ def test_mixing(spark, sf_dir, docs):
     for s, row in sources.iterrows():
         assert row["target"] == pytest.approx(want[s])
         assert row["target"] <= 3 * row["size"] + 1e-6
-        assert 0 <= row["target"] - row["taken"] < 1
+        assert 0 <= row["target"] - row["taken"] < 1 + BLOCK_TOKENS
     assert sources["target"].sum() == pytest.approx(sources["size"].sum())
 
 
