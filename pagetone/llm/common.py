@@ -61,11 +61,15 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column
     """(text, label) of about ``at_most[label]`` labelled rows per label, chosen by hash of the key.
 
     The sample is drawn from the labels, which are small rows, and then broadcast: its bound is the sum of
-    ``at_most``, so the texts are not shuffled. Null keys and labels match nothing.
+    ``at_most``, so the texts are not shuffled. Null keys and labels match nothing; repeated labels count once. A key that
+    is there several times gives one text, the least, so that it weighs like any other. Further columns of
+    ``docs`` may have any name.
     """
     rows = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("label")).filter(usable).distinct()
     parts = [bounded_sample(rows.filter(F.col("label") == v), F.col("__key"), n) for v, n in at_most.items()]
     chosen = parts[0]
     for part in parts[1:]:
         chosen = chosen.unionByName(part)
-    return docs.join(F.broadcast(chosen), docs[key] == F.col("__key")).select(F.col(f"`{text}`").alias("text"), "label")
+    own = docs.select(F.col(f"`{key}`").alias("__doc"), F.col(f"`{text}`").alias("text"))
+    return (own.join(F.broadcast(chosen), F.col("__doc") == F.col("__key")).groupBy("__key", "label")
+            .agg(F.min("text").alias("text")).select("text", "label"))

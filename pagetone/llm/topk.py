@@ -3,11 +3,13 @@
 Vectors lie dimension by dimension (one contiguous column each). For a block of queries, partial scores grow by
 one block of dimensions at a time. After each block a candidate's score can gain at most
 |rest of query| * |rest of candidate|; candidates that cannot reach the query's k-th best lower bound any more
-are dropped and the survivors are compacted. Scores are integers, so results are exact.
+are dropped and the survivors are compacted. Scores are integers; where floating point could round one, bounds are
+widened by what it may be off and the survivors are scored again in integers, so results are exact.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from math import ceil
 
@@ -16,10 +18,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagetone.session import shared_folder
+
 #: Queries per round, and rows that set the first bounds; both bound what is broadcast.
 QUERY_BLOCK, SEED_ROWS = 4096, 4096
 DIM_BLOCK = 16
 ROWS_AT_ONCE = 4096
+#: Sums of products below this are whole in floating point; beyond it a sum of n terms is off by less than n * 2**-52 of |q| |c|.
+WHOLE = float(1 << 53)
 
 
 def quantized(vector: Column, scale: int = 1024) -> Column:
@@ -41,14 +47,22 @@ class _Queries:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, seeds_ids: np.ndarray, seeds: np.ndarray, k: int):
         self.ids, self.k = ids, k
+        self.whole = vectors
         self.columns = np.ascontiguousarray(vectors.T.astype(np.float64))  # dims x queries
+        self.norm = np.sqrt((self.columns * self.columns).sum(axis=0))
         self.blocks = [(a, min(a + DIM_BLOCK, vectors.shape[1])) for a in range(0, vectors.shape[1], DIM_BLOCK)]
         self.rest = _rests(self.columns, self.blocks)
         self.bound = np.full(len(ids), -np.inf)
         if len(seeds):
             scores = seeds.astype(np.float64) @ self.columns
             scores[seeds_ids[:, None] == ids[None, :]] = -np.inf
-            self.bound = _kth_best(scores, k)
+            far = np.sqrt((seeds.astype(np.float64) ** 2).sum(axis=1).max()) if seeds.shape[1] else 0.0
+            self.bound = _kth_best(scores, k) - _slack(self.norm * far, seeds.shape[1])
+
+
+def _slack(product: np.ndarray, dims: int) -> np.ndarray:
+    """How far a sum in floating point may be off, from |q| |c|."""
+    return np.where(product < WHOLE, 0.0, product * (dims + 2) * 2.0 ** -51)
 
 
 def _rests(columns: np.ndarray, blocks: list[tuple[int, int]]) -> list[np.ndarray]:
@@ -63,24 +77,31 @@ def _search(ids: np.ndarray, vectors: np.ndarray, queries: _Queries) -> tuple[np
     columns = np.ascontiguousarray(vectors.T.astype(np.float64))
     rest = _rests(columns, queries.blocks)
     n = columns.shape[1]
+    far = np.sqrt((columns * columns).sum(axis=0)).max() if n and len(columns) else 0.0
+    slack = _slack(queries.norm * far, len(columns))
     partial, alive_q, alive_c = None, None, None
     for step, (a, b) in enumerate(queries.blocks):
         if partial is None:  # every pair is alive: one small matrix product
             full = queries.columns[a:b].T @ columns[a:b]
             may = full + np.outer(queries.rest[step], rest[step])
-            alive_q, alive_c = np.nonzero(may >= queries.bound[:, None])
+            alive_q, alive_c = np.nonzero(may + slack[:, None] >= queries.bound[:, None])
             partial = full[alive_q, alive_c]
         else:
             for d in range(a, b):
                 partial += queries.columns[d, alive_q] * columns[d, alive_c]
-            keep = partial + queries.rest[step][alive_q] * rest[step][alive_c] >= queries.bound[alive_q]
+            keep = partial + queries.rest[step][alive_q] * rest[step][alive_c] + slack[alive_q] >= queries.bound[alive_q]
             alive_q, alive_c, partial = alive_q[keep], alive_c[keep], partial[keep]
     if partial is None:
         alive_q, alive_c = (x.ravel() for x in np.meshgrid(np.arange(len(queries.ids)), np.arange(n), indexing="ij"))
         partial = np.zeros(len(alive_q))
     other = queries.ids[alive_q] != ids[alive_c]
     alive_q, alive_c, partial = alive_q[other], alive_c[other], partial[other]
-    return alive_q, ids[alive_c], partial.astype(np.int64)
+    scores = np.zeros(len(partial), dtype=np.int64)
+    large = queries.norm[alive_q] * far >= WHOLE
+    scores[~large] = partial[~large].astype(np.int64)
+    for part in np.array_split(np.flatnonzero(large), 1 + int(large.sum()) // ROWS_AT_ONCE):
+        scores[part] = (queries.whole[alive_q[part]] * vectors[alive_c[part]]).sum(axis=1)
+    return alive_q, ids[alive_c], scores
 
 
 def _best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
@@ -109,8 +130,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, key: str = "ve
     id are candidates each. Fewer candidates than k give all of them; empty tables give no rows.
 
     Queries go out in rounds of about QUERY_BLOCK, each with bounds from SEED_ROWS candidates, so a broadcast is
-    bounded whatever the number of queries. Every task keeps k rows per query of what it has seen; the last
-    ranking therefore reads at most k rows per query and task.
+    bounded whatever the number of queries. A round ends, is written to the shared folder and lets go of its
+    queries before the next begins. Every task keeps k rows per query of what it has seen; a round's
+    ranking therefore reads at most k rows per query and task. Scores must fit a bigint.
     """
     spark = candidates.sparkSession
 
@@ -125,7 +147,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, key: str = "ve
     spread = F.pmod(F.xxhash64("id", F.lit("seed")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
     seeds = pool.filter(spread).distinct().limit(2 * SEED_ROWS).toPandas()
     by_dim_seeds = _matrix(seeds["v"]) if len(seeds) else {}
-    found = None
+    path = f"{shared_folder(spark).rstrip('/')}/topk-{uuid.uuid4().hex}"
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     for r in range(rounds):
         block = asked.filter(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r).distinct().toPandas()
         searches = {}
@@ -150,7 +173,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, key: str = "ve
                 yield pd.DataFrame({"query_id": shared.value[dim].ids[q], "vec_id": ids, "score": scores})
 
         part = pool.mapInPandas(scan, "query_id bigint, vec_id bigint, score bigint")
-        found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        ranked = part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        ranked.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+        shared.unpersist()
+    return spark.read.schema("query_id bigint, rank int, vec_id bigint, score bigint").parquet(path)

@@ -138,6 +138,31 @@ def test_topk(spark):
     assert topk.top_k(vectors, empty).count() == 0 and topk.top_k(empty, vectors).count() == 0
 
 
+@pytest.mark.parametrize("rows_per_round", [4096, 3])
+def test_topk_is_exact_beyond_doubles(spark, monkeypatch, rows_per_round):
+    """Scores near 2**60 that differ in their last digits, over several rounds."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", rows_per_round)
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(10**8), 10**8, 40)
+    rows = [(i, [float(x) / 1024 * 1024 / 1024 for x in base + rng.integers(-3, 4, 40)]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(vectors.filter("vec_id % 30 = 0"), vectors, k=4).collect()}
+    whole = {i: [int(np.floor(x * 1024)) for x in v] for i, v in rows}
+    for q in range(0, 300, 30):
+        want = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:4]
+        assert [got[q, r + 1] for r in range(4)] == [(i, -s) for s, i in want]
+
+
+def test_labelled_rows_with_repeated_ids_and_clashing_names(spark):
+    from pagetone.llm.common import labelled_rows
+
+    docs = spark.createDataFrame([(1, "one", 5, 6, 7)] * 50 + [(2, "two", 5, 6, 7), (3, None, 5, 6, 7), (None, "x", 5, 6, 7)],
+                                 "doc_id bigint, text string, label int, __key int, toxic int")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (None, 1), (9, 1)], "doc_id bigint, toxic int")
+    got = labelled_rows(docs, labels, "toxic", F.lit(True), {1: 100, 0: 100}).collect()
+    assert sorted((r["text"] or "", r["label"]) for r in got) == [("", 0), ("one", 1), ("two", 0)]
+
+
 def test_topk_prunes_exactly(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(700, 40)) * np.linspace(1, 0.01, 40)
