@@ -360,13 +360,17 @@ def _tested(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _met_between(percent: int):
-    """Candidates between components within one chunk pair of a rare shingle's texts."""
+    """Candidates between components within one chunk pair of a frequent rare shingle's texts.
+
+    Texts that have several such shingles in common meet under each; the first of these reports the pair.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.drop_duplicates("node")
+        token, own = int(rows["token"].iloc[0]), dict(zip(rows["node"], map(frozenset, rows["tokens"]), strict=True))
         parity = np.frombuffer(b"".join(rows["parity"]), dtype=np.uint64).reshape(len(rows), -1)
         pairs = between_components(rows["node"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy().astype(np.int64), parity, 0, len(rows), percent)
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame([(a, b) for a, b in pairs if min(own[a] & own[b]) == token], columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -407,6 +411,11 @@ def _within_table(hashes: DataFrame):
     return test
 
 
+def _alike(a: Column, b: Column) -> Column:
+    """Null-safe equality that is no join key, so that rows stay dealt by the hash beside it."""
+    return F.coalesce(a == b, a.isNull() & b.isNull())
+
+
 def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS,
                           share: float = SIMILARITY, chunk: int = TEXT_CHUNK, hot: int = HOT_SHINGLE) -> DataFrame:
     """(key, hash, first_key, first_hash): every row and the row with the smallest key of its group.
@@ -449,7 +458,7 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
 
     members = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct()
     own = nodes.join(members, "node", "left_semi").select("node", F.col("key").alias("k"), F.col("hash").alias("h"))
-    same = (F.col("hash") == F.col("h")) & F.col("key").eqNullSafe(F.col("k"))
+    same = (F.col("hash") == F.col("h")) & _alike(F.col("key"), F.col("k"))
     wanted = slim.filter(_within_table(own.select(F.col("h").alias("hash")))("hash"))
     texts = cut_lineage(wanted.join(own, same).dropDuplicates(["hash", "node"]).select("node", "text"))
     links = cut_lineage(confirm(asked, texts, percent, width))
@@ -461,10 +470,12 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
     places = crowd.select("token", "node").join(comp.select("node", "comp"), "node")
     mixed = (places.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"))
              .filter("low <> high").select("token", F.ceil(F.col("size") / F.lit(chunk)).cast("int").alias("chunks")))
-    dealt = (places.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    places = cut_lineage(places.join(mixed, "token"))
+    lists = places.groupBy("node").agg(F.collect_set("token").alias("tokens"))
+    dealt = (places.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
              .select("token", "node", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj")))
-    between = dealt.join(comp, "node").groupBy("token", "ci", "cj").applyInPandas(_met_between(percent), "a bigint, b bigint")
+    between = dealt.join(comp.join(lists, "node"), "node").groupBy("token", "ci", "cj").applyInPandas(_met_between(percent), "a bigint, b bigint")
     later = cut_lineage(apart.union(between).distinct().join(asked, ["a", "b"], "left_anti"))
     if not later.isEmpty():
         more = confirm(later, texts, percent, width).join(left, "a").join(right, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
@@ -472,7 +483,7 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
         comp = comp.join(joined, comp["comp"] == joined["node"], "left").select(
             comp["node"], F.coalesce("component", "comp").alias("comp"))
 
-    rooted = cut_lineage(nodes.select("node", "set", "key", "hash").join(comp.select("node", F.col("comp").alias("root")), "node").drop("node"))
+    rooted = nodes.select("node", "set", "key", "hash").join(comp.select("node", F.col("comp").alias("root")), "node").drop("node")
     least = rooted.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("unset"), "key", "hash")).alias("v"))
     labels = rooted.join(least, "root").select("set", F.col("v.key").alias("first_key"), F.col("v.hash").alias("first_hash"))
     return marked.select("key", "hash", "set").join(labels, "set").select("key", "hash", "first_key", "first_hash")
@@ -497,7 +508,5 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     rows = rows.withColumn("__asked", asked)
     passed = rows.filter("NOT __asked").drop("__asked", "__row")
     met = rows.filter("__asked").drop("__asked").join(
-        special, (F.col("__row") == F.col("__hash")) & F.col(f"`{key}`").eqNullSafe(F.col("__key")), "left").filter("__stays IS NULL OR __stays")
-    alone = met.filter("__stays IS NULL").select(*passed.columns)
-    once = met.filter("__stays").dropDuplicates(["__row", "__key"]).select(*passed.columns)
-    return passed.unionByName(alone).unionByName(once)
+        special, (F.col("__row") == F.col("__hash")) & _alike(F.col(f"`{key}`"), F.col("__key")), "left").filter("__stays IS NULL OR __stays")
+    return passed.unionByName(met.dropDuplicates(["__row", key]).select(*passed.columns))
