@@ -1,7 +1,9 @@
 """Main text of pages by nearest-URL page differencing.
 
-Pages of a host are ordered by URL path. A page is compared with the nearest page that is not a copy of it: their
-text lines are aligned by longest common subsequence, and shared lines, the site's frame, are deleted. What the
+Pages of a host are ordered by URL path. A page is compared with the nearest pages on either side that are no copies
+of it: their text lines are aligned by longest common subsequence, and shared lines, the site's frame, are deleted. A
+line counts as frame if both neighbours have it, or if the nearer one has it and it stands at the page's head or
+tail; a neighbour that shares most of the rest too is a near copy and decides nothing alone. What the
 markup itself declares as frame (navigation, footers, adverts, forms) goes as well, and what it declares as the
 article stays, so that quotations and reprinted paragraphs are not lost.
 """
@@ -19,13 +21,16 @@ from pyspark.sql import functions as F
 
 from pagetone.session import cut_lineage
 
+#: Share of a page's lines above which a single neighbour is a near copy.
+NEAR_COPY = 0.8
 FRAME, PLAIN, ARTICLE = 0, 1, 2
 GUESSED = 3  # frame by the name of a class or id only: an article inside lifts it
 
 # Elements without text of their own, elements of a page's frame, of an article, and blocks.
 _SKIPPED = {"script", "style", "noscript", "template", "svg", "head", "iframe", "object", "canvas", "math", "textarea",
-            "select", "option", "button"}
-_RAW = {"script", "style", "textarea", "noscript", "iframe", "template"}
+            "select", "option", "button", "title"}
+_RAW = {"script", "style", "textarea", "noscript", "iframe", "template", "title"}
+_IN_HEAD = {"title", "meta", "link", "base", "basefont", "bgsound", "script", "style", "noscript", "template"}
 _FRAME = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 _ARTICLE = {"article", "main"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -33,18 +38,28 @@ _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "da
            "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u",
            "var", "wbr", "ruby", "rt", "rp"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-_FRAME_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side|aside|ads?|advert|advertisement|"
-    r"advertising|banner|promo|promotion|sponsor(?:ed)?|cookies?|consent|gdpr|notice|newsletter|subscribe|signup|login|"
-    r"comments?|respond|disqus|share|sharing|social|related|recommended|popup|modal|toolbar|pagination|pager|widget|search)"
-    r"(?=$|[\s_-])", re.I)
+_ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure",
+           "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre",
+           "search", "section", "summary", "table", "ul"}
+# Words of class names and ids: those of a frame, and those that say nothing by themselves. A name is frame if all its words
+# are of these and one of the first.
+_FRAME_WORDS = set("""nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside ad ads advert adverts
+    advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice newsletter subscribe signup
+    login comment comments respond disqus share sharing social related recommended popup modal toolbar pagination pager widget
+    search""".split())
+_LAYOUT_WORDS = set("""site page main global top bottom left right upper lower primary secondary first second big small box block wrap wrapper container
+    inner outer area section bar list links link item items row column col buttons button icons icon posts post articles article stories
+    story form panel group unit slot side js desktop mobile fixed sticky""".split())
 _FRAME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+                     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-#: Classes of a container that say whether it has a frame part beside it.
-_BESIDE = re.compile(r"(?:^|[_-])(?:no|has|have|with|without)[_-]", re.I)
+
+
+def _is_frame_name(name: str) -> bool:
+    words = [w for w in re.split(r"[_-]+", name.lower()) if w]
+    return any(w in _FRAME_WORDS for w in words) and all(w in _FRAME_WORDS or w in _LAYOUT_WORDS or w.isdigit() for w in words)
 
 
 def _declared(name: str, attributes: str, inside_article: bool) -> int | None:
@@ -61,7 +76,7 @@ def _declared(name: str, attributes: str, inside_article: bool) -> int | None:
             if key == "role":
                 role = value.lower()
             if key in ("class", "id") and name not in ("body", "html", "article", "main"):
-                guessed = guessed or any(_FRAME_WORDS.search(w) and not _BESIDE.search(w) for w in value.split())
+                guessed = guessed or any(_is_frame_name(w) for w in value.split())
     if role in _FRAME_ROLES:
         return FRAME
     if role in ("main", "article") or name in _ARTICLE:
@@ -109,6 +124,20 @@ def text_lines(html: str | None) -> list[tuple[str, int]]:
             continue
         if name not in _INLINE and name not in _RAW:
             close_block()
+        # A head or a paragraph that is left open ends where something begins that it cannot hold.
+        opened = -1
+        if skipped and name not in _IN_HEAD and name != "head":
+            opened = next((k for k, x in enumerate(stack) if x[0] == "head"), -1)
+        if opened < 0 and name in _ENDS_P:
+            opened = len(stack) - 1
+            while opened >= 0 and stack[opened][0] in _INLINE:
+                opened -= 1
+            if opened >= 0 and stack[opened][0] != "p":
+                opened = -1
+        if opened >= 0:
+            close_block()
+            role, skipped = stack[opened][1], stack[opened][2]
+            del stack[opened:]
         if name in _VOID or found[0].endswith("/>"):
             continue
         if name in _CLOSES and stack and stack[-1][0] in _CLOSES[name]:
@@ -184,15 +213,38 @@ def _common_prefix(a: str, b: str) -> int:
     return n
 
 
+def _ends(gone: list[int], n: int) -> set[int]:
+    """Those of the positions that are a page's head or tail, without a line between."""
+    shared, head, tail = set(gone), 0, n
+    while head in shared:
+        head += 1
+    while tail - 1 in shared and tail > head:
+        tail -= 1
+    return set(range(head)) | set(range(tail, n))
+
+
+def frame_of(own: np.ndarray, near: np.ndarray | None, far: np.ndarray | None) -> list[int]:
+    """Positions of the frame lines of a page with a nearer and a farther neighbour (see the module's text)."""
+    if near is None:
+        return []
+    with_near = shared_lines(own, near)
+    with_far = [] if far is None else shared_lines(own, far)
+    if not with_far:  # one neighbour, or one of another kind: a page that is almost wholly shared has a near copy beside it
+        return sorted(_ends(with_near, len(own))) if len(with_near) <= NEAR_COPY * len(own) else []
+    both = set(with_near) & set(with_far)
+    rest, more = len(own) - len(both), [k for k in with_near if k not in both]
+    return sorted(both | (_ends(with_near, len(own)) if len(more) <= rest / 2 else set()))
+
+
 def _pair(rows: list[tuple], at: int) -> list[int]:
-    """Shared line positions of row ``at`` with the nearer of its two neighbours, which are of the same host."""
+    """Frame positions of row ``at``, by its neighbours of the same host."""
     host, path, own = rows[at][0], rows[at][1], rows[at][3]
-    near = [(-_common_prefix(path, rows[k][1]), k) for k in (at - 1, at + 1) if 0 <= k < len(rows) and rows[k][0] == host]
-    return shared_lines(own, rows[min(near)[1]][3]) if near else []
+    near = sorted((-_common_prefix(path, rows[k][1]), k) for k in (at - 1, at + 1) if 0 <= k < len(rows) and rows[k][0] == host)
+    return frame_of(own, *[rows[k][3] for _, k in near], *[None] * (2 - len(near)))
 
 
 def frame_lines(keyed: DataFrame) -> DataFrame:
-    """(page, gone): positions of the lines that a page shares with its neighbour.
+    """(page, gone): positions of the lines that are a page's frame.
 
     ``keyed`` has page (bigint), host, path and lines (array of line hashes). Rows are ordered by ranges of
     (host, path, page), so a large host is dealt over many tasks. Rows next to each other with equal lines are one
