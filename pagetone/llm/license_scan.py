@@ -3,7 +3,7 @@
 Blocks are overlapping windows of words. Template tokens are ordered by their frequency over all documents, rare
 ones first. A block holds a template to the containment threshold only if it holds one of the template's first
 ``size - needed + 1`` tokens (prefix filter), enough template tokens in all (length filter), and enough after the
-first match (positional filter). Survivors are verified exactly. Everything is DataFrame expressions.
+first match (positional filter). Survivors are verified exactly, and must hold the words that name the licence. Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -23,30 +23,31 @@ ANY_CASE_WORD = ANY_CASE_LETTER + "+"
 
 # Phrases whose places are reported, with their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-# Notices the method adds: found when a block holds 80 % of a notice's distinct words.
+# Notices the method adds: found when a block holds 80 % of a notice's distinct words, and all of the words that name it.
 NOTICES = (
-    ("this work is licensed under the gnu general public license version", "gpl-notice"),
+    ("this work is licensed under the gnu general public license version", "gpl-notice", "gnu general public license"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
-     "gpl-notice"),
-    ("gnu lesser general public license as published by the free software foundation", "lgpl-notice"),
-    ("licensed under the apache license version 2 0", "apache-notice"),
-    ("licensed under the creative commons attribution license", "cc-by-notice"),
+     "gpl-notice", "gnu general public license"),
+    ("gnu lesser general public license as published by the free software foundation", "lgpl-notice", "gnu lesser"),
+    ("licensed under the apache license version 2 0", "apache-notice", "apache license"),
+    ("licensed under the creative commons attribution license", "cc-by-notice", "creative commons attribution"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation "
-     "files", "mit-notice"),
-    ("released under the mit license", "mit-notice"),
+     "files", "mit-notice", "permission granted copy software"),
+    ("released under the mit license", "mit-notice", "mit license"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the "
-     "following conditions are met", "bsd-notice"),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl-notice"),
+     "following conditions are met", "bsd-notice", "redistribution source binary conditions"),
+    ("this source code form is subject to the terms of the mozilla public license", "mpl-notice", "mozilla public license"),
 )
 
 
 def templates() -> list[dict]:
-    """Every phrase and notice: its words, distinct tokens, label, and how many tokens a block must hold."""
+    """Every phrase and notice: its words, distinct tokens, naming tokens, label, and how many tokens a block must hold."""
     out = []
     for exact, rows in ((True, PHRASES), (False, NOTICES)):
-        for text, label in rows:
+        for text, label, *naming in rows:
             tokens = sorted(set(text.split()))
             out.append({"id": len(out), "label": label, "exact": exact, "words": text.split(), "tokens": tokens,
+                        "naming": sorted({w for n in naming for w in n.split()}),
                         "needed": len(tokens) if exact else ceil(CONTAINMENT * len(tokens) - 1e-9)})
     return out
 
@@ -97,8 +98,9 @@ def matches(texts: DataFrame) -> DataFrame:
     for t in templates():
         ranks = sorted(place[w] for w in t["tokens"])
         for i, r in enumerate(ranks[:len(ranks) - t["needed"] + 1]):
-            rows.append((r, i, t["id"], t["label"], t["exact"], t["needed"], ranks))
-    probe = spark.createDataFrame(rows, "token int, i int, template int, label string, exact boolean, needed int, t array<int>")
+            rows.append((r, i, t["id"], t["label"], t["exact"], t["needed"], ranks, [place[w] for w in t["naming"]]))
+    probe = spark.createDataFrame(
+        rows, "token int, i int, template int, label string, exact boolean, needed int, t array<int>, naming array<int>")
     prefix = sorted({order[r[0]] for r in rows})
     tokens = _blocks(texts, order, prefix).select("row", "at", "block", "ranks", F.posexplode("ranks").alias("j", "token"))
     met = tokens.join(F.broadcast(probe), "token").filter(
@@ -107,7 +109,8 @@ def matches(texts: DataFrame) -> DataFrame:
     common = F.array_intersect("ranks", "t")
     # One row per block and template: only the first common token may report the pair.
     found = met.withColumn("common", common).filter(
-        (F.size("common") >= F.col("needed")) & (F.col("token") == F.array_min("common")))
+        (F.size("common") >= F.col("needed")) & (F.col("token") == F.array_min("common"))
+        & (F.size(F.array_except("naming", "common")) == 0))
     return found.select("row", "at", "block", "template", "label", "exact",
                         (F.size("common") / F.size("t")).alias("containment"))
 

@@ -10,14 +10,14 @@ _WORDS = f"regexp_extract_all({_LOWER}, '{_WORD}')"
 
 
 def _values(rows) -> str:
-    return ", ".join(f"('{text}', '{label}')" for text, label in rows)
+    return ", ".join("('" + "', '".join(row) + "')" for row in rows)
 
 
 # Every block is compared with every notice; phrases are looked for at every place of the whole document.
 LICENSE_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 phrases AS (SELECT string_split(p, ' ') AS p, label FROM (VALUES {_values(PHRASES)}) t(p, label)),
-notices AS (SELECT list_distinct(string_split(p, ' ')) AS p, label FROM (VALUES {_values(NOTICES)}) t(p, label)),
+notices AS (SELECT list_distinct(string_split(p, ' ')) AS p, label, string_split(naming, ' ') AS naming FROM (VALUES {_values(NOTICES)}) t(p, label, naming)),
 words AS (SELECT r, unnest(range(len(w))) AS i, unnest(w) AS word FROM d),
 places AS (SELECT d.r, s.i, label FROM words s JOIN phrases ON s.word = p[1] JOIN d ON d.r = s.r
            WHERE d.w[s.i + 1 : s.i + len(p)] = p),
@@ -26,7 +26,7 @@ base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word
 blocks AS (SELECT r, w[b0 + 1 : b0 + {WIDTH}] AS block
            FROM (SELECT r, w, unnest(range(0, len(w), {STRIDE})) AS b0 FROM d)),
 held AS (SELECT r, label, len(list_intersect(p, block)) / len(p) AS c FROM blocks, notices
-         WHERE len(list_intersect(p, block)) >= ceil({CONTAINMENT} * len(p) - 1e-9)),
+         WHERE len(list_intersect(p, block)) >= ceil({CONTAINMENT} * len(p) - 1e-9) AND list_has_all(block, naming)),
 every AS (SELECT r, label, 1.0::DOUBLE AS c FROM places UNION ALL SELECT r, label, c FROM held),
 labels AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(c) AS score FROM every GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
