@@ -31,6 +31,8 @@ MIB_PER_PART = 24
 #: Words a worker remembers with their ids. Then a new generation begins: words met again move into it, the others of the one
 #: before are forgotten (memory, not results).
 REMEMBERED = 450_000
+#: New words that are encoded as one text.
+LOT = 256
 NO_KEY = -(1 << 63)  # key of documents whose key is null
 
 # A blank that meets more white space, read widely; such texts go to the library whole. The letter by which
@@ -59,15 +61,20 @@ def _library(path: str) -> tuple:
 
 
 def _ids_of_words(tokenizer, starts: np.ndarray, words: list[str], code: str) -> list[bytes]:
-    """Ids of each word with a blank before it. All words are encoded as one text and cut where a blank begins."""
-    size = array(code).itemsize
-    whole, = tokenizer.encode_batch_fast(["".join([" " + w for w in words])], add_special_tokens=False)
-    ids = np.array(whole.ids, dtype=f"<u{size}")
-    at = np.flatnonzero(starts[ids])
-    if len(at) != len(words) or (len(at) and at[0]):  # a word that does not stand alone
-        return [array(code, e.ids).tobytes() for e in tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
-    flat, ends = ids.tobytes(), [*(at * size).tolist(), len(ids) * size]
-    return [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+    """Ids of each word with a blank before it. Words are encoded in lots, as one text, and cut where a blank begins."""
+    size, out = array(code).itemsize, []
+    lots = [words[k:k + LOT] for k in range(0, len(words), LOT)]
+    encoded = tokenizer.encode_batch_fast([" " + " ".join(lot) for lot in lots], add_special_tokens=False)
+    for lot, e in zip(lots, encoded, strict=True):
+        ids = np.array(e.ids, dtype=f"<u{size}")
+        at = np.flatnonzero(starts[ids])
+        if len(at) != len(lot) or at[0]:  # a word that does not stand alone
+            alone = tokenizer.encode_batch_fast([" " + w for w in lot], add_special_tokens=False)
+            out += [array(code, x.ids).tobytes() for x in alone]
+            continue
+        flat, ends = ids.tobytes(), [*(at * size).tolist(), len(ids) * size]
+        out += [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+    return out
 
 
 def encode_texts(path: str, texts: list[str | None], dtype: str) -> list[bytes]:
@@ -90,22 +97,22 @@ def encode_texts(path: str, texts: list[str | None], dtype: str) -> list[bytes]:
         again = words.intersection(before)
         known.update(zip(again, map(before.__getitem__, again), strict=True))
         new = list(words.difference(again))
-        for k in range(0, len(new), 4096):
-            some = new[k:k + 4096]
-            known.update(zip(some, _ids_of_words(tokenizer, starts, some, code), strict=True))
+        known.update(zip(new, _ids_of_words(tokenizer, starts, new, code), strict=True))
 
     # The first word has no blank before it; all others are remembered with theirs.
-    missing = set().union(*[ws[1:] for ws in split if ws is not None]).difference(known)
+    own = set().union(*[ws[1:] for ws in split if ws is not None])
+    missing = own.difference(known)
     marked = {w for w in missing if w.endswith(_MARKS) and w not in before and w[:-1].isalpha()}
     learn((missing - marked).union([w[:-1] for w in marked]).difference(known))
     mark = {m: array(code, tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in _MARKS} if marked else {}
     for w in marked:
         known[w] = known[w[:-1]] + mark[w[-1]]
+    ids_of = dict(zip(own, map(known.__getitem__, own), strict=True))  # small, so that it stays near the processor
     alone = [ws[0] if ws is not None else text for text, ws in zip(texts, split, strict=True)]
     out = []
     for ws, first in zip(split, tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
         ids = array(code, first.ids).tobytes()
-        out.append(ids + end if ws is None else b"".join([ids, *map(known.__getitem__, ws[1:]), end]))
+        out.append(ids + end if ws is None else b"".join([ids, *map(ids_of.__getitem__, ws[1:]), end]))
     return out
 
 

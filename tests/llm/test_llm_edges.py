@@ -223,6 +223,14 @@ def test_simhash_lanes(spark):
     assert row["fp"] % (1 << 64) == want
 
 
+def test_notices_need_the_words_that_name_them(spark):
+    rows = [(1, "the music was released in may under the wing of a driving license that was renewed", "a"), (2, "Released under the MIT license.", "a"),
+            (3, "this work is licensed under the general public license version", "a"),
+            (4, "this work is licensed under the gnu general public license, version", "a")]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.license_scan(docs_of(spark, rows)).collect()}
+    assert got == {1: "", 2: "mit,mit-notice", 3: "", 4: "gpl,gpl-notice"}
+
+
 def test_token_files(spark, rows, none, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -321,6 +329,40 @@ def test_html(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<html><head><title>T</title><body><p>x</p>", "x"), ("<html><title>T</title><p>x", "x"), ("<head><meta charset=x>\n<p>body", "body"),
+    ("<article><p class='ad'>buy<p>real text<p>more real</article>", "real text\nmore real"),
+    ("<p class=ad><b class=ad>buy<div>text</div>", "text"),
+    ("<article><section id='notice-of-intent'>a</section><div class='search-results-analysis'>b</div></article>", "a\nb"),
+    ("<div class='social-science'>s</div><div class='site-header'>h</div><div id=sidebar-left>f</div>", "s"),
+    ("<article><a title=5\">kept</a> too</article>", "kept too"), ("<a title=\"x>y\" href='q>'>z</a>", "z"), ("<p title=\"abc>tail", "tail"),
+])
+def test_markup_as_authors_leave_it(page, want):
+    assert "\n".join(t for t, role in html_text.text_lines(page) if role != html_text.FRAME) == want
+
+
+def test_frame_of_neighbours():
+    """Head and tail of the nearer page, what both have anywhere; near copies decide nothing alone."""
+    line = np.array
+    assert html_text.frame_of(line([1, 2, 10, 3]), line([1, 2, 11, 3]), line([1, 5, 12, 3])) == [0, 1, 3]
+    assert html_text.frame_of(line([1, 10, 7, 11, 3]), line([1, 20, 7, 21, 3]), line([1, 30, 31, 3])) == [0, 4]  # a quotation of the nearer page
+    assert html_text.frame_of(line([1, 10, 7, 11, 3]), line([1, 20, 7, 21, 3]), line([1, 30, 7, 31, 3])) == [0, 2, 4]
+    copy = line([1, 10, 11, 12, 13, 98, 3])  # another date
+    assert html_text.frame_of(line([1, 10, 11, 12, 13, 99, 3]), copy, line([1, 40, 41, 3])) == [0, 6]
+    assert html_text.frame_of(line([1, 10, 11, 12, 13, 99, 3]), copy, None) == []
+    assert html_text.frame_of(line([1, 2, 10, 3]), None, None) == []
+
+
+def test_articles_without_the_tag_stay_whole(spark, sf_dir):
+    """With every article tag made a plain block, differencing takes no line of an article."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    whole = {r["page_id"]: [t for t, role in html_text.text_lines(r["html"]) if role == html_text.ARTICLE] for r in pages.collect()}
+    plain = pages.withColumn("html", F.regexp_replace("html", "(?i)<(/?)article", "<$1div"))
+    got = {r["page_id"]: r["text"].split("\n") for r in html_text.extract_text(plain).collect()}
+    assert sum(len(v) for v in whole.values()) > 0
+    assert {k: [t for t in v if t not in got[k]] for k, v in whole.items() if any(t not in got[k] for t in v)} == {}
+
+
 def test_shared_lines_is_longest():
     rng = np.random.default_rng(0)
     for _ in range(200):
