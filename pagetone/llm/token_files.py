@@ -21,6 +21,8 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ MIB_PER_PART = 24
 #: Words a worker remembers with their ids. Then a new generation begins: words met again move into it, the others of the one
 #: before are forgotten (memory, not results).
 REMEMBERED = 450_000
-#: New words that are encoded as one text.
-LOT = 256
+#: New words that are encoded as one text, and texts that are cut together.
+LOT, TEXTS_AT_ONCE = 256, 1024
 NO_KEY = -(1 << 63)  # key of documents whose key is null
 
 # A blank that meets more white space, read widely; such texts go to the library whole. The letter by which
@@ -88,32 +90,56 @@ def encode_texts(path: str, texts: list[str | None], dtype: str) -> list[bytes]:
     code = {"<u2": "H", "<u4": "I"}[dtype]
     end = array(code, [END_ID]).tobytes()
     texts = [t or "" for t in texts]
-    split = [None if whole.search(t) else t.split(" ") for t in texts]
+    cut = [not whole.search(t) for t in texts]
+    words = pc.split_pattern(pa.array([t for t, c in zip(texts, cut, strict=True) if c], pa.large_string()), " ")
+    flat, ends = _flat_ids(words, tokenizer, starts, generations, code)
+    # The first word has no blank before it, so it is encoded by itself; all others are remembered with theirs.
+    alone = [t.partition(" ")[0] if c else t for t, c in zip(texts, cut, strict=True)]
+    out, row = [], 0
+    for c, first in zip(cut, tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+        ids = array(code, first.ids).tobytes()
+        if c:
+            ids += flat[ends[row][0]:ends[row][1]]
+            row += 1
+        out.append(ids + end)
+    return out
+
+
+def _flat_ids(words: pa.ListArray, tokenizer, starts: np.ndarray, generations: list[dict], code: str) -> tuple[bytes, list[tuple[int, int]]]:
+    """Ids of all words with their blanks, end to end, and where those of each text's words but the first lie in them."""
+    if not len(words):
+        return b"", []
+    coded = words.values.dictionary_encode()
+    own, places = coded.dictionary.to_pylist(), coded.indices.to_numpy()
     if len(generations[0]) > REMEMBERED:
         generations[:] = [{}, generations[0]]
     known, before = generations
 
-    def learn(words: set[str]) -> None:
-        again = words.intersection(before)
+    def learn(some: set[str]) -> None:
+        again = some.intersection(before)
         known.update(zip(again, map(before.__getitem__, again), strict=True))
-        new = list(words.difference(again))
+        new = list(some.difference(again))
         known.update(zip(new, _ids_of_words(tokenizer, starts, new, code), strict=True))
 
-    # The first word has no blank before it; all others are remembered with theirs.
-    own = set().union(*[ws[1:] for ws in split if ws is not None])
-    missing = own.difference(known)
+    missing = set(own).difference(known)
     marked = {w for w in missing if w.endswith(_MARKS) and w not in before and w[:-1].isalpha()}
     learn((missing - marked).union([w[:-1] for w in marked]).difference(known))
     mark = {m: array(code, tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in _MARKS} if marked else {}
     for w in marked:
         known[w] = known[w[:-1]] + mark[w[-1]]
-    ids_of = dict(zip(own, map(known.__getitem__, own), strict=True))  # small, so that it stays near the processor
-    alone = [ws[0] if ws is not None else text for text, ws in zip(texts, split, strict=True)]
-    out = []
-    for ws, first in zip(split, tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-        ids = array(code, first.ids).tobytes()
-        out.append(ids + end if ws is None else b"".join([ids, *map(ids_of.__getitem__, ws[1:]), end]))
-    return out
+
+    size = array(code).itemsize
+    found = list(map(known.__getitem__, own))
+    length = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // size
+    first = np.cumsum(length) - length
+    table = np.frombuffer(b"".join(found), dtype=f"<u{size}")
+    count = length[places]
+    until = np.cumsum(count)
+    at = np.repeat(first[places] - (until - count), count)
+    at += np.arange(len(at))
+    until = np.append(0, until) * size
+    offsets = words.offsets.to_numpy()
+    return table[at].tobytes(), list(zip(until[offsets[:-1] + 1].tolist(), until[offsets[1:]].tolist(), strict=True))
 
 
 def _filesystem(folder: str):
@@ -161,8 +187,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
                 texts = batch["text"].tolist()
                 gc.disable()  # the word table holds no cycles, and walking it again and again costs a tenth of the time
                 try:
-                    for k in range(0, len(texts), 512):
-                        for ids in encode_texts(tokenizer_path, texts[k:k + 512], dtype):
+                    for k in range(0, len(texts), TEXTS_AT_ONCE):
+                        for ids in encode_texts(tokenizer_path, texts[k:k + TEXTS_AT_ONCE], dtype):
                             out.write(ids)
                             at += len(ids) // int(dtype[-1])
                             ends.append(at)
