@@ -32,7 +32,7 @@ END_ID = 0
 MIB_PER_PART = 24
 #: Words a worker remembers with their ids. Then a new generation begins: words met again move into it, the others of the one
 #: before are forgotten (memory, not results).
-REMEMBERED = 450_000
+REMEMBERED = 550_000
 #: New words that are encoded as one text, and texts that are cut together.
 LOT, TEXTS_AT_ONCE = 256, 1024
 NO_KEY = -(1 << 63)  # key of documents whose key is null
@@ -57,11 +57,19 @@ def _library(path: str) -> tuple:
         starts = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
         for token, i in tokenizer.get_vocab().items():
             starts[i] = token.startswith(_BLANK)
-        special = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values() if t.content]
-        _LIBRARIES[path] = (tokenizer, starts, re.compile("|".join([f" {_WIDE}|{_WIDE} ", *special])), [{}, {}])
+        wide = [c for c in map(chr, [*range(0x3001), 0xFEFF]) if c != " " and re.match(_WIDE, c)]
+        special = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content]
+        _LIBRARIES[path] = (tokenizer, starts, ([(c, f" {c}", f"{c} ") for c in wide], ["  ", *special]), [{}, {}])
     return _LIBRARIES[path]
 
 
+def _cuttable(text: str, mixed: tuple) -> bool:
+    """Whether no blank meets other white space and no special token is in the text. One search for each character
+    is faster than a pattern of all."""
+    wide, whole = mixed
+    return not any(s in text for s in whole) and not any(c in text and (a in text or b in text) for c, a, b in wide)
+
+
 def _ids_of_words(tokenizer, starts: np.ndarray, words: list[str], code: str) -> list[bytes]:
     """Ids of each word with a blank before it. Words are encoded in lots, as one text, and cut where a blank begins."""
     size, out = array(code).itemsize, []
@@ -86,11 +94,11 @@ def encode_texts(path: str, texts: list[str | None], dtype: str) -> list[bytes]:
     once and remembered; only new ones reach the library. Texts in which a blank meets other white space, and
     those that hold the string of a special token, go to it whole.
     """
-    tokenizer, starts, whole, generations = _library(path)
+    tokenizer, starts, mixed, generations = _library(path)
     code = {"<u2": "H", "<u4": "I"}[dtype]
     end = array(code, [END_ID]).tobytes()
     texts = [t or "" for t in texts]
-    cut = [not whole.search(t) for t in texts]
+    cut = [_cuttable(t, mixed) for t in texts]
     words = pc.split_pattern(pa.array([t for t, c in zip(texts, cut, strict=True) if c], pa.large_string()), " ")
     flat, ends = _flat_ids(words, tokenizer, starts, generations, code)
     # The first word has no blank before it, so it is encoded by itself; all others are remembered with theirs.
@@ -115,15 +123,21 @@ def _flat_ids(words: pa.ListArray, tokenizer, starts: np.ndarray, generations: l
         generations[:] = [{}, generations[0]]
     known, before = generations
 
-    def learn(some: set[str]) -> None:
-        again = some.intersection(before)
-        known.update(zip(again, map(before.__getitem__, again), strict=True))
-        new = list(some.difference(again))
-        known.update(zip(new, _ids_of_words(tokenizer, starts, new, code), strict=True))
-
-    missing = set(own).difference(known)
-    marked = {w for w in missing if w.endswith(_MARKS) and w not in before and w[:-1].isalpha()}
-    learn((missing - marked).union([w[:-1] for w in marked]).difference(known))
+    marked, new = [], set()
+    for w in own:
+        if w in known:
+            continue
+        ids = before.get(w)
+        if ids is None and w.endswith(_MARKS) and w[:-1].isalpha():
+            marked.append(w)
+            w = w[:-1]
+            ids = known.get(w) or before.get(w)
+        if ids is None:
+            new.add(w)
+        else:
+            known[w] = ids
+    some = list(new)
+    known.update(zip(some, _ids_of_words(tokenizer, starts, some, code), strict=True))
     mark = {m: array(code, tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in _MARKS} if marked else {}
     for w in marked:
         known[w] = known[w[:-1]] + mark[w[-1]]
